@@ -53,15 +53,13 @@ def cell_of(lat: Column, lon: Column, res: int) -> Column:
     y = F.sin(F.radians(lat)) * (EARTH_KM / COS0)
     q = (x * (ROOT3 / 3.0) - y / 3.0) / s
     r = y * (2.0 / 3.0) / s
-    # Cube rounding: the three axes sum to zero; the one rounded furthest is recomputed.
-    third = -q - r
-    rq, rr, rt = F.rint(q), F.rint(r), F.rint(third)
-    dq, dr, dt = F.abs(rq - q), F.abs(rr - r), F.abs(rt - third)
-    q_worst = (dq > dr) & (dq > dt)
-    r_worst = ~q_worst & (dr > dt)
+    # Round both axes, then move one step along the axis with the larger rest if it reaches
+    # past the edge: the nearest centre in two comparisons.
+    rest_q, rest_r = q - F.rint(q), r - F.rint(r)
+    along_q = F.abs(rest_q) >= F.abs(rest_r)
     return id_of_axial(
-        F.when(q_worst, -rr - rt).otherwise(rq),
-        F.when(r_worst, -rq - rt).otherwise(rr),
+        F.rint(q) + F.when(along_q, F.rint(rest_q + rest_r / 2.0)).otherwise(0.0),
+        F.rint(r) + F.when(along_q, 0.0).otherwise(F.rint(rest_r + rest_q / 2.0)),
     )
 
 

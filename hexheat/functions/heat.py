@@ -24,6 +24,11 @@ def is_present(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
+def is_finite(value: Column) -> Column:
+    """A number that is neither NaN nor infinite. NaN sorts above infinity in Spark."""
+    return (value > float("-inf")) & (value < float("inf"))
+
+
 def or_null(value: Column) -> Column:
     """NaN as NULL."""
     return F.when(~F.isnan(value), value)
@@ -70,7 +75,8 @@ def heat_index_c(tc: Column, rh: Column) -> Column:
         .otherwise(rothfusz)
     )
     hi = f_to_c(F.when((steadman + t) / 2.0 >= REGRESSION_FROM_F, adjusted).otherwise(steadman))
-    return F.when(is_present(hi) & (F.abs(hi) != F.lit(float("inf"))), hi)
+    # Finite inputs give a finite index. Testing them keeps the formula in the plan once.
+    return F.when(is_finite(tc) & is_finite(rh), hi)
 
 
 def _clipped(value: Column, top: int) -> Column:

@@ -7,7 +7,7 @@ Rows without a heat index are left out, which freezes the state: the step is a r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -60,54 +60,55 @@ def sweep(film: DataFrame, params: list[dict], quantised: bool = True) -> DataFr
     t_type = film.schema["t"].dataType.simpleString()
     schema = f"param int, cell bigint, t {t_type}, l double"
 
-    def scan(batches: Iterator) -> Iterator:
-        return _scan(batches, rows)
-
-    return drivers(ordered, quantised).mapInArrow(scan, schema).withColumn("load_q", quantise_load(F.col("l")))
+    return drivers(ordered, quantised).mapInArrow(_scanner(rows, S.FULL_VENT_MS, S.FULL_FLUSH_MM), schema).withColumn("load_q", quantise_load(F.col("l")))
 
 
-def _scan(batches: Iterator, params: list[tuple]) -> Iterator:
+def _scanner(params: list[tuple], full_vent: float, full_flush: float) -> Callable[[Iterator], Iterator]:
     """The recurrence over Arrow batches sorted by (cell, t).
 
     Every step is an affine map L -> A L + B. Maps compose, so a batch is solved by doubling:
     after k rounds each row holds the composition of its last 2^k steps. A cell's first row has
     A = 0, which keeps cells apart; the first row of a batch starts from the carried state.
+
+    The function is self-contained, so workers need numpy and pyarrow but not this package.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    last_cell, carried = None, [0.0] * len(params)
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        cell = batch.column("cell").to_numpy()
-        hi, ws, mm = (batch.column(c).to_numpy() for c in ("hi", "ws", "mm"))
-        new = np.empty(n, dtype=bool)
-        new[0] = cell[0] != last_cell
-        np.not_equal(cell[1:], cell[:-1], out=new[1:])
-        starts = np.flatnonzero(new)
-        longest = int(np.diff(np.concatenate(([0], starts, [n]))).max())
-        for number, (half_life, threshold, flush, vent) in enumerate(params):
-            a = 2.0 ** (-1.0 / half_life)
-            excess = np.maximum(hi - threshold, 0.0) * np.maximum(1.0 - vent * ws / S.FULL_VENT_MS, 0.0)
-            left = 1.0 - flush * np.minimum(mm / S.FULL_FLUSH_MM, 1.0)
-            A, B = a * left, (1.0 - a) * excess * left
-            A[new] = 0.0
-            if not new[0]:
+
+    def scan(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        last_cell, carried = None, [0.0] * len(params)
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            cell = batch.column("cell").to_numpy()
+            hi, ws, mm = (batch.column(c).to_numpy() for c in ("hi", "ws", "mm"))
+            new = np.empty(n, dtype=bool)
+            new[0] = cell[0] != last_cell
+            np.not_equal(cell[1:], cell[:-1], out=new[1:])
+            longest = int(np.diff(np.concatenate(([0], np.flatnonzero(new), [n]))).max())
+            for number, (half_life, threshold, flush, vent) in enumerate(params):
+                a = 2.0 ** (-1.0 / half_life)
+                excess = np.maximum(hi - threshold, 0.0) * np.maximum(1.0 - vent * ws / full_vent, 0.0)
+                left = 1.0 - flush * np.minimum(mm / full_flush, 1.0)
+                A, B = a * left, (1.0 - a) * excess * left
+                A[new] = 0.0
                 B[0] += A[0] * carried[number]
                 A[0] = 0.0
-            step = 1
-            while step < longest:
-                B[step:] += A[step:] * B[:-step]
-                A[step:] = A[step:] * A[:-step]
-                step *= 2
-            carried[number] = float(B[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, number, dtype=np.int32)), batch.column("cell"), batch.column("t"), pa.array(B)],
-                names=["param", "cell", "t", "l"],
-            )
-        last_cell = cell[-1]
+                step = 1
+                while step < longest:
+                    B[step:] += A[step:] * B[:-step]
+                    A[step:] = A[step:] * A[:-step]
+                    step *= 2
+                carried[number] = float(B[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, number, dtype=np.int32)), batch.column("cell"), batch.column("t"), pa.array(B)],
+                    names=["param", "cell", "t", "l"],
+                )
+            last_cell = cell[-1]
+
+    return scan
 
 
 def sweep_by_blocks(film: DataFrame, params: list[dict], quantised: bool = True, block_hours: int = 96) -> DataFrame:

@@ -92,15 +92,15 @@ def averages(rain: bool = True, wind: bool = True) -> list[Column]:
 def fold(cube: DataFrame, pixels: DataFrame, rain: bool = True, wind: bool = True) -> DataFrame:
     """Mean of each variable per (run, lead, cell), with the valid hour `t`.
 
-    The lookup carries the cell, so nothing is computed per pixel-hour but the join. Its
-    block columns are join keys: they let partitions be pruned. Each scan task averages the
-    pixels it holds before the shuffle.
+    The lookup carries the cell, so nothing is computed per pixel-hour but the join, and its
+    two INT keys are hashed as one long. Each scan task averages the pixels it holds before
+    the shuffle. Prune a stored cube's blocks first, by `prune_blocks` or `block_predicate`.
     """
-    lookup = broadcast_checked(pixels.select("yb", "xb", "yi", "xi", "cell"))
+    lookup = broadcast_checked(pixels.select("yi", "xi", "cell"))
     read = ["tc", "rh", *(["rain"] if rain else []), *(["u", "v"] if wind else [])]
-    readings = drop_missing(cube.select("init_ts", "lead_h", "yb", "xb", "yi", "xi", *read))
+    readings = drop_missing(cube.select("init_ts", "lead_h", "yi", "xi", *read))
     return (
-        readings.join(lookup, ["yb", "xb", "yi", "xi"])
+        readings.join(lookup, ["yi", "xi"])
         .groupBy("init_ts", "lead_h", "cell").agg(*averages(rain, wind))
         .withColumn("t", valid_time(F.col("init_ts"), F.col("lead_h")))
     )

@@ -68,7 +68,7 @@ def explode_parts(divisions: DataFrame) -> DataFrame:
 
 
 def ring_edges(pieces: DataFrame) -> DataFrame:
-    """Consecutive vertex pairs of closed rings: `id, part, ax, ay, bx, by`."""
+    """Consecutive vertex pairs of closed rings: `id, part, x0, y0, x1, y1`."""
     rings = pieces.select("id", "part", F.explode("rings").alias("ring"))
     n = F.greatest(F.size("ring") - 1, F.lit(0))
     pairs = F.arrays_zip(
@@ -76,20 +76,20 @@ def ring_edges(pieces: DataFrame) -> DataFrame:
     )
     return rings.select("id", "part", F.explode(pairs).alias("e")).select(
         "id", "part",
-        F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"),
-        F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"),
+        F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"),
+        F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1"),
     )
 
 
 def crosses(py: Column) -> Column:
     """Edge spans the horizontal through py, upper end open."""
-    return (F.col("ay") > py) != (F.col("by") > py)
+    return (F.col("y0") > py) != (F.col("y1") > py)
 
 
 def crossing_x(py: Column) -> Column:
     """Where a spanning edge meets the horizontal through py."""
-    share = (py - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
-    return F.col("ax") + share * (F.col("bx") - F.col("ax"))
+    share = (py - F.col("y0")) / F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0))
+    return F.col("x0") + share * (F.col("x1") - F.col("x0"))
 
 
 def polyfill_cells(edges: DataFrame, res: int) -> DataFrame:
@@ -106,18 +106,18 @@ def polyfill_cells(edges: DataFrame, res: int) -> DataFrame:
         return F.sin(F.radians(lat)) * (EARTH_KM / COS0) / (1.5 * s)
 
     rows = F.sequence(
-        F.floor(row_of(F.least("ay", "by"))).cast("int"), F.ceil(row_of(F.greatest("ay", "by"))).cast("int")
+        F.floor(row_of(F.least("y0", "y1"))).cast("int"), F.ceil(row_of(F.greatest("y0", "y1"))).cast("int")
     )
     row_lat, _ = centre_of_axial(F.lit(0), F.col("r"), res)
     cuts = (
-        edges.where(F.col("ay") != F.col("by"))
+        edges.where(F.col("y0") != F.col("y1"))
         .withColumn("r", F.explode(rows)).withColumn("lat", row_lat)
         .where(crosses(F.col("lat")))
-        .select("id", "part", "r", "lat", crossing_x(F.col("lat")).alias("x"))
+        .select("id", "part", "r", "lat", crossing_x(F.col("lat")).alias("from_x"))
     )
-    along = Window.partitionBy("id", "part", "r").orderBy("x")
+    along = Window.partitionBy("id", "part", "r").orderBy("from_x")
     spans = (
-        cuts.withColumns({"n": F.row_number().over(along), "x1": F.lead("x").over(along)})
+        cuts.withColumns({"n": F.row_number().over(along), "to_x": F.lead("from_x").over(along)})
         .where(F.col("n") % 2 == 1)
     )
 
@@ -125,11 +125,11 @@ def polyfill_cells(edges: DataFrame, res: int) -> DataFrame:
         return F.radians(lon) * (EARTH_KM * COS0) / (s * ROOT3) - F.col("r") / 2.0
 
     columns = F.sequence(
-        F.floor(column_of(F.col("x"))).cast("int"), F.ceil(column_of(F.col("x1"))).cast("int")
+        F.floor(column_of(F.col("from_x"))).cast("int"), F.ceil(column_of(F.col("to_x"))).cast("int")
     )
     _, lon = centre_of_axial(F.col("q"), F.col("r"), res)
     filled = spans.withColumn("q", F.explode(columns)).withColumn("lon", lon)
-    inside = (F.col("lon") >= F.col("x")) & (F.col("lon") < F.col("x1"))
+    inside = (F.col("lon") >= F.col("from_x")) & (F.col("lon") < F.col("to_x"))
     return filled.where(inside).select("id", "part", id_of_axial(F.col("q"), F.col("r")).alias("cell"))
 
 
@@ -149,11 +149,11 @@ def polyfill_center(edges: DataFrame, points: DataFrame, key: list[str]) -> Data
     point, so repeated readings of one place are to be made distinct first.
     """
     box = edges.groupBy("id", "part").agg(
-        F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"),
-        F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"),
+        F.min(F.least("x0", "x1")).alias("west"), F.max(F.greatest("x0", "x1")).alias("east"),
+        F.min(F.least("y0", "y1")).alias("south"), F.max(F.greatest("y0", "y1")).alias("north"),
     )
-    squares = box.withColumn("sx", F.explode(_steps(F.col("x0"), F.col("x1"), SQUARE_DEG))).withColumn(
-        "sy", F.explode(_steps(F.col("y0"), F.col("y1"), SQUARE_DEG))
+    squares = box.withColumn("sx", F.explode(_steps(F.col("west"), F.col("east"), SQUARE_DEG))).withColumn(
+        "sy", F.explode(_steps(F.col("south"), F.col("north"), SQUARE_DEG))
     )
     placed = points.select(*key, "px", "py").withColumns({
         "sx": F.floor(F.col("px") / SQUARE_DEG).cast("int"),
@@ -161,10 +161,10 @@ def polyfill_center(edges: DataFrame, points: DataFrame, key: list[str]) -> Data
         "band": F.floor(F.col("py") / BAND_DEG).cast("int"),
     })
     near = placed.join(squares, ["sx", "sy"]).where(
-        F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
+        F.col("px").between(F.col("west"), F.col("east")) & F.col("py").between(F.col("south"), F.col("north"))
     ).select(*key, "px", "py", "band", "id", "part")
-    banded = edges.where(F.col("ay") != F.col("by")).withColumn(
-        "band", F.explode(_steps(F.least("ay", "by"), F.greatest("ay", "by"), BAND_DEG))
+    banded = edges.where(F.col("y0") != F.col("y1")).withColumn(
+        "band", F.explode(_steps(F.least("y0", "y1"), F.greatest("y0", "y1"), BAND_DEG))
     )
     right = crosses(F.col("py")) & (crossing_x(F.col("py")) > F.col("px"))
     hits = near.join(banded, ["id", "part", "band"]).where(right)
@@ -197,7 +197,7 @@ def division_table(pieces: DataFrame) -> DataFrame:
 
 def cell_county(cells: DataFrame, divisions: DataFrame) -> DataFrame:
     """County index per cell, NULL for a cell whose division is unknown."""
-    return cells.join(broadcast_checked(divisions.select("id", "county_idx", "label")), "id", "left")
+    return cells.join(broadcast_checked(divisions.select("id", "county_idx")), "id", "left")
 
 
 def county_codes(cells: DataFrame) -> DataFrame:

@@ -17,13 +17,12 @@ _R = f"({_Y} * {2 / 3!r}D / {_EDGE})"
 
 FUNCTIONS = {
     "cell_of_axes(q DOUBLE, r DOUBLE) RETURNS BIGINT": f"""
-        shiftleft(CAST(CASE WHEN abs(rint(q) - q) > abs(rint(r) - r)
-                             AND abs(rint(q) - q) > abs(rint(-q - r) + q + r)
-                            THEN -rint(r) - rint(-q - r) ELSE rint(q) END AS BIGINT) + {HALF_AXIS}, {AXIS_BITS})
-        + CAST(CASE WHEN NOT (abs(rint(q) - q) > abs(rint(r) - r)
-                              AND abs(rint(q) - q) > abs(rint(-q - r) + q + r))
-                     AND abs(rint(r) - r) > abs(rint(-q - r) + q + r)
-                    THEN -rint(q) - rint(-q - r) ELSE rint(r) END AS BIGINT) + {HALF_AXIS}""",
+        CASE WHEN abs(q - rint(q)) >= abs(r - rint(r))
+             THEN shiftleft(CAST(rint(q) + rint(q - rint(q) + (r - rint(r)) / 2e0) AS BIGINT) + {HALF_AXIS}, {AXIS_BITS})
+                  + CAST(rint(r) AS BIGINT)
+             ELSE shiftleft(CAST(rint(q) AS BIGINT) + {HALF_AXIS}, {AXIS_BITS})
+                  + CAST(rint(r) + rint(r - rint(r) + (q - rint(q)) / 2e0) AS BIGINT)
+        END + {HALF_AXIS}""",
     "cell_of(lat DOUBLE, lon DOUBLE, res INT) RETURNS BIGINT": f"cell_of_axes({_Q}, {_R})",
     "wind_speed(u DOUBLE, v DOUBLE) RETURNS DOUBLE": "sqrt(u * u + v * v)",
     "rain_mm(rate DOUBLE) RETURNS DOUBLE": "rate * 3600e0",
@@ -33,14 +32,14 @@ FUNCTIONS = {
 
 FOLD_SQL = """
     WITH labelled AS (
-        SELECT yb, xb, yi, xi, cell_of(lat, lon, :res) AS cell FROM pixels
+        SELECT yi, xi, cell_of(lat, lon, :res) AS cell FROM pixels
     )
     SELECT init_ts, lead_h, cell,
            CAST(avg(tc) AS FLOAT) AS tc,
            CAST(avg(rh) AS FLOAT) AS rh,
            CAST(rain_mm(avg(rain)) AS FLOAT) AS mm,
            CAST(avg(wind_speed(u, v)) AS FLOAT) AS ws
-    FROM cube JOIN labelled USING (yb, xb, yi, xi)
+    FROM cube JOIN labelled USING (yi, xi)
     WHERE tc IS NOT NULL AND NOT isnan(tc)
     GROUP BY init_ts, lead_h, cell
 """

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
         "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
         **conf,

@@ -6,12 +6,17 @@ grow with the tables they come from.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexheat import schemas as S
 
 FIRST_INIT = "2026-06-29 00:00:00"
 N_RUNS = 28
+INITS = [
+    f"TIMESTAMP_NTZ'{datetime.fromisoformat(FIRST_INIT) + timedelta(hours=S.RUN_SPACING_HOURS * i)}'" for i in range(N_RUNS)
+]
 GRID_ROWS, GRID_COLS = 200, 100
 BLOCK_ROWS, BLOCK_COLS = 20, 10
 PIXELS = GRID_ROWS * GRID_COLS
@@ -25,48 +30,48 @@ WEST = ((0.0, 0.0), (6.0, 6.0 / 11.58), (6.0, SEAM_N), (3.0, 5.02))
 EAST = ((5.8, 5.8 / 11.58), (11.58, 1.0), (11.58, 4.0), (5.8, 4.0 + 5.78 / 8.58 * 1.02))
 
 
+# Columns read from the test tables. Stated, so that no job runs to infer them.
+COLUMNS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_discount double, l_tax double",
+    "part": "p_partkey bigint",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, value double",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def _pixel(key: str) -> list[Column]:
-    at = (F.col(key) * SPREAD) % PIXELS
-    yi = F.floor(at / GRID_COLS).cast("int")
-    xi = (at % GRID_COLS).cast("int")
-    return [
-        yi.alias("yi"), xi.alias("xi"),
-        F.floor(yi / BLOCK_ROWS).cast("int").alias("yb"),
-        F.floor(xi / BLOCK_COLS).cast("int").alias("xb"),
-    ]
+def _pixel(key: str) -> list[str]:
+    at = f"(({key} * {SPREAD}) % {PIXELS})"
+    yi, xi = f"int({at} div {GRID_COLS})", f"int({at} % {GRID_COLS})"
+    return [f"{yi} AS yi", f"{xi} AS xi", f"int({yi} div {BLOCK_ROWS}) AS yb", f"int({xi} div {BLOCK_COLS}) AS xb"]
 
 
 def pixel_hours(spark: SparkSession, sf: str) -> DataFrame:
     """One reading per line item: (run, lead, pixel) and five variables."""
-    li = table(spark, sf, "lineitem")
-    run = (F.col("l_orderkey") % N_RUNS).cast("int")
-    init = F.timestamp_add("HOUR", run * S.RUN_SPACING_HOURS, F.lit(FIRST_INIT).cast("timestamp_ntz"))
-    missing = F.col("l_orderkey") % 97 == 0
-    return li.select(
-        run.alias("run"),
-        init.alias("init_ts"),
-        (F.col("l_linenumber") - 1).cast("int").alias("lead_h"),
-        *_pixel("l_partkey")[:2],
-        F.when(missing, F.lit(float("nan"))).otherwise(10.0 + 0.6 * F.col("l_quantity")).alias("tc"),
-        (10.0 + 900.0 * F.col("l_discount")).alias("rh"),
-        (F.greatest(F.col("l_tax") - 0.04, F.lit(0.0)) / 40.0).alias("rain"),
-        (F.col("l_suppkey") % 17 - 8).cast("double").alias("u"),
-        (F.col("l_orderkey") % 13 - 6).cast("double").alias("v"),
-        F.to_date(init).alias("init_day"),
-        *_pixel("l_partkey")[2:],
+    run = f"int(l_orderkey % {N_RUNS})"
+    init = f"element_at(array({', '.join(INITS)}), {run} + 1)"
+    yi, xi, yb, xb = _pixel("l_partkey")
+    return table(spark, sf, "lineitem").selectExpr(
+        f"{run} AS run", f"{init} AS init_ts", "l_linenumber - 1 AS lead_h", yi, xi,
+        "CASE WHEN l_orderkey % 97 = 0 THEN double('NaN') ELSE 10D + 0.6D * l_quantity END AS tc",
+        "10D + 900D * l_discount AS rh",
+        "greatest(l_tax - 0.04D, 0D) / 40D AS rain",
+        "double(l_suppkey % 17 - 8) AS u", "double(l_orderkey % 13 - 6) AS v",
+        f"to_date({init}) AS init_day", yb, xb,
     )
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels and their coordinates, from the parts."""
-    return table(spark, sf, "part").select(*_pixel("p_partkey")).distinct().select(
-        "yi", "xi", "yb", "xb",
-        (24.4 + 0.1255 * F.col("yi")).alias("lat"),
-        (-124.8 + 0.579 * F.col("xi")).alias("lon"),
+    return table(spark, sf, "part").selectExpr(*_pixel("p_partkey")).distinct().selectExpr(
+        "yi", "xi", "yb", "xb", "24.4D + 0.1255D * yi AS lat", "-124.8D + 0.579D * xi AS lon",
     )
 
 

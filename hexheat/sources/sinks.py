@@ -40,7 +40,8 @@ def film_config(film: DataFrame, ramp: DataFrame, settings: dict) -> DataFrame:
     """
     hours = film.select("t").distinct()
     labels = hours.agg(F.sort_array(F.collect_list(hour_label(F.col("t")))).alias("labels"))
-    ends = [ramp.select(end).scalar().alias(end) for end in ("lo", "mid", "hi")]
+    row = ramp.select(F.struct("lo", "mid", "hi")).scalar()
+    ends = [row[end].alias(end) for end in ("lo", "mid", "hi")]
     fixed = {
         "index_stops": list(S.INDEX_STOPS), "load_stops": list(S.LOAD_STOPS),
         "threshold": S.THRESHOLD_C, "half_life": S.HALF_LIFE_H,

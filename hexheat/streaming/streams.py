@@ -58,39 +58,44 @@ def stream_fold(readings: DataFrame, values: list[str], watermark: str = "1 hour
 SUSTAINED_SCHEMA = "cell bigint, t timestamp, l double, late bigint"
 
 
-class _Sustained(StatefulProcessor):
-    """State of a cell: its load, the last hour seen, and how many rows came late."""
-
-    def __init__(self, half_life: float, threshold: float, flush: float, vent: float) -> None:
-        self.a = 2.0 ** (-1.0 / half_life)
-        self.threshold, self.flush, self.vent = threshold, flush, vent
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("load", "l double, last timestamp, late bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
-        import pandas as pd
-
-        level, last, late = self.state.get() if self.state.exists() else (0.0, None, 0)
-        last = pd.Timestamp(last) if last is not None else None
-        batch = pd.concat(list(rows)).sort_values("t")
-        times, levels = [], []
-        for t, hi, ws, mm in batch[["t", "hi", "ws", "mm"]].itertuples(index=False):
-            if last is not None and t <= last:
-                late += 1
-                continue
-            excess = max(hi - self.threshold, 0.0) * max(1.0 - self.vent * ws / S.FULL_VENT_MS, 0.0)
-            level = (self.a * level + (1.0 - self.a) * excess) * (1.0 - self.flush * min(mm / S.FULL_FLUSH_MM, 1.0))
-            last = t
-            times.append(t)
-            levels.append(level)
-        if last is not None:
-            self.state.update((level, last.to_pydatetime(), late))
-        if times:
-            yield pd.DataFrame({"cell": key[0], "t": times, "l": levels, "late": late})
-
-    def close(self) -> None:
-        pass
+def _processor(
+    half_life: float, threshold: float, flush: float, vent: float,
+    full_vent: float = S.FULL_VENT_MS, full_flush: float = S.FULL_FLUSH_MM,
+) -> StatefulProcessor:
+    """Made in a function so that it travels whole: workers need not have this package."""
+    a = 2.0 ** (-1.0 / half_life)
+
+    class Sustained(StatefulProcessor):
+        """State of a cell: its load, the last hour seen, and how many rows came late."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("load", "l double, last timestamp, late bigint")
+
+        def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
+            import pandas as pd
+
+            level, last, late = self.state.get() if self.state.exists() else (0.0, None, 0)
+            last = pd.Timestamp(last) if last is not None else None
+            batch = pd.concat(list(rows)).sort_values("t")
+            times, levels = [], []
+            for t, hi, ws, mm in batch[["t", "hi", "ws", "mm"]].itertuples(index=False):
+                if last is not None and t <= last:
+                    late += 1
+                    continue
+                excess = max(hi - threshold, 0.0) * max(1.0 - vent * ws / full_vent, 0.0)
+                level = (a * level + (1.0 - a) * excess) * (1.0 - flush * min(mm / full_flush, 1.0))
+                last = t
+                times.append(t)
+                levels.append(level)
+            if last is not None:
+                self.state.update((level, last.to_pydatetime(), late))
+            if times:
+                yield pd.DataFrame({"cell": key[0], "t": times, "l": levels, "late": late})
+
+        def close(self) -> None:
+            pass
+
+    return Sustained()
 
 
 def stream_sustained(hours: DataFrame, **params: float) -> DataFrame:
@@ -99,7 +104,7 @@ def stream_sustained(hours: DataFrame, **params: float) -> DataFrame:
     The input is an hourly fold, so a cell brings at most one row per hour of the batch. Rows
     at or before the last hour of their cell are late: counted, not applied.
     """
-    processor = _Sustained(**{**DEFAULTS, **params})
+    processor = _processor(**{**DEFAULTS, **params})
     return hours.groupBy("cell").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=SUSTAINED_SCHEMA,
         outputMode="Append", timeMode="None",
