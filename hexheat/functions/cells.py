@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
 # ---- fixed values -----------------------------------------------------------------------
@@ -90,8 +91,6 @@ def register_cell_udf(spark: SparkSession, name: str, label: Callable) -> None:
 
     `label` takes and returns pandas Series, for a hexagon library installed on the workers.
     """
-    import pandas as pd
-
     def vectorised(lat: pd.Series, lon: pd.Series, res: pd.Series) -> pd.Series:
         return pd.Series(label(lat, lon, res)).astype("int64")
 

@@ -34,7 +34,8 @@ def ramp_table(stops: Sequence[str]) -> list[tuple[int, int, int]]:
 
 
 def ramp_position(value: Column, lo: Column, hi: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / (hi - lo)))
+    place = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / (hi - lo)))
+    return F.when(value.isNotNull(), place)
 
 
 def ramp_rgb(value: Column, lo: Column, hi: Column, stops: Sequence[str], fade: bool = False) -> Column:

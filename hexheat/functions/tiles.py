@@ -24,7 +24,8 @@ def lonlat_to_tile(lon: Column, lat: Column, z: Column) -> Column:
     def kept(value: Column) -> Column:
         return F.least(F.greatest(F.floor(value).cast("double"), F.lit(0.0)), n - 1.0).cast("int")
 
-    return F.struct(kept(across).alias("x"), kept(down).alias("y"))
+    tile = F.struct(kept(across).alias("x"), kept(down).alias("y"))
+    return F.when(lon.isNotNull() & lat.isNotNull(), tile)
 
 
 def tile_to_lonlat(z: Column, x: Column, y: Column, px: Column, py: Column, extent: Column) -> Column:

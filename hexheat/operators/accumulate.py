@@ -51,24 +51,30 @@ def sustained_heat(film: DataFrame, quantised: bool = True, **params: float) ->
 def sweep(film: DataFrame, params: list[dict], quantised: bool = True) -> DataFrame:
     """`param, cell, t, l, load_q` for every row of `params`, numbered from 0.
 
-    The film is shuffled and sorted once whatever the number of parameter rows. Rows then
-    stream past in (cell, t) order and the only state is one number per parameter row, so
-    neither a long series nor a wide sweep is ever held in memory.
+    The film is shuffled and sorted once whatever the number of parameter rows: cells are
+    spread by hash, and each partition is put in time order, a sort on one number. Rows then
+    stream past, and all that is kept is one number per (parameter row, cell of the partition),
+    however long the series is.
     """
     rows = [tuple(float({**DEFAULTS, **p}[name]) for name in PARAMETERS) for p in params]
-    ordered = present(film, quantised).repartition("cell").sortWithinPartitions("cell", "t")
+    ordered = present(film, quantised).repartition("cell").sortWithinPartitions("t")
+    if not quantised:
+        ordered = drivers(ordered, quantised=False)
     t_type = film.schema["t"].dataType.simpleString()
     schema = f"param int, cell bigint, t {t_type}, l double"
+    scanner = _scanner(rows, quantised, (S.HI_STEPS_PER_C, S.HI_OFFSET_C), S.FULL_VENT_MS, S.FULL_FLUSH_MM)
+    return ordered.mapInArrow(scanner, schema).withColumn("load_q", quantise_load(F.col("l")))
 
-    return drivers(ordered, quantised).mapInArrow(_scanner(rows, S.FULL_VENT_MS, S.FULL_FLUSH_MM), schema).withColumn("load_q", quantise_load(F.col("l")))
 
+def _scanner(
+    params: list[tuple], quantised: bool, hi_code: tuple[float, float], full_vent: float, full_flush: float
+) -> Callable[[Iterator], Iterator]:
+    """The recurrence over Arrow batches in time order.
 
-def _scanner(params: list[tuple], full_vent: float, full_flush: float) -> Callable[[Iterator], Iterator]:
-    """The recurrence over Arrow batches sorted by (cell, t).
-
-    Every step is an affine map L -> A L + B. Maps compose, so a batch is solved by doubling:
-    after k rounds each row holds the composition of its last 2^k steps. A cell's first row has
-    A = 0, which keeps cells apart; the first row of a batch starts from the carried state.
+    Every step is an affine map L -> A L + B. Maps compose, so a batch, its rows gathered by
+    cell, is solved by doubling: after k rounds each row holds the composition of its last 2^k
+    steps. A cell's first row starts from the carried state and has A = 0, which keeps cells
+    apart.
 
     The function is self-contained, so workers need numpy and pyarrow but not this package.
     """
@@ -77,36 +83,49 @@ def _scanner(params: list[tuple], full_vent: float, full_flush: float) -> Callab
         import numpy as np
         import pyarrow as pa
 
-        last_cell, carried = None, [0.0] * len(params)
+        def columns(batch: pa.RecordBatch, order: np.ndarray) -> list[np.ndarray]:
+            if not quantised:
+                return [batch.column(c).to_numpy()[order] for c in ("hi", "ws", "mm")]
+            hi = batch.column("hi_q").to_numpy()[order] / hi_code[0] - hi_code[1]
+            wx = batch.column("wx_q").to_numpy()[order]
+            return [hi, (wx >> 4).astype(float), (wx & 15) / 2.0]
+
+        known, carried = np.empty(0, dtype=np.int64), np.empty((len(params), 0))
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
             cell = batch.column("cell").to_numpy()
-            hi, ws, mm = (batch.column(c).to_numpy() for c in ("hi", "ws", "mm"))
-            new = np.empty(n, dtype=bool)
-            new[0] = cell[0] != last_cell
-            np.not_equal(cell[1:], cell[:-1], out=new[1:])
-            longest = int(np.diff(np.concatenate(([0], np.flatnonzero(new), [n]))).max())
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            ends = np.append(starts[1:], n) - 1
+            longest = int((ends - starts).max()) + 1
+            seen = np.union1d(known, cell[starts])
+            if len(seen) > len(known):
+                wider = np.zeros((len(params), len(seen)))
+                wider[:, np.searchsorted(seen, known)] = carried
+                known, carried = seen, wider
+            place = np.searchsorted(known, cell[starts])
+            hi, ws, mm = columns(batch, order)
+            cells, times = pa.array(cell), batch.column("t").take(pa.array(order))
             for number, (half_life, threshold, flush, vent) in enumerate(params):
                 a = 2.0 ** (-1.0 / half_life)
                 excess = np.maximum(hi - threshold, 0.0) * np.maximum(1.0 - vent * ws / full_vent, 0.0)
                 left = 1.0 - flush * np.minimum(mm / full_flush, 1.0)
                 A, B = a * left, (1.0 - a) * excess * left
-                A[new] = 0.0
-                B[0] += A[0] * carried[number]
-                A[0] = 0.0
+                B[starts] += A[starts] * carried[number, place]
+                A[starts] = 0.0
                 step = 1
                 while step < longest:
                     B[step:] += A[step:] * B[:-step]
                     A[step:] = A[step:] * A[:-step]
                     step *= 2
-                carried[number] = float(B[-1])
+                carried[number, place] = B[ends]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number, dtype=np.int32)), batch.column("cell"), batch.column("t"), pa.array(B)],
+                    [pa.array(np.full(n, number, dtype=np.int32)), cells, times, pa.array(B)],
                     names=["param", "cell", "t", "l"],
                 )
-            last_cell = cell[-1]
 
     return scan
 

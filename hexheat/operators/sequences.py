@@ -54,11 +54,10 @@ def delta_decode(entries: DataFrame, part: list[str], order: str, width: int = S
     entry"; any other code is the offset plus one. The first entry has no previous one, so its
     code is always read as written.
     """
-    summed = running_sum(entries, part, order, {"id": "delta", "length_upto": "length"}, width)
+    counted = entries.withColumn("one", F.lit(1))
+    marked = running_sum(counted, part, order, {"id": "delta", "length_upto": "length", "nth": "one"}, width)
     start = F.col("length_upto") - F.col("length")
-    first = F.col(order) == F.col("first_order")
-    firsts = entries.groupBy(*part).agg(F.min(order).alias("first_order"))
-    marked = summed.join(firsts, part)
+    first = F.col("nth") == 1
     anchor = F.when(first | (F.col("offset_code") != 0), F.col("offset_code") - 1 - start)
     anchored = running_last(marked, part, order, anchor, "anchor", width)
     return anchored.select(*part, order, "id", "run", "length", (F.col("anchor") + start).alias("offset"))

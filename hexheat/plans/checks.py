@@ -405,7 +405,8 @@ check("filter_divisions", ["counties"], "SELECT id, name, region, part, len(ring
 check("all_pieces", ["pieces", "divisions", "counties"], " UNION ALL ".join(
     f"SELECT id, part, region, len(rings)::INT AS n_rings FROM {t}" for t in ("pieces", "divisions", "counties")))
 check("ring_edges", ["county_edges"], f"SELECT id, part, {r6('x0')}, {r6('y0')}, {r6('x1')}, {r6('y1')} FROM county_edges")
-check("explode_parts", ["counties"], "SELECT id, count(*) AS n_parts, sum(len(rings))::BIGINT AS n_rings FROM counties GROUP BY id")
+check("explode_parts", ["counties"], """
+    SELECT part AS id, 0 AS part, len(rings)::INT AS n_rings FROM counties UNION ALL SELECT part, 1, 1 FROM counties""")
 check("polyfill_center", ["division_edges", "mask_points"],
       f"SELECT yi, xi, id FROM ({inside('division_edges', 'mask_points', 'yi, xi, px, py', 'px', 'py')})")
 check("polyfill_counties", ["county_edges", "mask_points"],

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# A pixel lookup for a continental 3 km grid is ~2M rows x ~28 bytes; above this many bytes
-# the hint is left off and the planner (with run-time sizes) picks a shuffled join.
-BROADCAST_LIMIT = 128 << 20
+# The pixel lookup of a continental 3 km grid is ~2M rows of two INTs and a BIGINT, ~32 MB.
+# Above this estimate the hint is left off and the planner, with run-time sizes, picks a
+# shuffled join.
+BROADCAST_LIMIT = 64 << 20
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:

@@ -71,8 +71,12 @@ def landed_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.where(F.lit(False))
 
 
-def land_closed(spark: SparkSession, source: DataFrame, path: str, shard: str = "run") -> None:
-    """Write the closed shards that are not landed yet.
+def land_closed(
+    spark: SparkSession, source: DataFrame, path: str, shard: str = "run", cluster: tuple[str, ...] = ("yi", "xi")
+) -> None:
+    """Write the closed shards that are not landed yet, a few files a shard.
+
+    Range partitioning on shard and pixel splits a big shard and gathers small ones.
 
     The newest shard may still grow, so it never lands. Partitions are replaced whole: a run
     that was cut off and started again leaves no duplicates.
@@ -81,7 +85,7 @@ def land_closed(spark: SparkSession, source: DataFrame, path: str, shard: str =
     closed = source.where(F.col(shard) < newest)
     held = landed_table(spark, path, source).select(shard).distinct()
     (
-        to_fetch(closed, held, [shard])
+        to_fetch(closed, held, [shard]).repartitionByRange(shard, *cluster)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
     )
 
