@@ -48,19 +48,26 @@ def axial_of(cell: Column) -> tuple[Column, Column]:
 
 
 def cell_of(lat: Column, lon: Column, res: int) -> Column:
-    """Id of the hexagon that holds a point."""
+    """Id of the hexagon that holds a point; NULL for a point without coordinates."""
+    nan = F.lit(float("nan"))
+    cell = cell_at(F.coalesce(lat, nan), F.coalesce(lon, nan), res)
+    return F.when(lat.isNotNull() & lon.isNotNull(), cell)
+
+
+def cell_at(lat: Column, lon: Column, res: int) -> Column:
+    """The same for coordinates known to be numbers, without the test."""
     s = edge_km(res)
-    x = F.radians(lon) * (EARTH_KM * COS0)
-    y = F.sin(F.radians(lat)) * (EARTH_KM / COS0)
-    q = (x * (ROOT3 / 3.0) - y / 3.0) / s
-    r = y * (2.0 / 3.0) / s
+    # factors and no quotients: a quotient may be NULL in Spark's eyes, and is tested for it
+    x = F.radians(lon) * (EARTH_KM * COS0 * ROOT3 / (3.0 * s))
+    y = F.sin(F.radians(lat)) * (EARTH_KM / (COS0 * 3.0 * s))
+    q, r = x - y, y * 2.0
     # Round both axes, then move one step along the axis with the larger rest if it reaches
     # past the edge: the nearest centre in two comparisons.
     rest_q, rest_r = q - F.rint(q), r - F.rint(r)
     along_q = F.abs(rest_q) >= F.abs(rest_r)
     return id_of_axial(
-        F.rint(q) + F.when(along_q, F.rint(rest_q + rest_r / 2.0)).otherwise(0.0),
-        F.rint(r) + F.when(along_q, 0.0).otherwise(F.rint(rest_r + rest_q / 2.0)),
+        F.rint(q) + F.when(along_q, F.rint(rest_q + rest_r * 0.5)).otherwise(0.0),
+        F.rint(r) + F.when(along_q, 0.0).otherwise(F.rint(rest_r + rest_q * 0.5)),
     )
 
 

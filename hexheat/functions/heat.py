@@ -56,13 +56,22 @@ def rain_mm(rate: Column) -> Column:
     return rate * 3600.0
 
 
+def or_nan(value: Column) -> Column:
+    """NULL as NaN: a number that cannot be NULL needs no NULL checks in generated code."""
+    return F.coalesce(value.cast("double"), F.lit(float("nan")))
+
+
 def heat_index_c(tc: Column, rh: Column) -> Column:
-    """NWS heat index in deg C. NULL when either input is missing.
+    """NWS heat index in deg C. NULL when either input is missing."""
+    return F.when(is_finite(tc) & is_finite(rh), heat_index_of(c_to_f(or_nan(tc)), or_nan(rh)))
+
+
+def heat_index_of(t: Column, r: Column) -> Column:
+    """The same from deg F and % that are known to be numbers.
 
     Kept short on purpose: it is generated into the loop that finishes the fold, and a loop
-    body past a few thousand bytes of bytecode is not compiled to machine code.
+    body past 8,000 bytes of bytecode is never compiled to machine code.
     """
-    t, r = c_to_f(tc.cast("double")), rh.cast("double")
     # 0.5 [T + 61 + 1.2 (T - 68) + 0.094 R], gathered
     steadman = t * 1.1 + r * 0.047 - 10.3
 
@@ -79,9 +88,7 @@ def heat_index_c(tc: Column, rh: Column) -> Column:
         .otherwise(0.0)
     )
     regression = (steadman + t) * 0.5 >= REGRESSION_FROM_F
-    hi = f_to_c(F.when(regression, rothfusz + adjustment).otherwise(steadman))
-    # Finite inputs give a finite index. Testing them keeps the formula in the plan once.
-    return F.when(is_finite(tc) & is_finite(rh), hi)
+    return f_to_c(F.when(regression, rothfusz + adjustment).otherwise(steadman))
 
 
 def _clipped(value: Column, top: int) -> Column:

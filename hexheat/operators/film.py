@@ -8,23 +8,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexheat import schemas as S
 from hexheat.functions import (
-    cell_hex, cell_of, dequantise_hi, dequantise_load, heat_index_c, pack_wx, quantise_hi,
+    c_to_f, cell_hex, cell_of, dequantise_hi, dequantise_load, heat_index_of, is_finite, or_nan,
+    pack_wx, quantise_hi,
 )
 from hexheat.session import broadcast_checked
 
 
 def heat_film(cell_hour: DataFrame) -> DataFrame:
-    """Heat index, its code and the packed weather byte. No data is NULL, not a code."""
+    """Heat index, its code and the packed weather byte, a row wherever there is an index.
+
+    A (cell, hour) without temperature or humidity has no row; `densify` shows it as NULL.
+    Nothing here can be NULL, and the defaults say so to the planner: a later
+    `hi_q IS NOT NULL` is then dropped, where else it would repeat the whole formula.
+    """
     def optional(name: str) -> Column:
         return F.col(name) if name in cell_hour.columns else F.lit(0.0)
 
-    return cell_hour.withColumn(
-        "hi", heat_index_c(F.col("tc"), F.col("rh")).cast("float")
-    ).select(
-        "cell", "t", "hi",
-        quantise_hi(F.col("hi")).alias("hi_q"),
+    # in steps: a column used many times is then computed once
+    inputs = cell_hour.where(is_finite(F.col("tc")) & is_finite(F.col("rh"))).select(
+        "cell", "t", c_to_f(or_nan(F.col("tc"))).alias("f"), or_nan(F.col("rh")).alias("r"),
         pack_wx(optional("ws"), optional("mm")).alias("wx_q"),
     )
+    index = or_nan(heat_index_of(F.col("f"), F.col("r"))).cast("float")
+    code = F.coalesce(quantise_hi(F.col("hi")), F.lit(S.NO_DATA).cast("smallint"))
+    return inputs.select("cell", "t", index.alias("hi"), "wx_q").select(
+        "cell", "t", "hi", code.alias("hi_q"), "wx_q"
+    )
 
 
 def frames(film: DataFrame) -> DataFrame:

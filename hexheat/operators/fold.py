@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexheat import schemas as S
 from hexheat.functions import (
-    cell_area_km2, cell_of, is_present, or_null, rain_mm, valid_time, wind_speed,
+    cell_area_km2, cell_at, is_finite, is_present, or_nan, or_null, rain_mm, valid_time, wind_speed,
 )
 from hexheat.session import broadcast_checked
 
@@ -28,8 +28,14 @@ def drop_missing(df: DataFrame, column: str = "tc") -> DataFrame:
 
 
 def label_pixels(grid: DataFrame, res: int) -> DataFrame:
-    """The cell of every pixel. A pixel never moves, so it is labelled once and not per hour."""
-    return grid.withColumn("cell", cell_of(F.col("lat"), F.col("lon"), res))
+    """The cell of every pixel that has coordinates.
+
+    A pixel never moves, so it is labelled once and not per hour. The default is never taken;
+    it tells the planner that a cell is not NULL, so a join on it repeats no formula.
+    """
+    lat, lon = F.col("lat"), F.col("lon")
+    cell = F.coalesce(cell_at(or_nan(lat), or_nan(lon), res), F.lit(0).cast("bigint"))
+    return grid.where(is_finite(lat) & is_finite(lon)).withColumn("cell", cell)
 
 
 def land_pixels(pixels: DataFrame, land_cells: DataFrame) -> DataFrame:

@@ -124,19 +124,29 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     A fifth fail one of the division filters, some lack a region or a division id, and every
     ninth has a hole.
     """
-    key = F.col("c_custkey")
-    x0 = -124.0 + (key * SPREAD % 5500) / 100.0
-    y0 = 25.0 + (key * 104729 % 2200) / 100.0
-    w, h = 0.61 + (key % 7) * 0.15, 0.53 + (key % 5) * 0.17
-    shell = _ring(x0, y0, [(F.lit(0.0), F.lit(0.0)), (w, F.lit(0.13)), (w * 0.9, h), (F.lit(0.1), h * 0.8)])
-    hole = _ring(x0, y0, [(w * 0.3, h * 0.3), (w * 0.3, h * 0.6), (w * 0.6, h * 0.6), (w * 0.6, h * 0.3)])
+    customers = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS key", "c_name", "c_mktsegment",
+        f"-124D + (c_custkey * {SPREAD} % 5500) / 100D AS x0", "25D + (c_custkey * 104729 % 2200) / 100D AS y0",
+        "0.61D + (c_custkey % 7) * 0.15D AS w", "0.53D + (c_custkey % 5) * 0.17D AS h",
+    )
+    key, x0, y0, w, h = (F.col(c) for c in ("key", "x0", "y0", "w", "h"))
+
+    def ring(corners: list[tuple[float, float, float, float]]) -> Column:
+        """Closed ring of corners (a, b, c, d) at (x0 + a + b w, y0 + c + d h)."""
+        points = F.array(*[F.array(*[F.lit(v) for v in corner]) for corner in [*corners, corners[0]]])
+        return F.transform(points, lambda p: F.struct(
+            (x0 + (p[0] + p[1] * w)).alias("x"), (y0 + (p[2] + p[3] * h)).alias("y")
+        ))
+
+    shell = ring([(0.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.13, 0.0), (0.0, 0.9, 0.0, 1.0), (0.1, 0.0, 0.0, 0.8)])
+    hole = ring([(0.0, 0.3, 0.0, 0.3), (0.0, 0.3, 0.0, 0.6), (0.0, 0.6, 0.0, 0.6), (0.0, 0.6, 0.0, 0.3)])
     rings = (
         F.when(key % 31 == 0, F.array().cast(S.RINGS))
         .when(key % 9 == 0, F.array(shell, hole))
         .otherwise(F.array(shell))
     )
     own = F.concat(F.lit("area-"), key.cast("string"))
-    return table(spark, sf, "customer").select(
+    return customers.select(
         F.when(key % 13 == 0, F.lit("")).when(key % 17 != 0, F.concat(F.lit("div-"), (key % 997).cast("string")))
         .alias("division_id"),
         own.alias("id"),
@@ -156,9 +166,11 @@ def raw_rings(spark: SparkSession, sf: str) -> DataFrame:
 
     Exteriors have positive shoelace area in tile coordinates (y down).
     """
-    key = F.col("c_custkey")
-    x0, y0 = (key * SPREAD % 4096).cast("double"), (key * 104729 % 4096).cast("double")
-    side = 20.0 + key % 30
+    customers = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS id", f"double(c_custkey * {SPREAD} % 4096) AS x0", "double(c_custkey * 104729 % 4096) AS y0",
+        "20D + c_custkey % 30 AS side",
+    )
+    x0, y0, side = (F.col(c) for c in ("x0", "y0", "side"))
 
     def square(x: Column, y: Column, s: Column, hole: bool) -> Column:
         corners = [(F.lit(0.0), F.lit(0.0)), (s, F.lit(0.0)), (s, s), (F.lit(0.0), s)]
@@ -166,8 +178,8 @@ def raw_rings(spark: SparkSession, sf: str) -> DataFrame:
 
     first = [square(x0, y0, side, False), square(x0 + 5.0, y0 + 5.0, side * 0.25, True)]
     second = [square(x0 + 100.0, y0, side * 0.5, False), square(x0 + 102.0, y0 + 2.0, side * 0.125, True)]
-    rings = F.when(key % 2 == 1, F.array(*first, *second)).otherwise(F.array(*first))
-    return table(spark, sf, "customer").select(key.alias("id"), F.posexplode(rings).alias("ord", "ring"))
+    rings = F.when(F.col("id") % 2 == 1, F.array(*first, *second)).otherwise(F.array(*first))
+    return customers.select("id", F.posexplode(rings).alias("ord", "ring"))
 
 
 def tile_points(spark: SparkSession, sf: str) -> DataFrame:
