@@ -40,11 +40,11 @@ def or_zero(value: Column) -> Column:
 
 
 def c_to_f(celsius: Column) -> Column:
-    return celsius * 1.8 + 32.0
+    return celsius * 9.0 / 5.0 + 32.0
 
 
 def f_to_c(fahrenheit: Column) -> Column:
-    return (fahrenheit - 32.0) * (5.0 / 9.0)
+    return (fahrenheit - 32.0) * 5.0 / 9.0
 
 
 def wind_speed(u: Column, v: Column) -> Column:
@@ -63,7 +63,7 @@ def or_nan(value: Column) -> Column:
 
 def heat_index_c(tc: Column, rh: Column) -> Column:
     """NWS heat index in deg C. NULL when either input is missing."""
-    return F.when(is_finite(tc) & is_finite(rh), heat_index_of(c_to_f(or_nan(tc)), or_nan(rh)))
+    return F.when(is_finite(tc) & is_finite(rh), heat_index_of(or_nan(c_to_f(tc.cast("double"))), or_nan(rh)))
 
 
 def heat_index_of(t: Column, r: Column) -> Column:
@@ -72,8 +72,7 @@ def heat_index_of(t: Column, r: Column) -> Column:
     Kept short on purpose: it is generated into the loop that finishes the fold, and a loop
     body past 8,000 bytes of bytecode is never compiled to machine code.
     """
-    # 0.5 [T + 61 + 1.2 (T - 68) + 0.094 R], gathered
-    steadman = t * 1.1 + r * 0.047 - 10.3
+    steadman = 0.5 * (t + 61.0 + (t - 68.0) * 1.2 + r * 0.094)
 
     def in_r(row: tuple[float, float, float]) -> Column:
         return F.lit(row[0]) + r * (row[1] + r * row[2])

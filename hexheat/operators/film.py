@@ -26,7 +26,7 @@ def heat_film(cell_hour: DataFrame) -> DataFrame:
 
     # in steps: a column used many times is then computed once
     inputs = cell_hour.where(is_finite(F.col("tc")) & is_finite(F.col("rh"))).select(
-        "cell", "t", c_to_f(or_nan(F.col("tc"))).alias("f"), or_nan(F.col("rh")).alias("r"),
+        "cell", "t", or_nan(c_to_f(F.col("tc").cast("double"))).alias("f"), or_nan(F.col("rh")).alias("r"),
         pack_wx(optional("ws"), optional("mm")).alias("wx_q"),
     )
     index = or_nan(heat_index_of(F.col("f"), F.col("r"))).cast("float")
