@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.llm.common import table
 from hexheat.llm.exact_dedup import exact_groups
+from hexheat.llm.licences import scan_licences
+from hexheat.llm.secrets import scan_secrets
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -29,3 +32,13 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        coalesce(doc_id = min(doc_id) OVER g, false) AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY norm)
 """
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
