@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.llm.common import table
+from hexheat.llm.bpe import digests
 from hexheat.llm.main_text import extract_pages
 from hexheat.llm.exact_dedup import exact_groups
 from hexheat.llm.licences import scan_licences
@@ -48,3 +49,8 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
