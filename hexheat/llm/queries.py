@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.llm.common import table
+from hexheat.llm.quality import score_quality
 from hexheat.llm.bpe import digests
 from hexheat.llm.main_text import extract_pages
 from hexheat.llm.exact_dedup import exact_groups
@@ -54,3 +55,8 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
