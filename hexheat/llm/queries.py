@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.llm.common import table
+from hexheat.llm.mixing import mix_words
 from hexheat.llm.quality import score_quality
 from hexheat.llm.bpe import digests
 from hexheat.llm.main_text import extract_pages
@@ -60,3 +61,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_words(table(spark, sf_dir, "documents"))
