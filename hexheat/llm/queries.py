@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.llm.common import table
+from hexheat.llm.ngram_join import near_copies
 from hexheat.llm.mixing import mix_words
 from hexheat.llm.quality import score_quality
 from hexheat.llm.bpe import digests
@@ -66,3 +67,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
