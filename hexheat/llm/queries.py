@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.llm.common import table
+from hexheat.llm.lattice_join import near_vectors
 from hexheat.llm.ngram_join import near_copies
 from hexheat.llm.mixing import mix_words
 from hexheat.llm.quality import score_quality
@@ -72,3 +73,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_lattice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
