@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.llm.common import table
+from hexheat.llm.suffix_dedup import removal_digests
 from hexheat.llm.lattice_join import near_vectors
 from hexheat.llm.ngram_join import near_copies
 from hexheat.llm.mixing import mix_words
@@ -78,3 +79,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_lattice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
