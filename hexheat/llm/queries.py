@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_pipeline import run as run_pipeline
 from hexheat.llm.common import table
 from hexheat.llm.suffix_dedup import removal_digests
 from hexheat.llm.lattice_join import near_vectors
@@ -84,3 +85,8 @@ def op6_lattice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_pipeline(spark, sf_dir)
