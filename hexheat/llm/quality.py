@@ -173,7 +173,12 @@ def fit_quality(rows: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     At most `fit_rows` rows reach the driver. Repeated labels of a document count each.
     """
     known = labels.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    chosen = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *NAMES).limit(fit_rows).toPandas()
+    labelled = rows.join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    # The least hashes; a bound on them first, or each task would send `fit_rows` rows.
+    share = 1.2 * fit_rows / max(1, labelled.count())
+    if share < 1:
+        labelled = labelled.where(F.col("draw") < int(-(2**63) + share * 2**64))
+    chosen = labelled.orderBy("draw", "doc_id", "quality", *NAMES).limit(fit_rows).toPandas()
     return fit(chosen[NAMES].to_numpy(float), chosen["quality"].to_numpy(float))
 
 
