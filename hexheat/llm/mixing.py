@@ -28,6 +28,7 @@ SHARD = 4096
 SEED = 20240607
 ROWS_A_BUCKET = 20_000
 ROUNDS = 4
+SLOTS_A_TASK = 200_000
 
 
 @dataclass
@@ -202,6 +203,7 @@ def drawn(sizes: DataFrame, sources: list[Source], shard: int = SHARD, seed: int
 def filled(runs: DataFrame, sources: list[Source]) -> DataFrame:
     """shard, source_no, slot, round, block, words: which block each slot takes, and how many of its words."""
     ends = [s.last_round() for s in sources]
+    tasks = max(1, sum(s.slots for s in sources) // SLOTS_A_TASK)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -218,7 +220,7 @@ def filled(runs: DataFrame, sources: list[Source]) -> DataFrame:
                     ["shard", "source_no", "slot", "round", "block", "words"],
                 )
 
-    return runs.mapInArrow(fill, "shard long, source_no int, slot long, round int, block long, words long")
+    return runs.repartition(tasks, "shard").mapInArrow(fill, "shard long, source_no int, slot long, round int, block long, words long")
 
 
 def source_table(sizes: DataFrame, sources: list[Source]) -> DataFrame:
