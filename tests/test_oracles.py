@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from hexheat.plans.catalogue import QUERIES
+from hexheat.plans.checks import CHECKS as SQL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -15,7 +17,6 @@ TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
     "smallint": "SMALLINT", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN",
 }
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
 
 def test_entry_runs(spark):
