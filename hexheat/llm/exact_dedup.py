@@ -54,11 +54,11 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = chunk_ha
     group of NULL ids alone has keep_id NULL and keeps nothing). Repeated rows are rows of the group like any
     other: each counts in group_size and is marked like its twin. Further columns of `docs` are not read.
     """
-    texts = docs.select("doc_id", normal(text_or_empty()).alias("norm"))
-    cut = texts.select("doc_id", "norm", chunks(F.col("norm")).alias("chunks"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normal(text_or_empty()).alias("norm"))
+    cut = texts.select("row", "doc_id", "norm", chunks(F.col("norm")).alias("chunks"))
     recipes = stored(
         cut.select(
-            "doc_id",
+            "row", "doc_id",
             F.transform("chunks", hash_of).alias("recipe"),
             F.sha2("norm", 256).alias("text_sha256"),
         ),
@@ -69,12 +69,12 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = chunk_ha
     if bad.isEmpty():
         recipes = recipes.withColumn("told_apart", F.lit(None).cast("string"))
     else:
-        places = cut.select("doc_id", F.posexplode("chunks").alias("place", "chunk")).withColumn("hash", hash_of(F.col("chunk")))
+        places = cut.select("row", F.posexplode("chunks").alias("place", "chunk")).withColumn("hash", hash_of(F.col("chunk")))
         places = places.join(bad, "hash", "left_semi")
-        told = places.groupBy("doc_id").agg(
+        told = places.groupBy("row").agg(
             F.to_json(F.array_sort(F.collect_set(F.struct("place", F.sha2("chunk", 512).alias("name"))))).alias("told_apart")
         )
-        recipes = recipes.join(told, "doc_id", "left")
+        recipes = recipes.join(told, "row", "left")
     groups = recipes.groupBy("recipe", "told_apart").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     r, g = recipes.alias("r"), groups.alias("g")
     same = (F.col("r.recipe") == F.col("g.recipe")) & F.col("r.told_apart").eqNullSafe(F.col("g.told_apart"))
