@@ -96,7 +96,7 @@ def shared_out(sizes: Sequence[int], weights: Sequence[float], most: float = MOS
     total, targets = float(sum(sizes)), [0.0] * len(sizes)
     left, mass = total, float(sum(weights))
     for i in sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i]):
-        targets[i] = min(most * sizes[i], left * weights[i] / mass) if left > 0 else 0.0
+        targets[i] = float(min(most * sizes[i], left * weights[i] / mass)) if left > 0 else 0.0
         left, mass = left - targets[i], mass - weights[i]
     return targets
 
