@@ -19,20 +19,6 @@ def hex_rgb(text: Column) -> Column:
     return F.struct(channel(2).alias("r"), channel(4).alias("g"), channel(6).alias("b"))
 
 
-def ramp_table(stops: Sequence[str]) -> list[tuple[int, int, int]]:
-    """256 colours linearly between the stops."""
-    ends = [tuple(bytes.fromhex(stop[1:])) for stop in stops]
-    table = []
-    for step in range(STEPS):
-        place = step / (STEPS - 1) * (len(ends) - 1)
-        left = min(int(place), len(ends) - 2)
-        share = place - left
-        table.append(tuple(
-            int(a * (1 - share) + b * share + 0.5) for a, b in zip(ends[left], ends[left + 1])
-        ))
-    return table
-
-
 def ramp_position(value: Column, lo: Column, hi: Column) -> Column:
     place = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / (hi - lo)))
     return F.when(value.isNotNull(), place)
@@ -44,12 +30,15 @@ def ramp_rgb(value: Column, lo: Column, hi: Column, stops: Sequence[str], fade:
     `fade` makes low values translucent, as the load map does.
     """
     place = ramp_position(value, lo, hi)
-    step = F.floor(place * (STEPS - 1) + 0.5).cast("int") + 1
-    table = ramp_table(stops)
+    # The place in STEPS steps, then between two neighbouring stops.
+    at = F.floor(place * (STEPS - 1) + 0.5) / (STEPS - 1) * (len(stops) - 1)
+    left = F.least(F.floor(at), F.lit(len(stops) - 2)).cast("int")
 
     def channel(k: int) -> Column:
-        lookup = F.array(*[F.lit(colour[k]) for colour in table])
-        return F.when(value.isNull(), F.lit(S.NO_DATA_RGBA[k])).otherwise(F.element_at(lookup, step))
+        levels = F.array(*[F.lit(float(int(stop[1 + 2 * k:3 + 2 * k], 16))) for stop in stops])
+        low, high = F.get(levels, left), F.get(levels, left + 1)
+        mixed = F.floor(low * (1 - (at - left)) + high * (at - left) + 0.5).cast("int")
+        return F.when(value.isNull(), F.lit(S.NO_DATA_RGBA[k])).otherwise(mixed)
 
     opaque = F.lit(S.INDEX_ALPHA)
     faded = (F.floor(place * S.LOAD_ALPHA_SPAN + 0.5) + S.LOAD_ALPHA_BASE).cast("int")

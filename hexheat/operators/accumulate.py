@@ -44,24 +44,45 @@ def drivers(rows: DataFrame, quantised: bool = True) -> DataFrame:
 
 
 def sustained_heat(film: DataFrame, quantised: bool = True, **params: float) -> DataFrame:
-    """`cell, t, l, load_q` for one set of parameters."""
+    """`cell, t, l, load_q` for one set of parameters, with the codes `hi_q, wx_q` it came from."""
     return sweep(film, [{**DEFAULTS, **params}], quantised).drop("param")
 
 
-def sweep(film: DataFrame, params: list[dict], quantised: bool = True) -> DataFrame:
-    """`param, cell, t, l, load_q` for every row of `params`, numbered from 0.
+MOST_PARAMETERS = 100_000
 
-    The film is shuffled and sorted once whatever the number of parameter rows: cells are
+
+def parameter_rows(params: DataFrame | list[dict]) -> list[tuple]:
+    """(param, half_life, threshold, flush, vent) of a parameter table or list.
+
+    A table has its own `param` numbers; columns that it lacks, and NULLs, are the defaults. Every
+    task holds all rows, so a table of more than MOST_PARAMETERS is an error.
+    """
+    if isinstance(params, DataFrame):
+        held = params.select("param", *[c for c in PARAMETERS if c in params.columns]).limit(MOST_PARAMETERS + 1).collect()
+        if len(held) > MOST_PARAMETERS:
+            raise ValueError("too many parameter rows for one sweep; split the table")
+        given = [(r.param, {k: v for k, v in r.asDict().items() if v is not None}) for r in held]
+    else:
+        given = list(enumerate(params))
+    return [(int(i), *[float({**DEFAULTS, **p}[name]) for name in PARAMETERS]) for i, p in given]
+
+
+def sweep(film: DataFrame, params: DataFrame | list[dict], quantised: bool = True) -> DataFrame:
+    """`param, cell, t, l, load_q`, and the film's codes, for every row of `params`.
+
+    `params` is a table with a number `param` and any of the four parameters, or a list, numbered
+    from 0. The film is shuffled and sorted once whatever the number of parameter rows: cells are
     spread by hash, and each partition is put in time order, a sort on one number. Rows then
     stream past, and all that is kept is one number per (parameter row, cell of the partition),
     however long the series is.
     """
-    rows = [tuple(float({**DEFAULTS, **p}[name]) for name in PARAMETERS) for p in params]
+    rows = parameter_rows(params)
     ordered = present(film, quantised).repartition("cell").sortWithinPartitions("t")
     if not quantised:
         ordered = drivers(ordered, quantised=False)
     t_type = film.schema["t"].dataType.simpleString()
-    schema = f"param int, cell bigint, t {t_type}, l double"
+    codes = ", hi_q smallint, wx_q smallint" if quantised else ""
+    schema = f"param int, cell bigint, t {t_type}, l double{codes}"
     scanner = _scanner(rows, quantised, (S.HI_STEPS_PER_C, S.HI_OFFSET_C), S.FULL_VENT_MS, S.FULL_FLUSH_MM)
     return ordered.mapInArrow(scanner, schema).withColumn("load_q", quantise_load(F.col("l")))
 
@@ -109,7 +130,9 @@ def _scanner(
             place = np.searchsorted(known, cell[starts])
             hi, ws, mm = columns(batch, order)
             cells, times = pa.array(cell), batch.column("t").take(pa.array(order))
-            for number, (half_life, threshold, flush, vent) in enumerate(params):
+            kept = ["hi_q", "wx_q"] if quantised else []
+            codes = [batch.column(c).take(pa.array(order)) for c in kept]
+            for number, (param, half_life, threshold, flush, vent) in enumerate(params):
                 a = 2.0 ** (-1.0 / half_life)
                 excess = np.maximum(hi - threshold, 0.0) * np.maximum(1.0 - vent * ws / full_vent, 0.0)
                 left = 1.0 - flush * np.minimum(mm / full_flush, 1.0)
@@ -123,8 +146,8 @@ def _scanner(
                     step *= 2
                 carried[number, place] = B[ends]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number, dtype=np.int32)), cells, times, pa.array(B)],
-                    names=["param", "cell", "t", "l"],
+                    [pa.array(np.full(n, param, dtype=np.int32)), cells, times, pa.array(B), *codes],
+                    names=["param", "cell", "t", "l", *kept],
                 )
 
     return scan
@@ -133,9 +156,9 @@ def _scanner(
 def sweep_by_blocks(film: DataFrame, params: list[dict], quantised: bool = True, block_hours: int = 96) -> DataFrame:
     """The same answer from built-in expressions only, for clusters without Python workers.
 
-    A cell's hours are cut into blocks; a block's steps compose into one affine map; the maps of
-    earlier blocks give the state a block starts from; the block is then replayed from there.
-    Arrays hold at most `block_hours` steps, since a film has one row per (cell, hour).
+    A cell's hours are cut into blocks; a block's steps compose into one affine map. A cell's maps,
+    one a block, are gathered once and walked once for the state each block starts from; the block
+    is then replayed from there. So the work grows with the length of a series and not its square.
     """
     hour = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 3600)
     steps = (
@@ -168,12 +191,19 @@ def sweep_by_blocks(film: DataFrame, params: list[dict], quantised: bool = True,
     shift = F.aggregate(
         "steps", F.lit(0.0), lambda acc, s: (F.col("a") * acc + (1.0 - F.col("a")) * s["e"]) * s["g"]
     )
-    earlier = Window.partitionBy("cell", "param").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    mapped = each.withColumn("map", F.struct(scale.alias("A"), shift.alias("B"))).withColumn(
-        "earlier", F.collect_list("map").over(earlier)
+    maps = each.groupBy("cell", "param").agg(
+        F.sort_array(F.collect_list(F.struct("block", scale.alias("mul"), shift.alias("add"), "steps", "a"))).alias("blocks")
     )
-    start = F.aggregate("earlier", F.lit(0.0), lambda acc, m: m["A"] * acc + m["B"])
-    solved = mapped.withColumn("start", start).withColumn("levels", replay(F.col("start")))
+
+    def onward(acc: Column, m: Column) -> Column:
+        """The level after the block, and the levels before each block so far."""
+        return F.struct((m["mul"] * acc["l"] + m["add"]).alias("l"), F.concat(acc["ls"], F.array(acc["l"])).alias("ls"))
+
+    seed = F.struct(F.lit(0.0).alias("l"), F.array().cast("array<double>").alias("ls"))
+    starts = F.aggregate("blocks", seed, onward, lambda acc: acc["ls"])
+    solved = maps.select("cell", "param", F.explode(F.arrays_zip("blocks", starts.alias("starts"))).alias("b")).select(
+        "cell", "param", F.col("b.blocks.steps").alias("steps"), F.col("b.blocks.a").alias("a"), F.col("b.starts").alias("start")
+    ).withColumn("levels", replay(F.col("start")))
     zipped = F.explode(F.arrays_zip(F.col("steps.t").alias("t"), F.col("levels").alias("l")))
     return solved.select("param", "cell", zipped.alias("row")).select(
         "param", "cell", "row.t", "row.l"

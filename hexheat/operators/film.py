@@ -11,7 +11,7 @@ from hexheat.functions import (
     c_to_f, cell_hex, cell_of, dequantise_hi, dequantise_load, heat_index_of, is_finite, or_nan,
     pack_wx, quantise_hi,
 )
-from hexheat.session import broadcast_checked
+from hexheat.session import broadcast_checked, measured
 
 
 def heat_film(cell_hour: DataFrame) -> DataFrame:
@@ -37,13 +37,26 @@ def heat_film(cell_hour: DataFrame) -> DataFrame:
 
 
 def frames(film: DataFrame) -> DataFrame:
-    """Hours of the film numbered in order. A dimension: a row per hour of the window."""
-    return positions(film.select("t").distinct(), "t", "frame")
+    """Hours of the film numbered in order, written once: a row per hour of the window."""
+    hours = measured(film.select("t").distinct(), "hours")
+    return hours.withColumn("frame", F.row_number().over(Window.orderBy("t")) - 1)
 
 
 def positions(dimension: DataFrame, key: str, name: str = "pos") -> DataFrame:
-    """Dense 0-based place of each key of a small table. Never for the film itself."""
-    return dimension.withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
+    """Dense 0-based place of each row in the order of a unique key, without a task that sees them all.
+
+    Rows are dealt by ranges of the key and written in order with their place inside the range;
+    only the ranges' counts, a row a range, are added up.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = dimension.repartitionByRange(key).sortWithinPartitions(key)
+    rows = measured(ranged.withColumns({"_range": F.spark_partition_id(), "_inside": inside}), "positions")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.count("*").alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
+    )
+    placed = rows.join(F.broadcast(starts), "_range")  # a row a range
+    return placed.select(*dimension.columns, (F.col("_start") + F.col("_inside")).cast("int").alias(name))
 
 
 def index_film(film: DataFrame, hours: DataFrame, cells: DataFrame) -> DataFrame:
@@ -60,7 +73,7 @@ def densify(film: DataFrame, cells: DataFrame, t0: datetime, t1: datetime) -> Da
         F.lit(t0).cast("timestamp_ntz"), F.lit(t1).cast("timestamp_ntz"), F.expr("INTERVAL 1 HOUR")
     )
     scaffold = cells.select("cell", F.explode(hours).alias("t"))
-    present = broadcast_checked(film.select("t").distinct())
+    present = broadcast_checked(measured(film.select("t").distinct(), "hours"))
     return scaffold.join(present, "t", "left_semi").join(film, ["cell", "t"], "left")
 
 
@@ -83,14 +96,19 @@ def frame_snapshot(film: DataFrame, t: datetime) -> DataFrame:
     return hour.where(F.col("day") == F.lit(t.date())) if "day" in film.columns else hour
 
 
-def cell_series(pair: DataFrame, cell: int) -> DataFrame:
-    """One cell's heat index and load over the window, in order."""
-    return pair.where(F.col("cell") == cell).orderBy("t")
+def of_cell(film: DataFrame, cell: int) -> DataFrame:
+    """One cell's film. Taken before the recurrence, which then walks through this cell alone."""
+    return film.where(F.col("cell") == cell)
+
+
+def cell_series(pair: DataFrame) -> DataFrame:
+    """Heat index and load over the window, in order."""
+    return pair.orderBy("t")
 
 
-def pair(film: DataFrame, load: DataFrame) -> DataFrame:
-    """Both fields of the same (cell, hour) side by side."""
-    return film.select("cell", "t", "hi_q").join(load.select("cell", "t", "load_q"), ["cell", "t"])
+def pair(load: DataFrame) -> DataFrame:
+    """Both fields of the same (cell, hour) side by side. The recurrence carries the codes along, so nothing is joined."""
+    return load.select("cell", "t", "hi_q", "load_q")
 
 
 def pick(points: DataFrame, film: DataFrame, res: int) -> DataFrame:

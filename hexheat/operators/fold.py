@@ -8,10 +8,7 @@ from hexheat import schemas as S
 from hexheat.functions import (
     cell_area_km2, cell_at, is_finite, is_present, or_nan, or_null, rain_mm, valid_time, wind_speed,
 )
-from hexheat.session import broadcast_checked
-
-# Spans of land blocks a literal predicate may hold; a full continental grid has about ten.
-MAX_LITERAL_SPANS = 1024
+from hexheat.session import broadcast_checked, measured
 
 
 def guard_resolution(res: int, pixel_area_km2: float | None = None) -> None:
@@ -64,22 +61,19 @@ def block_spans(blocks: DataFrame) -> DataFrame:
 
 
 def prune_blocks(cube: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Keep land blocks by a semi join on the partition columns: pruned while the job runs."""
-    return cube.join(broadcast_checked(blocks), ["yb", "xb"], "left_semi")
+    """Keep land blocks by a semi join on the partition columns: pruned while the job runs.
 
+    The blocks are written first. Estimated from the pixels they come from, they would seem too
+    large to broadcast on a fine grid, and nothing would be pruned.
+    """
+    known = measured(blocks.select("yb", "xb").distinct(), "blocks")
+    return cube.join(broadcast_checked(known), ["yb", "xb"], "left_semi")
 
-def block_predicate(spans: DataFrame) -> Column:
-    """The spans as a literal predicate on `yb, xb`, pruned when the query is planned.
 
-    The spans are grid metadata. Their number is checked; a larger mask must use `prune_blocks`.
-    """
-    rows = spans.limit(MAX_LITERAL_SPANS + 1).collect()
-    if len(rows) > MAX_LITERAL_SPANS:
-        raise ValueError("too many spans for a literal predicate; use prune_blocks")
-    kept = F.lit(False)
-    for row in rows:
-        kept = kept | ((F.col("yb") == row.yb) & F.col("xb").between(row.xb0, row.xb1))
-    return kept
+def in_spans(cube: DataFrame, spans: DataFrame) -> DataFrame:
+    """The same from island spans, however many there are."""
+    blocks = spans.select("yb", F.explode(F.sequence("xb0", "xb1")).alias("xb"))
+    return prune_blocks(cube, blocks)
 
 
 def averages(rain: bool = True, wind: bool = True) -> list[Column]:
@@ -100,7 +94,7 @@ def fold(cube: DataFrame, pixels: DataFrame, rain: bool = True, wind: bool = Tru
 
     The lookup carries the cell, so nothing is computed per pixel-hour but the join, and its
     two INT keys are hashed as one long. Each scan task averages the pixels it holds before
-    the shuffle. Prune a stored cube's blocks first, by `prune_blocks` or `block_predicate`.
+    the shuffle. Prune a stored cube's blocks first, by `prune_blocks`.
     """
     lookup = broadcast_checked(pixels.select("yi", "xi", "cell"))
     read = ["tc", "rh", *(["rain"] if rain else []), *(["u", "v"] if wind else [])]

@@ -6,8 +6,6 @@ above the point and the other is not, and the edge lies to the right. An odd cou
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexheat import schemas as S
@@ -15,6 +13,7 @@ from hexheat.functions import (
     centre_of_axial, county_label, division_key, edge_km, id_of_axial, region_suffix,
 )
 from hexheat.functions.cells import COS0, EARTH_KM, ROOT3
+from hexheat.operators.film import positions
 from hexheat.operators.sequences import running_last
 from hexheat.session import broadcast_checked
 
@@ -189,8 +188,7 @@ def division_table(pieces: DataFrame) -> DataFrame:
     named = pieces.groupBy("id").agg(
         F.min_by("name", "part").alias("name"), F.min_by("region", "part").alias("region")
     )
-    numbered = F.row_number().over(Window.orderBy("id")) - 1  # a row per division: a few thousand
-    return named.withColumn("county_idx", numbered).withColumn(
+    return positions(named, "id", "county_idx").withColumn(
         "label", county_label(F.col("name"), F.col("region"))
     )
 
@@ -221,9 +219,3 @@ def tile_grid(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, kee
     wide = df.withColumns({"ys": F.sequence(y0, y1), "x": F.explode(F.sequence(x0, x1))})
     return wide.select(*keep, "x", F.explode("ys").alias("y"))
 
-
-def scanline_rows(res: int, lat0: float, lat1: float) -> int:
-    """Rows of cell centres between two latitudes: the parallelism of a fill."""
-    step = 1.5 * edge_km(res)
-    up = (math.sin(math.radians(lat1)) - math.sin(math.radians(lat0))) * EARTH_KM / COS0
-    return int(up / step)

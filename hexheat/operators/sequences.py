@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 STRETCH = 1 << 16
+OPEN = (1 << 63) - 1
 
 
 def _stretches(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -73,7 +74,10 @@ def covering_run(entries: DataFrame, keys: DataFrame, part: list[str], width: in
     def cut(df: DataFrame, col: str) -> DataFrame:
         return df.withColumn("stretch", F.floor(F.col(col) / width))
 
-    held = entries.groupBy(*part, "id").agg(F.max("run").alias("run"))
+    # an open run is the longest of all
+    length = F.when(F.col("run") == 0, OPEN).otherwise(F.col("run"))
+    longest = entries.groupBy(*part, "id").agg(F.max(length).alias("run"))
+    held = longest.withColumn("run", F.when(F.col("run") == OPEN, 0).otherwise(F.col("run")).cast(entries.schema["run"].dataType))
     ends = cut(held, "id").groupBy(*part, "stretch").agg(F.max(F.struct("id", "run")).alias("entry"))
     asked = cut(keys.select(*part, "key").distinct(), "key")
     # last entry of any earlier stretch, for the stretches that are asked about

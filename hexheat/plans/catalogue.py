@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hexheat import functions as H, schemas as S
 from hexheat.operators import accumulate, film, fold, regions, sequences, windowing
 from hexheat.plans import mask, sql, week
-from hexheat.session import work_dir
+from hexheat.session import broadcast_checked, measured, work_dir
 from hexheat.sources import archive, derived as D, landing, sinks
 from hexheat.streaming import streams
 
@@ -22,7 +22,6 @@ QUERIES: dict[str, Query] = {}
 
 CUT = 0.4142
 FILL_RES = 5
-LAND_NATIONS = 15
 T0, T1 = datetime(2026, 6, 29), datetime(2026, 7, 5, 23)
 SHOWN_HOUR = datetime(2026, 7, 1, 21)
 
@@ -66,6 +65,12 @@ def load(spark: SparkSession, sf: str) -> DataFrame:
     return accumulate.sustained_heat(heat(spark, sf))
 
 
+def parameters(spark: SparkSession) -> DataFrame:
+    """The sweep's parameter table."""
+    rows = [(i, *[float(p[c]) for c in accumulate.PARAMETERS]) for i, p in enumerate(D.parameters())]
+    return spark.createDataFrame(rows, "param int, half_life double, threshold double, flush double, vent double")
+
+
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that hold a pixel, in id order with their position."""
     return film.positions(pixels(spark, sf).select("cell").distinct(), "cell")
@@ -76,9 +81,8 @@ def counties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def land(spark: SparkSession, sf: str) -> DataFrame:
-    """Land cells of the first regions, so that some blocks hold no land."""
-    some = D.divisions(spark, sf).where(F.substring("id", 5, 2).cast("int") < LAND_NATIONS)
-    return mask.land_cells(some, D.RES)
+    """Land cells of all regions; the grid reaches out to sea, where blocks hold no land."""
+    return mask.land_cells(D.divisions(spark, sf), D.RES)
 
 
 def land_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,9 +117,8 @@ def fold_two_fields(spark, sf):
 @query
 def fold_by_sql(spark, sf):
     sql.register_functions(spark)
-    archive.register_table(windowing.stitch(D.pixel_hours(spark, sf), *S.DEFAULT_WINDOW), "cube")
-    archive.register_table(D.grid(spark, sf), "pixels")
-    hours = sql.fold_sql(spark, D.RES).select(
+    cube = windowing.stitch(D.pixel_hours(spark, sf), *S.DEFAULT_WINDOW)
+    hours = sql.fold_sql(spark, cube, D.grid(spark, sf), D.RES).select(
         "cell", H.valid_time(F.col("init_ts"), F.col("lead_h")).alias("t"), "tc", "rh", "mm", "ws"
     )
     return rounded(hours, "tc", "rh", "mm", "ws")
@@ -141,7 +144,7 @@ def packed_weather(spark, sf):
 
 @query
 def sustained_heat(spark, sf):
-    return rounded(load(spark, sf), "l")
+    return rounded(load(spark, sf).drop("hi_q", "wx_q"), "l")
 
 
 @query
@@ -197,13 +200,13 @@ def cell_extents(spark, sf):
 @query
 def param_sweep(spark, sf):
     """Hourly means of the load for 108 parameter rows."""
-    swept = accumulate.sweep(heat(spark, sf), D.parameters())
+    swept = accumulate.sweep(heat(spark, sf), parameters(spark))
     return rounded(accumulate.load_means(swept, ["param"]), "mean_load")
 
 
 @query
 def sweep_ramp_tops(spark, sf):
-    return accumulate.load_ramp_top(accumulate.sweep(heat(spark, sf), D.parameters()), ["param"])
+    return accumulate.load_ramp_top(accumulate.sweep(heat(spark, sf), parameters(spark)), ["param"])
 
 
 @query
@@ -237,9 +240,11 @@ def day_breaks(spark, sf):
 
 @query
 def cell_series(spark, sf):
-    both = film.pair(heat(spark, sf), load(spark, sf))
-    first = cells(spark, sf).agg(F.min("cell")).scalar()
-    return film.cell_series(both, first)
+    """The first cell of the grid: its film alone goes through the recurrence."""
+    labelled = pixels(spark, sf)
+    first = labelled.agg(F.min("cell")).first()[0]
+    one = week.load_window(D.pixel_hours(spark, sf), film.of_cell(labelled, first))
+    return film.cell_series(film.pair(accumulate.sustained_heat(one)))
 
 
 @query
@@ -261,7 +266,7 @@ def pick_points(spark, sf):
 
 @query
 def ramp_rgb(spark, sf):
-    both = film.shown(film.pair(heat(spark, sf), load(spark, sf)))
+    both = film.shown(film.pair(load(spark, sf)))
     index = H.ramp_rgb(F.col("hi_shown"), F.lit(10.0), F.lit(76.5), S.INDEX_STOPS)
     sustained = H.ramp_rgb(F.col("load_shown"), F.lit(0.0), F.lit(3.8), S.LOAD_STOPS, fade=True)
     coloured = both.withColumns({"i": index, "l": sustained})
@@ -270,7 +275,7 @@ def ramp_rgb(spark, sf):
 
 @query
 def value_labels(spark, sf):
-    both = film.shown(film.pair(heat(spark, sf), load(spark, sf)))
+    both = film.shown(film.pair(load(spark, sf)))
     return both.select(
         "cell", "t", H.hour_label(F.col("t")).alias("hour"),
         H.value_label(F.col("hi_shown")).alias("hi_label"),
@@ -281,7 +286,7 @@ def value_labels(spark, sf):
 @query
 def code_round_trip(spark, sf):
     """Codes to degrees and back, over the film."""
-    both = film.shown(film.pair(heat(spark, sf), load(spark, sf)))
+    both = film.shown(film.pair(load(spark, sf)))
     return both.select(
         "cell", "t", H.quantise_hi(F.col("hi_shown")).alias("hi_again"),
         H.quantise_load(F.col("load_shown")).alias("load_again"),
@@ -328,10 +333,12 @@ def write_dense_film(spark, sf):
 @query
 def memo_fold(spark, sf):
     memo = landing.FoldMemo()
-    key = {"res": D.RES, "window": S.DEFAULT_WINDOW}
+    key = {"res": D.RES, "window": S.DEFAULT_WINDOW, "pixels": pixels(spark, sf).count(), "variables": S.CUBE_VARIABLES}
     first = memo.get(key, lambda: cell_hour(spark, sf))
     again = memo.get(key, lambda: first.where(F.lit(False)))
-    return again.groupBy("t").agg(F.count("*").alias("n"))
+    counted = measured(again.groupBy("t").agg(F.count("*").alias("n")), "memo")
+    memo.release()
+    return counted
 
 
 @query
@@ -475,10 +482,10 @@ def distinct_cells(spark, sf):
 
 @query
 def cell_county(spark, sf):
-    """Land cells with position, county and label; ids ending in 7 are left out of the county table."""
-    pieces = counties(spark, sf)
-    divisions = regions.division_table(pieces.where(~F.col("id").endswith("7")))
-    placed = film.positions(mask.land_cells(pieces, FILL_RES), "cell")
+    """Cells of all areas with position, county and label; areas that are no county give cells without one."""
+    areas = D.features(spark, sf).where(F.size("rings") > 0).withColumn("id", H.division_key(F.col("division_id"), F.col("id")))
+    divisions = regions.division_table(counties(spark, sf))
+    placed = film.positions(mask.land_cells(areas, FILL_RES), "cell")
     named = film.cell_labels(regions.cell_county(placed, divisions), divisions)
     return regions.county_codes(named).select("cell", "pos", "id", "county_idx", "county_code", "label", "readout")
 
@@ -523,10 +530,10 @@ def prune_blocks(spark, sf):
 
 @query
 def masked_fold(spark, sf):
-    """The whole job on a stored archive: land pixels only, blocks pruned by literal spans."""
+    """The whole job on a stored archive: land pixels only, blocks pruned by island spans."""
     lookup = land_lookup(spark, sf)
     spans = fold.block_spans(fold.land_blocks(lookup))
-    cube = stored_cube(spark, sf).where(fold.block_predicate(spans))
+    cube = fold.in_spans(stored_cube(spark, sf), spans)
     return week.load_window(cube, lookup).select("cell", "t", "hi_q", "wx_q")
 
 
@@ -584,9 +591,10 @@ def delta_decode(spark, sf):
 def covering_run(spark, sf):
     """The entry that covers each wanted tile: a wanted tile per line item."""
     entries = sequences.delta_decode(D.directory(spark, sf), ["dir"], "ord", width=1024)
-    keys = D.table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") % 50).cast("int").alias("dir"), (F.col("l_partkey") % 1200).alias("key")
-    )
+    tops = measured(entries.groupBy("dir").agg(F.max("id").alias("top")), "tops")
+    asked = D.table(spark, sf, "lineitem").withColumn("dir", (F.col("l_orderkey") % 50).cast("int"))
+    at = (F.col("l_partkey") * D.SPREAD + F.col("l_orderkey")) % (F.col("top") + 8)
+    keys = asked.join(broadcast_checked(tops), "dir").select("dir", at.alias("key"))
     found = sequences.covering_run(entries, keys, ["dir"], width=256)
     return found.groupBy("dir", "key", "id", "run").agg(F.count("*").alias("n"))
 

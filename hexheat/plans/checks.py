@@ -14,7 +14,7 @@ from hexheat.functions.tiles import MERCATOR_LAT
 from hexheat.sources import derived as D
 
 CHECKS: dict[str, str] = {}
-FILL_RES, LAND_NATIONS = 5, 15
+FILL_RES = 5
 
 
 def d(value: float) -> str:
@@ -51,22 +51,26 @@ def check(name: str, needs: list[str], body: str) -> None:
 
 
 def pixel_columns(key: str) -> str:
-    at = f"(({key} * {D.SPREAD}) % {D.PIXELS})"
-    return (f"({at} // 100)::INT AS yi, ({at} % 100)::INT AS xi, "
-            f"({at} // 100 // {D.BLOCK_ROWS})::INT AS yb, ({at} % 100 // {D.BLOCK_COLS})::INT AS xb")
+    at = f"(({key} * {D.SPREAD}) % (2 * cols * cols))"
+    return (f"({at} // cols)::INT AS yi, ({at} % cols)::INT AS xi, "
+            f"({at} // cols // greatest(1, least({D.BLOCK_ROWS}, cols // 5)))::INT AS yb, "
+            f"({at} % cols // greatest(1, least({D.BLOCK_COLS}, cols // 10)))::INT AS xb")
 
 
 START = f"TIMESTAMP '{D.FIRST_INIT}'"
-cte("pixel_hours", [], f"""
-    SELECT (l_orderkey % 28)::INT AS run, {START} + to_hours((l_orderkey % 28)::INT * 6) AS init_ts,
+cte("shape", [], f"""
+    SELECT greatest(4, floor(sqrt((SELECT count(*) // 2 FROM part))))::BIGINT AS cols,
+           {D.RUNS_A_WEEK} * greatest(1, (SELECT count(*) // {D.ORDERS_A_WEEK} FROM orders)) AS runs""")
+cte("pixel_hours", ["shape"], f"""
+    SELECT (l_orderkey % runs)::INT AS run, {START} + to_hours((l_orderkey % runs)::INT * 6) AS init_ts,
            (l_linenumber - 1)::INT AS lead_h, {pixel_columns("l_partkey")},
            CASE WHEN l_orderkey % 97 = 0 THEN 'NaN'::DOUBLE ELSE 10e0 + 6e-1 * l_quantity END AS tc,
-           10e0 + 900e0 * l_discount AS rh, greatest(l_tax - 4e-2, 0e0) / 40e0 AS rain,
+           CASE WHEN l_orderkey % 89 = 0 THEN 'NaN'::DOUBLE ELSE 10e0 + 900e0 * l_discount END AS rh, greatest(l_tax - 4e-2, 0e0) / 40e0 AS rain,
            (l_suppkey % 17 - 8)::DOUBLE AS u, (l_orderkey % 13 - 6)::DOUBLE AS v
-    FROM lineitem""")
-cte("grid", [], f"""
-    SELECT *, 24.4e0 + 1255e-4 * yi AS lat, -124.8e0 + 579e-3 * xi AS lon
-    FROM (SELECT DISTINCT {pixel_columns("p_partkey")} FROM part)""")
+    FROM lineitem CROSS JOIN shape""")
+cte("grid", ["shape"], f"""
+    SELECT yi, xi, yb, xb, {d(D.SOUTH)} + {d(D.HEIGHT)} * yi / (2 * cols) AS lat, {d(D.WEST_END)} + {d(D.WIDTH)} * xi / cols AS lon
+    FROM (SELECT DISTINCT cols, {pixel_columns("p_partkey")} FROM part CROSS JOIN shape)""")
 
 
 def hexed(source: str, res: int, keep: str, lat: str = "lat", lon: str = "lon") -> str:
@@ -89,7 +93,7 @@ cte("cells", ["pix"], "SELECT cell, (row_number() OVER (ORDER BY cell) - 1)::INT
 
 def fold(leads: int, pixels: str = "pix") -> str:
     return f"""
-    SELECT init_ts, lead_h, cell, init_ts + to_hours(lead_h) AS t, avg(tc)::FLOAT AS tc, avg(rh)::FLOAT AS rh,
+    SELECT init_ts, lead_h, cell, init_ts + to_hours(lead_h) AS t, avg(tc)::FLOAT AS tc, nullif(avg(rh), 'NaN'::DOUBLE)::FLOAT AS rh,
            (avg(rain) * 3600)::FLOAT AS mm, avg(sqrt(u * u + v * v))::FLOAT AS ws
     FROM pixel_hours JOIN {pixels} USING (yi, xi)
     WHERE NOT isnan(tc) AND lead_h < {leads} GROUP BY init_ts, lead_h, cell"""
@@ -113,7 +117,7 @@ def film_of(source: str) -> str:
                        -42.379e0 + 2.04901523e0 * f + 10.14333127e0 * r - 0.22475541e0 * f * r - 0.00683783e0 * f * f
                        - 0.05481717e0 * r * r + 0.00122874e0 * f * f * r + 0.00085282e0 * f * r * r
                        - 0.00000199e0 * f * f * r * r AS h
-                FROM (SELECT *, tc::DOUBLE * 9 / 5 + 32 AS f, rh::DOUBLE AS r FROM {source})))"""
+                FROM (SELECT *, tc::DOUBLE * 9 / 5 + 32 AS f, rh::DOUBLE AS r FROM {source} WHERE rh IS NOT NULL)))"""
 
 
 cte("film", ["cell_hour"], film_of("cell_hour"))
@@ -253,9 +257,9 @@ check("value_labels", ["film", "load"], """
            printf('+%.1f°C', load_q / 10e0) AS load_label FROM film JOIN load USING (cell, t)""")
 check("code_round_trip", ["film", "load"], f"""
     SELECT cell, t, hi_q AS hi_again, load_q AS load_again, {r6('hi_q / 2e0 - 40', 'hi_back')} FROM film JOIN load USING (cell, t)""")
-check("stage_stats", ["film"], f"""
+check("stage_stats", ["film", "cell_hour"], f"""
     SELECT 'film' AS stage, count(*) AS n_rows, {r6('min(hi)', 'min_hi')}, {r6('max(hi)', 'max_hi')}, min(t) AS min_t, max(t) AS max_t FROM film
-    UNION ALL SELECT 'cell_hour', count(*), {r6('min(tc)', 'a')}, {r6('max(tc)', 'b')}, min(t), max(t) FROM film""")
+    UNION ALL SELECT 'cell_hour', count(*), {r6('min(tc)', 'a')}, {r6('max(tc)', 'b')}, min(t), max(t) FROM cell_hour""")
 check("film_config", ["quantiles", "frames"], f"""
     SELECT r.lo, r.mid, r.hi, 12e0 AS half_life, {D.RES} AS res, true AS has_rain, frame, strftime(t, '%Y-%m-%d %H:%MZ') AS label
     FROM frames CROSS JOIN ({ramp("p50")}) r""")
@@ -365,6 +369,8 @@ def edges_of(source: str) -> str:
 
 
 cte("county_edges", ["counties"], edges_of("counties"))
+cte("areas", ["features"], "SELECT coalesce(nullif(division_id, ''), id) AS id, part, rings FROM features WHERE len(rings) > 0")
+cte("area_edges", ["areas"], edges_of("areas"))
 cte("division_edges", ["divisions"], edges_of("divisions"))
 cte("piece_edges", ["pieces"], edges_of("pieces"))
 cte("mask_points", ["grid"], f"SELECT *, lon + {d(D.NUDGE_LON)} AS px, lat + {d(D.NUDGE_LAT)} AS py FROM grid")
@@ -394,11 +400,10 @@ def centres(name: str, edges: str, res: int) -> None:
 
 centres("fill_centres", "county_edges", FILL_RES)
 centres("coarse_centres", "county_edges", D.RES)
-cte("some_edges", ["division_edges"], f"SELECT * FROM division_edges WHERE substr(id, 5, 2)::INT < {LAND_NATIONS}")
-centres("land_centres", "some_edges", D.RES)
+centres("land_centres", "division_edges", D.RES)
 cte("filled", ["county_edges", "fill_centres"], inside("county_edges", "fill_centres", "cell", "lon", "lat"))
 cte("filled_coarse", ["county_edges", "coarse_centres"], inside("county_edges", "coarse_centres", "cell", "lon", "lat"))
-cte("filled_land", ["some_edges", "land_centres"], inside("some_edges", "land_centres", "cell", "lon", "lat"))
+cte("filled_land", ["division_edges", "land_centres"], inside("division_edges", "land_centres", "cell", "lon", "lat"))
 cte("land_pix", ["pix", "filled_land"], "SELECT * FROM pix WHERE cell IN (SELECT cell FROM filled_land)")
 
 check("filter_divisions", ["counties"], "SELECT id, name, region, part, len(rings)::INT AS n_rings FROM counties")
@@ -419,11 +424,13 @@ DIVISION_TABLE = """
     SELECT *, (row_number() OVER (ORDER BY id) - 1)::INT AS county_idx, name || ', ' || region AS label
     FROM (SELECT id, min_by(name, part) AS name, min_by(region, part) AS region FROM {} GROUP BY id)"""
 check("division_table", ["counties"], DIVISION_TABLE.format("counties"))
-check("cell_county", ["filled", "counties"], f"""
+centres("area_centres", "area_edges", FILL_RES)
+cte("filled_areas", ["area_edges", "area_centres"], inside("area_edges", "area_centres", "cell", "lon", "lat"))
+check("cell_county", ["filled_areas", "counties"], f"""
     SELECT cell, pos, id, county_idx, coalesce(county_idx, 65535) AS county_code, label,
            coalesce('cell in ' || label, 'cell ' || printf('%x', cell)) AS readout
-    FROM (SELECT cell, min(id) AS id, (row_number() OVER (ORDER BY cell) - 1)::INT AS pos FROM filled GROUP BY cell)
-    LEFT JOIN ({DIVISION_TABLE.format("(SELECT * FROM counties WHERE id NOT LIKE '%7')")}) USING (id)""")
+    FROM (SELECT cell, min(id) AS id, (row_number() OVER (ORDER BY cell) - 1)::INT AS pos FROM filled_areas GROUP BY cell)
+    LEFT JOIN ({DIVISION_TABLE.format("counties")}) USING (id)""")
 check("land_pixels", ["land_pix"], "SELECT yi, xi, cell FROM land_pix")
 check("land_blocks", ["land_pix"], "SELECT yb, xb, count(*) AS n_pixels FROM land_pix GROUP BY yb, xb")
 check("block_islands", ["land_pix"], """
@@ -498,10 +505,11 @@ cte("entries", ["directory"], """
     FROM (SELECT *, sum(delta) OVER (PARTITION BY dir ORDER BY ord)::BIGINT AS id, row_number() OVER (PARTITION BY dir ORDER BY ord) AS n,
                  (sum(length) OVER (PARTITION BY dir ORDER BY ord) - length)::BIGINT AS before FROM directory)""")
 check("delta_decode", ["entries"], 'SELECT dir, ord, id, run, length, "offset" FROM entries')
-check("covering_run", ["entries"], """
+check("covering_run", ["entries"], f"""
     SELECT dir, key, CASE WHEN run = 0 OR key - id < run THEN id END AS id, CASE WHEN run = 0 OR key - id < run THEN run END AS run, n
     FROM (SELECT k.dir, k.key, e.id, e.run, k.n, row_number() OVER (PARTITION BY k.dir, k.key ORDER BY e.id DESC) AS nth
-          FROM (SELECT (l_orderkey % 50)::INT AS dir, l_partkey % 1200 AS key, count(*) AS n FROM lineitem GROUP BY 1, 2) k
+          FROM (SELECT dir, (l_partkey * {D.SPREAD} + l_orderkey) % (top + 8) AS key, count(*) AS n
+                FROM lineitem JOIN (SELECT dir, max(id) AS top FROM entries GROUP BY dir) ON dir = l_orderkey % 50 GROUP BY 1, 2) k
           LEFT JOIN entries e ON e.dir = k.dir AND e.id <= k.key)
     WHERE nth = 1""")
 check("zigzag_moves", ["directory"], """

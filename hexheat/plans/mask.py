@@ -10,7 +10,7 @@ from hexheat.operators import film, fold, regions
 def land_cells(pieces: DataFrame, res: int) -> DataFrame:
     """Cells whose centre is in a division: `cell, id`, one row each."""
     filled = regions.polyfill_cells(regions.ring_edges(pieces), res)
-    return regions.distinct_cells(regions.dissolve(filled, ["cell"]))
+    return regions.distinct_cells(filled)
 
 
 def cell_table(pieces: DataFrame, res: int) -> DataFrame:

@@ -32,14 +32,14 @@ FUNCTIONS = {
 
 FOLD_SQL = """
     WITH labelled AS (
-        SELECT yi, xi, cell_of(lat, lon, :res) AS cell FROM pixels
+        SELECT yi, xi, cell_of(lat, lon, :res) AS cell FROM {pixels}
     )
     SELECT init_ts, lead_h, cell,
            CAST(avg(tc) AS FLOAT) AS tc,
-           CAST(avg(rh) AS FLOAT) AS rh,
+           CAST(nullif(avg(rh), double('NaN')) AS FLOAT) AS rh,
            CAST(rain_mm(avg(rain)) AS FLOAT) AS mm,
            CAST(avg(wind_speed(u, v)) AS FLOAT) AS ws
-    FROM cube JOIN labelled USING (yi, xi)
+    FROM {cube} JOIN labelled USING (yi, xi)
     WHERE tc IS NOT NULL AND NOT isnan(tc)
     GROUP BY init_ts, lead_h, cell
 """
@@ -51,8 +51,8 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
 
 
-def fold_sql(spark: SparkSession, res: int) -> DataFrame:
-    """The fold as SQL text over the views `cube` and `pixels`, resolution as a parameter."""
-    return spark.sql(FOLD_SQL, args={"res": res})
+def fold_sql(spark: SparkSession, cube: DataFrame, pixels: DataFrame, res: int) -> DataFrame:
+    """The fold as SQL text over two frames, resolution as a parameter; no view is made or replaced."""
+    return spark.sql(FOLD_SQL, args={"res": res}, cube=cube, pixels=pixels)
 
 

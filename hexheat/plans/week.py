@@ -25,4 +25,4 @@ def load_window(
 
 def heat_and_load(heat: DataFrame, **params: float) -> DataFrame:
     """Both fields side by side: what the two panes of a viewer read."""
-    return film.shown(film.pair(heat, accumulate.sustained_heat(heat, **params)))
+    return film.shown(film.pair(accumulate.sustained_heat(heat, **params)))

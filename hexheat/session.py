@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,17 +35,32 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder on the storage the cluster names in `spark.checkpoint.dir`.
+    """A fresh folder below `spark.checkpoint.dir`, or below the warehouse where that is unset.
 
-    Every executor must reach it. Only where the setting is absent (a local run) does a
-    temporary folder of this machine stand in.
+    Every executor reaches both. `drop_work` removes all that a session has put there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="hexheat-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/hexheat/{name}-{uuid.uuid4().hex}"
+    return f"{_work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _work_root(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/_hexheat/{spark.sparkContext.applicationId}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Remove the work folders of this session; frames read from them are gone with them."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def measured(df: DataFrame, name: str = "dimension") -> DataFrame:
+    """A dimension computed once and written, so that its size is known and not estimated.
+
+    For what is small by its nature but follows a large plan: hours, blocks, runs.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

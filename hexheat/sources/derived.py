@@ -1,25 +1,25 @@
 """Gridded inputs derived from the test tables, as FIXTURES.md defines them.
 
-A reading per line item, a pixel per part, a region per nation, a parcel per customer: all
-grow with the tables they come from.
+A reading per line item, a pixel per part, a week of runs per so many orders, a region per
+nation, a parcel per customer: all grow with the tables they come from. Some readings lack
+temperature, some humidity.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexheat import schemas as S
 
 FIRST_INIT = "2026-06-29 00:00:00"
-N_RUNS = 28
-INITS = [
-    f"TIMESTAMP_NTZ'{datetime.fromisoformat(FIRST_INIT) + timedelta(hours=S.RUN_SPACING_HOURS * i)}'" for i in range(N_RUNS)
-]
-GRID_ROWS, GRID_COLS = 200, 100
+# A week of runs, and one more week for each further ORDERS_A_WEEK orders.
+RUNS_A_WEEK, ORDERS_A_WEEK = 28, 150_000
+# The grid reaches beyond all regions: what lies outside is sea.
+SOUTH, HEIGHT, WEST_END, WIDTH = 20.4, 33.1, -133.0, 74.0
 BLOCK_ROWS, BLOCK_COLS = 20, 10
-PIXELS = GRID_ROWS * GRID_COLS
 SPREAD = 7919
 RES = 3
 NUDGE_LON, NUDGE_LAT = 0.0137, 0.0071
@@ -47,21 +47,47 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def _pixel(key: str) -> list[str]:
-    at = f"(({key} * {SPREAD}) % {PIXELS})"
-    yi, xi = f"int({at} div {GRID_COLS})", f"int({at} % {GRID_COLS})"
-    return [f"{yi} AS yi", f"{xi} AS xi", f"int({yi} div {BLOCK_ROWS}) AS yb", f"int({xi} div {BLOCK_COLS}) AS xb"]
+@dataclass(frozen=True)
+class Shape:
+    """The archive's size, from the tables': twice as many rows as columns, a pixel for each part."""
+
+    cols: int
+    runs: int
+
+    @property
+    def rows(self) -> int:
+        return 2 * self.cols
+
+    @property
+    def block_rows(self) -> int:
+        return max(1, min(BLOCK_ROWS, self.rows // 10))
+
+    @property
+    def block_cols(self) -> int:
+        return max(1, min(BLOCK_COLS, self.cols // 10))
+
+
+def shape(spark: SparkSession, sf: str) -> Shape:
+    parts, orders = (table(spark, sf, t).count() for t in ("part", "orders"))
+    return Shape(max(4, math.isqrt(parts // 2)), RUNS_A_WEEK * max(1, orders // ORDERS_A_WEEK))
+
+
+def _pixel(key: str, grid: Shape) -> list[str]:
+    at = f"(({key} * {SPREAD}) % {grid.rows * grid.cols})"
+    yi, xi = f"int({at} div {grid.cols})", f"int({at} % {grid.cols})"
+    return [f"{yi} AS yi", f"{xi} AS xi", f"int({yi} div {grid.block_rows}) AS yb", f"int({xi} div {grid.block_cols}) AS xb"]
 
 
 def pixel_hours(spark: SparkSession, sf: str) -> DataFrame:
     """One reading per line item: (run, lead, pixel) and five variables."""
-    run = f"int(l_orderkey % {N_RUNS})"
-    init = f"element_at(array({', '.join(INITS)}), {run} + 1)"
-    yi, xi, yb, xb = _pixel("l_partkey")
+    size = shape(spark, sf)
+    run = f"int(l_orderkey % {size.runs})"
+    init = f"timestampadd(HOUR, {S.RUN_SPACING_HOURS} * {run}, TIMESTAMP_NTZ'{FIRST_INIT}')"
+    yi, xi, yb, xb = _pixel("l_partkey", size)
     return table(spark, sf, "lineitem").selectExpr(
         f"{run} AS run", f"{init} AS init_ts", "l_linenumber - 1 AS lead_h", yi, xi,
         "CASE WHEN l_orderkey % 97 = 0 THEN double('NaN') ELSE 10D + 0.6D * l_quantity END AS tc",
-        "10D + 900D * l_discount AS rh",
+        "CASE WHEN l_orderkey % 89 = 0 THEN double('NaN') ELSE 10D + 900D * l_discount END AS rh",
         "greatest(l_tax - 0.04D, 0D) / 40D AS rain",
         "double(l_suppkey % 17 - 8) AS u", "double(l_orderkey % 13 - 6) AS v",
         f"to_date({init}) AS init_day", yb, xb,
@@ -70,8 +96,9 @@ def pixel_hours(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels and their coordinates, from the parts."""
-    return table(spark, sf, "part").selectExpr(*_pixel("p_partkey")).distinct().selectExpr(
-        "yi", "xi", "yb", "xb", "24.4D + 0.1255D * yi AS lat", "-124.8D + 0.579D * xi AS lon",
+    size = shape(spark, sf)
+    return table(spark, sf, "part").selectExpr(*_pixel("p_partkey", size)).distinct().selectExpr(
+        "yi", "xi", "yb", "xb", f"{SOUTH}D + {HEIGHT}D * yi / {size.rows} AS lat", f"{WEST_END}D + {WIDTH}D * xi / {size.cols} AS lon",
     )
 
 
@@ -106,9 +133,7 @@ def pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _regions(spark: SparkSession, sf: str, part: str, corners: tuple) -> DataFrame:
-    nation = table(spark, sf, "nation").join(
-        F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return nation.select(
         F.concat(F.lit("div-"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("id"),
         F.col("n_name").alias("name"),
@@ -185,7 +210,7 @@ def raw_rings(spark: SparkSession, sf: str) -> DataFrame:
 def tile_points(spark: SparkSession, sf: str) -> DataFrame:
     """Every pixel at zooms 0 to 8, one in seven moved beyond the Mercator cut-off."""
     g = grid(spark, sf)
-    beyond = (F.col("yi") * GRID_COLS + F.col("xi")) % 7 == 0
+    beyond = (F.col("yi") * 100 + F.col("xi")) % 7 == 0
     lat = F.when(beyond, F.col("lat") + 61.5).otherwise(F.col("lat"))
     return g.select("yi", "xi", "lon", lat.alias("lat"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("z"))
 
@@ -251,15 +276,6 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(key.alias("req"), body.alias("body"))
 
 
-def event_hours(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly mean per user, the batch image of the streaming fold."""
-    ev = table(spark, sf, "events")
-    return (
-        ev.groupBy(F.col("user_id").alias("cell"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).alias("t"))
-        .agg(F.avg("value").alias("value"), F.count("*").alias("n"))
-    )
-
-
 def parameters() -> list[dict]:
     """The sweep: 4 half-lives x 3 thresholds x 3 flushes x 3 vents."""
     return [

@@ -18,14 +18,21 @@ def table_key(parts: dict) -> str:
 def cached_table(spark: SparkSession, base: str, parts: dict, build: Callable[[], DataFrame]) -> DataFrame:
     """The result stored under its key, built and stored when it is not there.
 
-    A write that failed leaves no readable table behind and is overwritten by the next one.
+    A marker is written after the data, and data without it is never read: a write that was cut
+    off is done again.
     """
     path = f"{base.rstrip('/')}/{table_key(parts)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    marker = f"{path}.complete"
+    if not _exists(spark, marker):
+        build().write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(marker)
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is there, with the success file that ends a write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 class FoldMemo:

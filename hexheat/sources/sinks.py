@@ -14,12 +14,13 @@ from hexheat.operators.film import densify, frames, index_film, no_data_codes
 def write_film(film: DataFrame, path: str) -> None:
     """Frame-major film, a folder per UTC day, rows in (hour, cell) order.
 
-    Range partitioning on (t, cell) splits every hour evenly, however many cells it has.
+    Range partitioning on (t, cell) splits every hour evenly, however many cells it has. The whole
+    film is replaced, whatever the session says of partitions: no day of an older window stays.
     """
     (
         film.withColumn("day", F.to_date("t"))
         .repartitionByRange("day", "t", "cell").sortWithinPartitions("day", "t", "cell")
-        .write.mode("overwrite").partitionBy("day").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(path)
     )
 
 
