@@ -5,6 +5,7 @@ Values are rounded here, and only here, so that two engines can be compared.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -91,14 +92,28 @@ def land_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
     asked = windowing.parse_window(D.requests(spark, sf))
-    return windowing.resolve_window(asked, archive.scan_runs(D.pixel_hours(spark, sf)))
+    return windowing.resolve_window(asked, runs(spark, sf))
+
+
+CUBES: dict[tuple[str, str], str] = {}
+
+
+def cube_path(spark: SparkSession, sf: str) -> str:
+    """The readings written as an archive, once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in CUBES:
+        path = work_dir(spark, "cube")
+        archive.write_cube(D.pixel_hours(spark, sf), path)
+        CUBES[key] = path
+    return CUBES[key]
 
 
 def stored_cube(spark: SparkSession, sf: str) -> DataFrame:
-    """The readings written as an archive and scanned back."""
-    path = work_dir(spark, "cube")
-    archive.write_cube(D.pixel_hours(spark, sf), path)
-    return archive.scan_cube(spark, path)
+    return archive.scan_cube(spark, cube_path(spark, sf))
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    return archive.stored_runs(spark, cube_path(spark, sf))
 
 
 # ---- fold and film ------------------------------------------------------------------------
@@ -308,10 +323,16 @@ def stage_stats(spark, sf):
 def film_config(spark, sf):
     """The config row, read back from its JSON: a row per hour label."""
     f = heat(spark, sf)
-    row = sinks.film_config(f, film.index_ramp(f), {"res": D.RES, "has_rain": True})
-    schema = "labels array<string>, lo double, mid double, hi double, half_life double, res int, has_rain boolean"
+    request = spark.createDataFrame([(json.dumps(dict(zip(("d0", "d1"), S.DEFAULT_WINDOW))),)], "body string")
+    asked = windowing.resolve_window(windowing.parse_window(request), runs(spark, sf))
+    window = sinks.window_block(windowing.read_cost(asked, len(S.CUBE_VARIABLES)), runs(spark, sf))
+    row = sinks.film_config(f, film.index_ramp(f), {"res": D.RES, "has_rain": True, "has_wind": True}, window)
+    schema = (
+        "labels array<string>, lo double, mid double, hi double, half_life double, res int, has_rain boolean, has_wind boolean, "
+        "window struct<first_day string, last_day string, d0 string, d1 string, max_days int, cost string, sec_per_day double, leads int>"
+    )
     read = row.select(F.from_json("config", schema).alias("c"))
-    hours = read.select("c.*").select("*", F.posexplode("labels").alias("frame", "label")).drop("labels")
+    hours = read.select("c.*").select("*", "window.*", F.posexplode("labels").alias("frame", "label")).drop("labels", "window")
     return rounded(hours, "lo", "mid", "hi")
 
 
@@ -368,19 +389,18 @@ def stitch_union(spark, sf):
 
 @query
 def scan_runs(spark, sf):
-    return archive.scan_runs(D.pixel_hours(spark, sf))
+    return runs(spark, sf)
 
 
 @query
 def run_extent(spark, sf):
-    return archive.run_extent(archive.scan_runs(D.pixel_hours(spark, sf)))
+    return archive.run_extent(runs(spark, sf))
 
 
 @query
 def last_days(spark, sf):
-    cube = D.pixel_hours(spark, sf)
-    kept = archive.last_days(archive.scan_runs(cube), 3)
-    return cube.join(F.broadcast(kept.select("run")), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
+    kept = measured(archive.last_days(runs(spark, sf), 3).select("run"), "runs")
+    return stored_cube(spark, sf).join(broadcast_checked(kept), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
 
 
 @query
@@ -397,8 +417,49 @@ def resolve_window(spark, sf):
 @query
 def resolve_last_days(spark, sf):
     asked = windowing.parse_window(D.requests(spark, sf))
-    runs = archive.scan_runs(D.pixel_hours(spark, sf))
-    return windowing.resolve_window(asked, runs, default=5).drop("body")
+    return windowing.resolve_window(asked, runs(spark, sf), default=5).drop("body")
+
+
+@query
+def films_of_requests(spark, sf):
+    """Every request with what its film holds; one read of the archive for all."""
+    requests = D.requests(spark, sf)
+    resolved, films = week.films_of_requests(requests, runs(spark, sf), stored_cube(spark, sf), pixels(spark, sf))
+    held = films.groupBy("d0", "d1").agg(
+        F.count("*").alias("n_rows"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
+        F.sum("hi_q").alias("sum_hi_q"), F.sum("wx_q").alias("sum_wx_q"),
+    )
+    return resolved.drop("body", "n_runs", "t0", "t1").join(held, ["d0", "d1"], "left")
+
+
+@query
+def guard_resolution(spark, sf):
+    """Cells without a pixel at each resolution up to the finest allowed: why finer ones are refused."""
+    found = None
+    for res in range(1, D.RES + 1):
+        fold.guard_resolution(res)
+        land_cells = mask.land_cells(D.divisions(spark, sf), res)
+        held = fold.coverage(fold.label_pixels(D.grid(spark, sf), res), land_cells)
+        row = held.agg(F.lit(res).alias("res"), F.count("*").alias("n_cells"), F.count_if(F.col("n_pixels") == 0).alias("n_empty"))
+        found = row if found is None else found.union(row)
+    return found
+
+
+@query
+def scan_grid(spark, sf):
+    """The grid written and read as an archive keeps it."""
+    path = work_dir(spark, "grid")
+    D.grid(spark, sf).select(*S.GRID.fieldNames()).write.parquet(path)
+    return rounded(archive.scan_grid(spark, path), "lat", "lon")
+
+
+@query
+def scan_pieces(spark, sf):
+    """Division features written and read with typed properties."""
+    path = work_dir(spark, "pieces")
+    D.features(spark, sf).select(*S.PIECES.fieldNames()).write.parquet(path)
+    kept = regions.filter_divisions(archive.scan_pieces(spark, path))
+    return kept.select("id", "name", "region", "part", F.size("rings").alias("n_rings"))
 
 
 @query

@@ -91,12 +91,15 @@ cte("pix", ["grid"], hexed("grid", D.RES, "yi, xi, yb, xb, lat, lon"))
 cte("cells", ["pix"], "SELECT cell, (row_number() OVER (ORDER BY cell) - 1)::INT AS pos FROM (SELECT DISTINCT cell FROM pix)")
 
 
-def fold(leads: int, pixels: str = "pix") -> str:
+WEEK = "AND init_ts >= TIMESTAMP '2026-06-29' AND init_ts < TIMESTAMP '2026-07-06'"
+
+
+def fold(leads: int, pixels: str = "pix", window: str = WEEK) -> str:
     return f"""
     SELECT init_ts, lead_h, cell, init_ts + to_hours(lead_h) AS t, avg(tc)::FLOAT AS tc, nullif(avg(rh), 'NaN'::DOUBLE)::FLOAT AS rh,
            (avg(rain) * 3600)::FLOAT AS mm, avg(sqrt(u * u + v * v))::FLOAT AS ws
     FROM pixel_hours JOIN {pixels} USING (yi, xi)
-    WHERE NOT isnan(tc) AND lead_h < {leads} GROUP BY init_ts, lead_h, cell"""
+    WHERE NOT isnan(tc) AND lead_h < {leads} {window} GROUP BY init_ts, lead_h, cell"""
 
 
 cte("cell_hour", ["pixel_hours", "pix"], fold(6))
@@ -260,15 +263,19 @@ check("code_round_trip", ["film", "load"], f"""
 check("stage_stats", ["film", "cell_hour"], f"""
     SELECT 'film' AS stage, count(*) AS n_rows, {r6('min(hi)', 'min_hi')}, {r6('max(hi)', 'max_hi')}, min(t) AS min_t, max(t) AS max_t FROM film
     UNION ALL SELECT 'cell_hour', count(*), {r6('min(tc)', 'a')}, {r6('max(tc)', 'b')}, min(t), max(t) FROM cell_hour""")
-check("film_config", ["quantiles", "frames"], f"""
-    SELECT r.lo, r.mid, r.hi, 12e0 AS half_life, {D.RES} AS res, true AS has_rain, frame, strftime(t, '%Y-%m-%d %H:%MZ') AS label
-    FROM frames CROSS JOIN ({ramp("p50")}) r""")
 check("memo_fold", ["cell_hour"], "SELECT t, count(*) AS n FROM cell_hour GROUP BY t")
 
 # ---- window -------------------------------------------------------------------------------
 
 cte("runs", ["pixel_hours"], "SELECT DISTINCT run, init_ts FROM pixel_hours")
 cte("archive", ["runs"], "SELECT min(init_ts)::DATE AS lo, max(init_ts)::DATE AS hi FROM runs")
+check("film_config", ["quantiles", "frames", "archive"], f"""
+    SELECT r.lo, r.mid, r.hi, 12e0 AS half_life, {D.RES} AS res, true AS has_rain, true AS has_wind,
+           strftime(a.lo, '%Y-%m-%d') AS first_day, strftime(a.hi, '%Y-%m-%d') AS last_day, '2026-06-29' AS d0,
+           strftime(least(a.hi, DATE '2026-07-05'), '%Y-%m-%d') AS d1, 14 AS max_days,
+           round_even((6 + 30 * (least(a.hi, DATE '2026-07-05') - DATE '2026-06-29' + 1)) / 60e0, 0)::INT || ' min' AS cost,
+           30e0 AS sec_per_day, 6 AS leads, frame, strftime(t, '%Y-%m-%d %H:%MZ') AS label
+    FROM frames CROSS JOIN archive a CROSS JOIN ({ramp("p50")}) r""")
 cte("requests", [], """
     SELECT req, CASE k WHEN 0 THEN '{"d0":"' || a || '","d1":"' || b || '"}' WHEN 1 THEN '{"d0":"' || b || '","d1":"' || a || '"}'
                        WHEN 2 THEN '{"d0":"' || a || '"}' WHEN 3 THEN 'not json'
@@ -305,6 +312,14 @@ RESOLVED, LAST_DAYS = (q.replace(*GUARD).replace(*GUARD1) for q in (RESOLVED, LA
 cte("resolved", ["requests", "runs", "archive"], RESOLVED)
 check("resolve_window", ["resolved"], "SELECT * FROM resolved")
 check("resolve_last_days", ["requests", "runs", "archive"], LAST_DAYS)
+cte("all_hours", ["pixel_hours", "pix"], fold(6, window=""))
+cte("all_film", ["all_hours"], film_of("all_hours"))
+check("films_of_requests", ["resolved", "all_film"], """
+    SELECT req, d0, d1, n_days, status, n_rows, first_t, last_t, sum_hi_q, sum_wx_q
+    FROM resolved LEFT JOIN (
+        SELECT d0, d1, count(*) AS n_rows, min(t) AS first_t, max(t) AS last_t, sum(hi_q)::BIGINT AS sum_hi_q, sum(wx_q)::BIGINT AS sum_wx_q
+        FROM (SELECT DISTINCT d0, d1, t1 FROM resolved WHERE status = 'ok') JOIN all_film ON t::DATE BETWEEN d0 AND d1 AND t <= t1
+        GROUP BY d0, d1) USING (d0, d1)""")
 check("read_cost", ["resolved"], """
     SELECT req, n_days, n_runs * 5 AS n_shards, 30e0 AS sec_per_day, (6 + 30 * n_days)::INT AS cost_s,
            CASE WHEN 6 + 30 * n_days < 90 THEN (6 + 30 * n_days) || ' s'
@@ -443,6 +458,16 @@ check("prune_blocks", ["pixel_hours", "land_pix"], """
 cte("land_hour", ["pixel_hours", "land_pix"], fold(6, "land_pix"))
 cte("land_film", ["land_hour"], film_of("land_hour"))
 check("masked_fold", ["land_film"], "SELECT cell, t, hi_q, wx_q FROM land_film")
+for _res in range(1, D.RES + 1):
+    centres(f"guard_centres{_res}", "division_edges", _res)
+    cte(f"guard_filled{_res}", ["division_edges", f"guard_centres{_res}"], inside("division_edges", f"guard_centres{_res}", "cell", "lon", "lat"))
+    cte(f"guard_pix{_res}", ["grid"], hexed("grid", _res, "yi, xi"))
+check("guard_resolution", [f"guard_{x}{r}" for r in range(1, D.RES + 1) for x in ("filled", "pix")], " UNION ALL ".join(f"""
+    SELECT {r} AS res, count(*) AS n_cells, count(*) FILTER (n = 0) AS n_empty
+    FROM (SELECT cell, count(yi) AS n FROM (SELECT DISTINCT cell FROM guard_filled{r}) LEFT JOIN guard_pix{r} USING (cell) GROUP BY cell)"""
+    for r in range(1, D.RES + 1)))
+check("scan_grid", ["grid"], f"SELECT yi, xi, yb, xb, {r6('lat')}, {r6('lon')} FROM grid")
+check("scan_pieces", ["counties"], "SELECT id, name, region, part, len(rings)::INT AS n_rings FROM counties")
 check("fold_coverage", ["filled_coarse", "pix"], """
     SELECT cell, count(yi) AS n_pixels FROM (SELECT DISTINCT cell FROM filled_coarse) LEFT JOIN pix USING (cell) GROUP BY cell""")
 S3 = edge_km(D.RES)

@@ -88,11 +88,8 @@ PIECES = T.StructType([
     T.StructField("rings", RINGS),
 ])
 
-CELL_HOUR = T.StructType([
-    T.StructField("cell", T.LongType()),
-    T.StructField("t", TS),
-    T.StructField("tc", T.FloatType()),
-    T.StructField("rh", T.FloatType()),
-    T.StructField("mm", T.FloatType()),
-    T.StructField("ws", T.FloatType()),
+RUN_NOTES = T.StructType([
+    T.StructField("run", T.IntegerType()),
+    T.StructField("init_ts", TS),
+    T.StructField("init_day", T.DateType()),
 ])

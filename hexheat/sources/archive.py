@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,14 +21,47 @@ def scan_cube(spark: SparkSession, path: str, variables: Iterable[str] = S.CUBE_
 def write_cube(cube: DataFrame, path: str, mode: str = "append") -> None:
     """Store a cube so that a scan prunes days and pixel blocks.
 
-    The range partitioning splits a crowded (day, block) over several files by pixel and run.
+    The range partitioning splits a crowded (day, block) over several files by pixel and run. The
+    runs that were written are noted beside the cube, after it.
     """
+    cube = cube.withColumn("init_day", F.to_date("init_ts"))
     (
-        cube.withColumn("init_day", F.to_date("init_ts"))
+        cube
         .repartitionByRange("init_day", "yb", "xb", "yi", "xi", "init_ts")
         .sortWithinPartitions(*S.CUBE_PARTITIONS, "yi", "xi", "init_ts", "lead_h")
         .write.mode(mode).partitionBy(*S.CUBE_PARTITIONS).parquet(path)
     )
+    cube.select(*RUNS).distinct().coalesce(1).write.mode(mode).parquet(runs_path(path))
+
+
+RUNS = ("run", "init_ts", "init_day")
+
+
+def runs_path(path: str) -> str:
+    return f"{path.rstrip('/')}.runs"
+
+
+def stored_days(spark: SparkSession, path: str) -> set[date]:
+    """The days that a stored cube has folders for, from one listing of its top folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    return {date.fromisoformat(n.partition("=")[2]) for n in names if n.startswith("init_day=")}
+
+
+def stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The init list of a stored cube, from the table kept beside it and not from the cube.
+
+    Days that have folders but are not in that table, as after a write that was cut off, are read
+    from the cube, and only those.
+    """
+    noted = spark.read.schema(S.RUN_NOTES).parquet(runs_path(path)).distinct()
+    known = {r.init_day for r in noted.select("init_day").distinct().collect()}  # a row a day
+    missed = sorted(stored_days(spark, path) - known)
+    if missed:
+        cube = scan_cube(spark, path, ()).where(F.col("init_day").isin(missed))
+        noted = noted.unionByName(cube.select(*RUNS).distinct())
+    return noted.select("run", "init_ts")
 
 
 def scan_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +70,7 @@ def scan_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_runs(cube: DataFrame) -> DataFrame:
-    """The archive's init list."""
+    """The init list of a cube that is not stored; `stored_runs` is the way for one that is."""
     return cube.select("run", "init_ts").distinct()
 
 

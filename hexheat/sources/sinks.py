@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from hexheat import schemas as S
 from hexheat.functions import hour_label
 from hexheat.operators.film import densify, frames, index_film, no_data_codes
+from hexheat.sources.archive import run_extent
 
 
 def write_film(film: DataFrame, path: str) -> None:
@@ -34,8 +35,18 @@ def write_dense_film(film: DataFrame, cells: DataFrame, path: str, t0: datetime,
     )
 
 
-def film_config(film: DataFrame, ramp: DataFrame, settings: dict) -> DataFrame:
-    """One JSON row: hour labels in order, ramp ends, parameters and window.
+def window_block(costed: DataFrame, runs: DataFrame, leads: int = S.LEADS_PER_RUN) -> DataFrame:
+    """One row for the config from one resolved and costed request: archive ends, window, limit, and the cost to read it."""
+    ends = run_extent(runs).select("first_day", "last_day")
+    first, last = (ends.select(c).scalar() for c in ("first_day", "last_day"))
+    return costed.withColumns({"first_day": first, "last_day": last}).select(F.struct(
+        *[F.date_format(d, "yyyy-MM-dd").alias(d) for d in ("first_day", "last_day", "d0", "d1")],
+        F.lit(S.MAX_WINDOW_DAYS).alias("max_days"), "cost", "sec_per_day", F.lit(leads).alias("leads"),
+    ).alias("window"))
+
+
+def film_config(film: DataFrame, ramp: DataFrame, settings: dict, window: DataFrame | None = None) -> DataFrame:
+    """One JSON row: hour labels in order, ramp ends, parameters, and the window block if there is one.
 
     A label per hour of the window is collected, some hundreds, and never a row per cell.
     """
@@ -48,7 +59,10 @@ def film_config(film: DataFrame, ramp: DataFrame, settings: dict) -> DataFrame:
         "threshold": S.THRESHOLD_C, "half_life": S.HALF_LIFE_H,
         "rain_flush": S.RAIN_FLUSH, "wind_vent": S.WIND_VENT, **settings,
     }
-    body = F.struct("labels", *ends, *[F.lit(value).alias(name) for name, value in fixed.items()])
+    block = []
+    if window is not None:
+        block = [window.select("window").scalar().alias("window")]
+    body = F.struct("labels", *ends, *block, *[F.lit(value).alias(name) for name, value in fixed.items()])
     return labels.select(F.to_json(body).alias("config"))
 
 
