@@ -51,7 +51,7 @@ def main() -> None:
         "int(pmod(id * 48271, 256)) AS g", "int(pmod(id * 69621 div 256, 2048)) + 1 AS n",
     )
     cube = places.join(F.broadcast(readings), ["g", "n"]).selectExpr(
-        f"element_at(array({', '.join(derived.INITS)}), int(h div 6) + 1) AS init_ts", "h % 6 AS lead_h",
+        f"timestampadd(HOUR, h - h % 6, TIMESTAMP_NTZ'{derived.FIRST_INIT}') AS init_ts", "h % 6 AS lead_h",
         "yi", "xi", "tc", "rh", "rain", "u", "v",
     )
     start = time.perf_counter()

@@ -66,7 +66,8 @@ def prune_blocks(cube: DataFrame, blocks: DataFrame) -> DataFrame:
     The blocks are written first. Estimated from the pixels they come from, they would seem too
     large to broadcast on a fine grid, and nothing would be pruned.
     """
-    known = measured(blocks.select("yb", "xb").distinct(), "blocks")
+    # The planner prunes only by a side that is filtered; no block lies before the first.
+    known = measured(blocks.select("yb", "xb").distinct(), "blocks").where("yb >= 0 AND xb >= 0")
     return cube.join(broadcast_checked(known), ["yb", "xb"], "left_semi")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexheat import functions as H, schemas as S
-from hexheat.operators import accumulate, fold, regions, windowing
+from hexheat.operators import accumulate, film, fold, regions, windowing
 from hexheat.plans import catalogue, mask, week
 from hexheat.session import broadcast_checked, estimated_bytes, work_dir
 from hexheat.sources import archive, derived, landing, sinks
@@ -95,6 +95,64 @@ def test_cached_table_is_built_once(spark):
     assert len(built) == 2
 
 
+def test_a_table_cut_off_while_it_was_written_is_built_again(spark):
+    base, parts = work_dir(spark, "cache"), {"zoom": 8}
+    path = f"{base}/{landing.table_key(parts)}"
+    spark.range(1).write.parquet(path)  # files, but no marker after them
+    assert landing.cached_table(spark, base, parts, lambda: spark.range(3)).count() == 3
+    assert landing.cached_table(spark, base, parts, lambda: spark.range(9)).count() == 3
+
+
+def test_a_rewritten_film_keeps_no_day_of_the_old_window(spark):
+    path = work_dir(spark, "film")
+    hours = spark.range(48).selectExpr("timestampadd(HOUR, int(id), TIMESTAMP_NTZ'2026-06-29 00:00:00') AS t", "1L AS cell", "id AS hi_q")
+    sinks.write_film(hours, path)
+    sinks.write_film(hours.where("t >= TIMESTAMP_NTZ'2026-06-30 00:00:00'"), path)
+    assert spark.read.parquet(path).count() == 24
+
+
+def test_work_folders_are_shared_and_can_be_dropped(spark):
+    path = work_dir(spark, "gone")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+
+
+def test_stored_runs_are_read_beside_the_cube(spark, sf):
+    path = work_dir(spark, "cube")
+    cube = derived.pixel_hours(spark, sf)
+    archive.write_cube(cube.where("run < 8"), path)
+    first = archive.stored_runs(spark, path)
+    assert sorted(r.run for r in first.collect()) == list(range(8))
+    assert path + ".runs" in plan_of(first) and path + "]" not in plan_of(first)
+    # A cube written on without its note: its days are found by their folders.
+    cube.where("run >= 8 and run < 12").withColumn("init_day", F.to_date("init_ts")).write.mode("append").partitionBy(*S.CUBE_PARTITIONS).parquet(path)
+    assert sorted(r.run for r in archive.stored_runs(spark, path).collect()) == list(range(12))
+
+
+def test_sql_fold_equals_the_frame_fold_on_odd_readings(spark, sf):
+    """NaN humidity, and views of the user's own that stay what they are."""
+    from hexheat.plans import sql
+
+    spark.range(3).createOrReplaceTempView("cube")
+    sql.register_functions(spark)
+    cube = windowing.stitch(derived.pixel_hours(spark, sf), *S.DEFAULT_WINDOW)
+    assert cube.where("isnan(rh)").count() > 0
+    a = sql.fold_sql(spark, cube, derived.grid(spark, sf), derived.RES).select("cell", "init_ts", "lead_h", "tc", "rh")
+    b = fold.fold(cube, catalogue.pixels(spark, sf)).select(a.columns)
+    assert b.where("rh IS NULL").count() > 0
+    near = a.join(b.withColumnsRenamed({"tc": "tc2", "rh": "rh2"}), ["cell", "init_ts", "lead_h"])
+    assert near.where("abs(tc - tc2) < 1e-4 AND (rh IS NULL AND rh2 IS NULL OR abs(rh - rh2) < 1e-4)").count() == a.count() == b.count()
+    assert spark.table("cube").count() == 3
+    spark.catalog.dropTempView("cube")
+
+
+def test_a_parameter_table(spark, sf):
+    heat = catalogue.heat(spark, sf)
+    table = spark.createDataFrame([(7, 48.0, None), (3, None, 1.0)], "param int, half_life double, flush double")
+    got = {r.param: r.s for r in accumulate.sweep(heat, table).groupBy("param").agg(F.sum("l").alias("s")).collect()}
+    want = [accumulate.sustained_heat(heat, **p).agg(F.sum("l")).first()[0] for p in ({"half_life": 48.0}, {"flush": 1.0})]
+    assert got[7] == pytest.approx(want[0]) and got[3] == pytest.approx(want[1])
+
+
 def test_memo_keeps_only_the_last_answer(spark):
     memo = landing.FoldMemo()
     first = memo.get({"k": 1}, lambda: spark.range(3))
@@ -214,8 +272,45 @@ def test_blocks_and_days_are_pruned(spark, sf, stored):
     assert "dynamicpruning" in pruned
     assert re.search(r"PartitionFilters: \[[^\]]*init_day", pruned)
     assert "wind" not in pruned and "rain" not in re.findall(r"ReadSchema: (.*)", pruned)[0]
-    literal = plan_of(cube.where(fold.block_predicate(fold.block_spans(blocks))))
-    assert re.search(r"PartitionFilters: \[[^\]]*yb", literal)
+    assert fold.in_spans(cube, fold.block_spans(blocks)).count() == fold.prune_blocks(cube, blocks).count() > 0
+
+
+def test_pruning_holds_however_large_the_lookup_seems(spark, sf, stored):
+    """Blocks that follow from a plan estimated far above the broadcast limit still prune the scan."""
+    wide = spark.range(1 << 40).select(F.lit(1).alias("yb"), F.lit(1).alias("xb")).limit(5)
+    huge = wide.unionByName(spark.range(1 << 40).where("id < 0").select(F.lit(2).alias("yb"), F.lit(2).alias("xb")).limit(1))
+    kept = fold.prune_blocks(archive.scan_cube(spark, stored, ["tc"]), huge)
+    assert kept.count() > 0
+    kept.collect()
+    assert re.search(r"dynamicpruningexpression\([xy]b", plan_of(kept))
+
+
+def test_the_film_is_not_shuffled_by_hour(spark, sf):
+    heat = catalogue.heat(spark, sf)
+    for df in (
+        film.index_film(heat, film.frames(heat), catalogue.cells(spark, sf)),
+        film.densify(heat, catalogue.cells(spark, sf), catalogue.T0, catalogue.T1),
+    ):
+        assert not re.search(r"Exchange hashpartitioning\(t#\d+, ", plan_of(df))
+
+
+def test_a_cell_is_taken_before_the_recurrence(spark, sf):
+    plan = plan_of(catalogue.QUERIES["cell_series"](spark, sf))
+    below = plan[plan.index("MapInArrow"):]
+    assert re.search(r"Filter.*cell#\d+L? =|cell_at|= \d{6,}", below)
+
+
+def test_codes_come_out_of_the_recurrence_without_a_join(spark, sf):
+    heat = catalogue.heat(spark, sf)
+    assert plan_of(week.heat_and_load(heat)).count("Join") == plan_of(heat).count("Join")
+
+
+def test_positions_without_one_task(spark):
+    keys = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).where("k <> 5")
+    placed = film.positions(keys, "k")
+    got = sorted((r.k, r.pos) for r in placed.collect())
+    assert [p for _, p in got] == list(range(len(got)))
+    assert film.positions(keys.limit(0), "k").count() == 0
 
 
 def test_broadcast_only_below_the_limit(spark, sf):

@@ -213,10 +213,17 @@ def test_delta_decode_and_cover_against_a_loop(spark):
         assert all((r.id, r.run) == cover(r.dir, r.key) for r in got)
 
 
+def test_an_open_run_is_the_longest(spark):
+    entries = spark.createDataFrame([(0, 5, 0), (0, 5, 2), (0, 20, 3), (0, 20, 1)], "dir int, id long, run int")
+    keys = spark.createDataFrame([(0, 10), (0, 22), (0, 23)], "dir int, key long")
+    got = {r.key: (r.id, r.run) for r in sequences.covering_run(entries, keys, ["dir"]).collect()}
+    assert got == {10: (5, 0), 22: (20, 3), 23: (None, None)}
+
+
 def test_colours(spark):
-    from hexheat.functions.colour import ramp_table
-    table = ramp_table(("#000000", "#ff8000"))
-    assert table[0] == (0, 0, 0) and table[255] == (255, 128, 0) and table[128] == (128, 64, 0)
+    steps = spark.createDataFrame([(k / 255,) for k in (0, 128, 255)], "v double")
+    ramp = H.ramp_rgb(F.col("v"), F.lit(0.0), F.lit(1.0), ("#000000", "#ff8000")).alias("c")
+    assert [(r.r, r.g, r.b) for r in steps.select(ramp).select("c.*").collect()] == [(0, 0, 0), (128, 64, 0), (255, 128, 0)]
     df = spark.createDataFrame([(None,), (-5.0,), (99.0,)], "v double")
     got = df.select(H.ramp_rgb(F.col("v"), F.lit(0.0), F.lit(1.0), ("#000000", "#ff8000"), fade=True).alias("c")).select("c.*").collect()
     assert [tuple(r) for r in got] == [(40, 44, 50, 60), (0, 0, 0, 60), (255, 128, 0, 235)]
