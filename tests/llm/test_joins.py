@@ -67,6 +67,15 @@ def test_suffix_dedup_of_monotone_and_interleaved_texts(make_docs):
     assert got == removed(many)
 
 
+def test_suffix_dedup_of_a_text_longer_than_a_piece(make_docs):
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(suffix_dedup.PIECE + 90_000))
+    at = suffix_dedup.PIECE - 30
+    many = [(5, long), (3, long[at - 40:at + 70]), (9, long[:at] + "new" + long[at:]), (4, long[-60:])]
+    got = sorted((tuple(x) for x in suffix_dedup.removal_digests(make_docs(many)).collect()), key=repr)
+    assert got == removed(many)
+
+
 def test_blind_trie_finds_equal_strings():
     r = random.Random(2)
     strings = ["".join(r.choice("ab") for _ in range(8)).encode() for _ in range(300)]
