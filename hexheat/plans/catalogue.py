@@ -748,7 +748,8 @@ def hex_rgb(spark, sf):
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     events = streams.read_files(spark, sf, streams.EVENT_SCHEMA, "events.parquet")
-    return events.select(F.col("user_id").alias("cell"), "ts", "value")
+    wind, rain = F.col("event_id") % 11, F.col("event_id") % 7 * 0.5
+    return events.select(F.col("user_id").alias("cell"), "ts", "value", wind.cast("double").alias("ws"), rain.cast("double").alias("mm"))
 
 
 @query
@@ -759,16 +760,31 @@ def stream_fold(spark, sf):
 
 @query
 def stream_sustained(spark, sf):
-    """The hourly fold of the events lands as files; the recurrence runs over those as a stream."""
+    """The hourly fold of the events lands as files whose hours are mixed; the recurrence runs over those, a file a batch.
+
+    After them come a file that lets go what is held, and one with an hour long past, which is late.
+    """
     base = work_dir(spark, "stream-sustained")
     hours = f"{base}/hours"
-    streams.drain(streams.stream_fold(_event_stream(spark, sf), ["value"]), hours, f"{base}/fold-checkpoint")
-    rows = streams.read_files(spark, hours, streams.HOUR_SCHEMA).select(
-        "cell", "t", F.col("value").alias("hi"), F.lit(0.0).alias("ws"), F.lit(0.0).alias("mm")
-    )
-    with streams.state_provider(spark):
-        streams.drain(streams.stream_sustained(rows), f"{base}/load", f"{base}/load-checkpoint")
-    out = spark.read.parquet(f"{base}/load")
+    streams.drain(streams.stream_fold(_event_stream(spark, sf), ["value", "ws", "mm"]), f"{base}/folded", f"{base}/fold-checkpoint")
+    folded = spark.read.schema(streams.HOUR_SCHEMA).parquet(f"{base}/folded")
+    last = folded.groupBy("cell").agg((F.max("t") + F.expr("INTERVAL 60 DAYS")).alias("t"), F.min("t").alias("first"))
+    folded.repartition(4, F.xxhash64("cell", "t")).write.parquet(hours)
+    last.drop("first").coalesce(1).write.mode("append").parquet(hours)
+
+    def run() -> None:
+        rows = streams.read_files(spark, hours, streams.HOUR_SCHEMA, per_batch=1).select("cell", "t", F.col("value").alias("hi"), "ws", "mm")
+        with streams.state_provider(spark):
+            streams.drain(streams.stream_sustained(rows, hold_hours=24.0 * 45), f"{base}/load", f"{base}/load-checkpoint")
+
+    run()
+    old = last.select("cell", F.col("first").alias("t"), F.lit(90.0).alias("value"), F.lit(0.0).alias("ws"), F.lit(0.0).alias("mm"))
+    old.coalesce(1).write.mode("append").parquet(hours)
+    run()
+    every = spark.read.parquet(f"{base}/load")
+    out = every.where("t IS NOT NULL").drop("late")
+    late = every.groupBy("cell").agg(F.max("late").alias("late"))
+    out = out.join(late, "cell")
     return rounded(out.withColumn("t", F.col("t").cast("timestamp_ntz")), "l")
 
 

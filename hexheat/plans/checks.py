@@ -567,11 +567,11 @@ check("hex_rgb", [], f"""
 # ---- streams: the batch answer over the hours that the watermark has closed ----------------
 
 cte("closed_hours", [], """
-    SELECT user_id AS cell, date_trunc('hour', ts) AS t, avg(value) AS value, count(*) AS n FROM events
+    SELECT user_id AS cell, date_trunc('hour', ts) AS t, avg(value) AS value, avg(event_id % 11) AS ws, avg(event_id % 7 * 5e-1) AS mm, count(*) AS n FROM events
     WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
 cte("event_steps", ["closed_hours"], """
-    SELECT cell, t, value AS hi, 0e0 AS ws, 0e0 AS mm, row_number() OVER (PARTITION BY cell ORDER BY t) AS n FROM closed_hours""")
+    SELECT cell, t, value AS hi, ws, mm, row_number() OVER (PARTITION BY cell ORDER BY t) AS n FROM closed_hours""")
 cte("event_walk", ["event_steps", "one"], walk_of("event_steps", "one").replace("{name}", "event_walk"))
 check("stream_fold", ["closed_hours"], f"SELECT cell, t, {r6('value')}, n FROM closed_hours")
-check("stream_sustained", ["event_walk"], f"SELECT cell, t, {r6('l')}, 0::BIGINT AS late FROM event_walk")
+check("stream_sustained", ["event_walk"], f"SELECT cell, t, {r6('l')}, 1::BIGINT AS late FROM event_walk")
 check("stream_land", ["pixel_hours"], "SELECT run, count(*) AS n, sum(xi)::BIGINT AS sum_xi FROM pixel_hours GROUP BY run")

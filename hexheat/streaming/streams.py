@@ -28,6 +28,8 @@ HOUR_SCHEMA = T.StructType([
     T.StructField("cell", T.LongType()),
     T.StructField("t", T.TimestampType()),
     T.StructField("value", T.DoubleType()),
+    T.StructField("ws", T.DoubleType()),
+    T.StructField("mm", T.DoubleType()),
     T.StructField("n", T.LongType()),
 ])
 
@@ -59,38 +61,63 @@ SUSTAINED_SCHEMA = "cell bigint, t timestamp, l double, late bigint"
 
 
 def _processor(
-    half_life: float, threshold: float, flush: float, vent: float,
+    half_life: float, threshold: float, flush: float, vent: float, hold_hours: float,
     full_vent: float = S.FULL_VENT_MS, full_flush: float = S.FULL_FLUSH_MM,
 ) -> StatefulProcessor:
     """Made in a function so that it travels whole: workers need not have this package."""
     a = 2.0 ** (-1.0 / half_life)
 
     class Sustained(StatefulProcessor):
-        """State of a cell: its load, the last hour seen, and how many rows came late."""
+        """State of a cell: its load, the last hour released, the newest hour seen, late rows, and rows held back."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("load", "l double, last timestamp, late bigint")
+            self.state = handle.getValueState("load", "l double, last timestamp, top timestamp, late bigint")
+            self.held = handle.getListState("held", "t timestamp, hi double, ws double, mm double")
 
         def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
+            import numpy as np
             import pandas as pd
 
-            level, last, late = self.state.get() if self.state.exists() else (0.0, None, 0)
-            last = pd.Timestamp(last) if last is not None else None
-            batch = pd.concat(list(rows)).sort_values("t")
-            times, levels = [], []
-            for t, hi, ws, mm in batch[["t", "hi", "ws", "mm"]].itertuples(index=False):
-                if last is not None and t <= last:
-                    late += 1
-                    continue
-                excess = max(hi - threshold, 0.0) * max(1.0 - vent * ws / full_vent, 0.0)
-                level = (a * level + (1.0 - a) * excess) * (1.0 - flush * min(mm / full_flush, 1.0))
-                last = t
-                times.append(t)
-                levels.append(level)
-            if last is not None:
-                self.state.update((level, last.to_pydatetime(), late))
-            if times:
-                yield pd.DataFrame({"cell": key[0], "t": times, "l": levels, "late": late})
+            columns = ["t", "hi", "ws", "mm"]
+            level, last, top, late = self.state.get() if self.state.exists() else (0.0, None, None, 0)
+            before = late
+            waiting = [pd.DataFrame(list(self.held.get()), columns=columns)] if self.held.exists() else []
+            for part in rows:  # one Arrow batch after the other; late rows are counted and let go
+                part = part[columns]
+                if last is not None:
+                    in_time = part["t"] > pd.Timestamp(last)
+                    late += int((~in_time).sum())
+                    part = part[in_time]
+                waiting.append(part)
+            queue = pd.concat([w for w in waiting if len(w)] or waiting[:1]).sort_values("t", kind="stable")
+            if len(queue):
+                newest = queue["t"].iloc[-1]
+                top = newest if top is None else max(pd.Timestamp(top), newest)
+            queue = queue[queue["hi"].notna()].drop_duplicates("t")
+            due = queue["t"] <= pd.Timestamp(top) - pd.Timedelta(hours=hold_hours) if len(queue) else queue["t"].notna()
+            now, later = queue[due], queue[~due]
+            if len(now):
+                hi, ws, mm = (now[c].to_numpy(float) for c in columns[1:])
+                left = 1.0 - flush * np.minimum(mm / full_flush, 1.0)
+                excess = np.maximum(hi - threshold, 0.0) * np.maximum(1.0 - vent * ws / full_vent, 0.0)
+                A, B = a * left, (1.0 - a) * excess * left
+                B[0] += A[0] * level
+                A[0] = 0.0
+                step = 1
+                while step < len(A):  # affine steps composed by doubling
+                    B[step:] += A[step:] * B[:-step]
+                    A[step:] = A[step:] * A[:-step]
+                    step *= 2
+                level, last = float(B[-1]), now["t"].iloc[-1]
+                yield pd.DataFrame({"cell": key[0], "t": now["t"].to_numpy(), "l": B, "late": late})
+            elif late > before:
+                yield pd.DataFrame({"cell": [key[0]], "t": [pd.NaT], "l": [None], "late": [late]}).astype({"t": "datetime64[ns]", "l": float})
+            plain = lambda t: None if t is None else pd.Timestamp(t).to_pydatetime()
+            self.state.update((level, plain(last), plain(top), late))
+            if len(later):
+                self.held.put([(plain(t), *map(float, rest)) for t, *rest in later.itertuples(index=False)])
+            elif self.held.exists():
+                self.held.clear()
 
         def close(self) -> None:
             pass
@@ -98,13 +125,16 @@ def _processor(
     return Sustained()
 
 
-def stream_sustained(hours: DataFrame, **params: float) -> DataFrame:
-    """The recurrence over a stream of `cell, t, hi, ws, mm`, one row per (cell, hour).
+def stream_sustained(hours: DataFrame, hold_hours: float = 0.0, **params: float) -> DataFrame:
+    """The recurrence over a stream of `cell, t, hi, ws, mm`, one row per (cell, hour), in order of the hours.
 
-    The input is an hourly fold, so a cell brings at most one row per hour of the batch. Rows
-    at or before the last hour of their cell are late: counted, not applied.
+    Rows may come in any order within `hold_hours`: a cell's hours are held back until one that much
+    later has been seen, and then stepped through in order. A row without a heat index only says
+    how far time has got, and so lets go what is held. Rows at or before the last hour let go are
+    late: counted, not applied. Output has `late`, the cell's count so far; a batch that brought
+    late rows and nothing else gives a row with the count alone (`t` NULL).
     """
-    processor = _processor(**{**DEFAULTS, **params})
+    processor = _processor(**{**DEFAULTS, **params}, hold_hours=hold_hours)
     return hours.groupBy("cell").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=SUSTAINED_SCHEMA,
         outputMode="Append", timeMode="None",
