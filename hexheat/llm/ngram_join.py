@@ -22,7 +22,7 @@ from hexheat.llm.common import stored
 from hexheat.llm.groups import components, group_bounds, pairs_in_groups, split_large, whole_groups
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
-BUCKET = 256
+BUCKET = 4096
 BLOCK = 1024
 DEPTH = 3
 CHILDREN = 6
@@ -325,7 +325,7 @@ def near_copies(
         F.when(F.col("node").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
     )
     rows = stored(rows, "classes")
-    least = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    least = stored(rows.groupBy("class").agg(F.min("doc_id").alias("class_id")), "least")
     return rows.join(least, "class").select(
         "doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept")
     )
