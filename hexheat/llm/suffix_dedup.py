@@ -25,8 +25,9 @@ from hexheat.llm.groups import group_bounds, whole_groups
 
 LENGTH, GRAM = 50, 24
 SHALLOW = 24
-CHUNK_BITS = 8
-BUCKET_BYTES = 16 << 20
+CHUNK_BITS = 9
+BUCKET_BYTES = 4 << 20
+PIECE = 1 << 19
 BLOCK = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 PRIME = 0x9E3779B97F4A7C15
@@ -69,33 +70,59 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """The stretches of a chunk: start, anchor, number of windows, document, anchor's hash, and a name of the whole stretch."""
+    """The stretches of a chunk: start, anchor, number of windows, document, anchor's hash, and a name of the whole stretch.
+
+    Texts are gone through PIECE bytes at a time, so what is held for each byte is bounded. A longer text is
+    cut into pieces that overlap by a window; a stretch at such a cut comes in two parts.
+    """
 
     def __init__(self, docs: list[bytes], ids: np.ndarray) -> None:
         lengths = np.array([len(d) for d in docs], np.int64)
         self.text = np.frombuffer(b"".join(docs), np.uint8)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        if len(self.text) < LENGTH:
-            self.start = self.anchor = self.windows = self.doc = np.zeros(0, np.int64)
-            self.hash = self.name = np.zeros(0, np.uint64)
-            return
-        hashes = gram_hashes(self.text)
+        parts = [self.piece(a, b) for a, b in self.pieces()]
+        empty = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        self.start, self.anchor, self.windows, self.hash, self.name = (np.concatenate(x) for x in zip(empty, *parts))
+        self.doc = ids[np.searchsorted(self.ends, self.start, side="right")] if len(self.start) else np.zeros(0, np.int64)
+
+    def pieces(self) -> Iterator[tuple[int, int]]:
+        """Ranges of bytes: some whole texts, or a part of a long one."""
+        begin = 0
+        for a, b in zip(self.starts.tolist(), self.ends.tolist()):
+            if b - begin > PIECE and a > begin:
+                yield begin, a
+                begin = a
+            while b - begin > PIECE + LENGTH:
+                yield begin, begin + PIECE + LENGTH - 1
+                begin += PIECE
+        if begin < len(self.text):
+            yield begin, len(self.text)
+
+    def piece(self, a: int, b: int) -> tuple[np.ndarray, ...]:
+        if b - a < LENGTH:
+            return (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2)
+        hashes = gram_hashes(self.text[a:b])
         anchor = anchors(hashes)
-        doc = np.repeat(np.arange(len(docs)), lengths)[:len(anchor)]
-        whole = np.arange(len(anchor)) + LENGTH <= self.ends[doc]
+        lo, hi = np.searchsorted(self.ends, a, side="right"), np.searchsorted(self.starts, b, side="left")
+        ends = np.minimum(self.ends[lo:hi], b) - a
+        end = np.repeat(ends, np.diff(ends, prepend=0))[:len(anchor)]
+        whole = np.arange(len(anchor)) + LENGTH <= end
         first = whole.copy()
-        first[1:] &= ~whole[:-1] | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        self.start = np.flatnonzero(first)
-        self.windows = np.add.reduceat(whole.astype(np.int64), self.start) if len(self.start) else np.zeros(0, np.int64)
-        self.anchor, self.doc = anchor[self.start], ids[doc[self.start]]
-        self.hash = hashes[self.anchor]
-        # Four grams cover every byte of a stretch.
-        end = self.start + self.windows + LENGTH - 1
-        name = self.windows.astype(np.uint64)
-        for at in (self.start, self.start + GRAM, end - 2 * GRAM, end - GRAM):
-            name = scrambled(name * U(PRIME) + hashes[at])
-        self.name = name
+        first[1:] &= ~whole[:-1] | (anchor[1:] != anchor[:-1]) | (end[1:] != end[:-1])
+        start = np.flatnonzero(first)
+        windows = np.add.reduceat(whole.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        anchor = anchor[start]
+        return start + a, anchor + a, windows, hashes[anchor], names(hashes, start, windows)
+
+
+def names(hashes: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A hash of each whole stretch: four grams cover every byte of it."""
+    end = start + windows + LENGTH - 1
+    name = windows.astype(np.uint64)
+    for at in (start, start + GRAM, end - 2 * GRAM, end - GRAM):
+        name = scrambled(name * U(PRIME) + hashes[at])
+    return name
 
 
 def short(hashes: np.ndarray) -> np.ndarray:
@@ -281,7 +308,7 @@ def held_elsewhere(name: np.ndarray, hash_: np.ndarray, owner: np.ndarray, windo
     )
 
 
-STRETCH_KINDS = ("<u8", "<u8", "<i8", "u1", "u1")
+STRETCH_KINDS = ("<i8", "u1", "u1", "u1")
 REPLY_KINDS = ("<u8", "u1", "u1")
 
 
@@ -338,7 +365,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 order = at[np.lexsort((s.doc[at], s.windows[at], s.name[at]))]
                 at = order[group_bounds(s.name[order], s.windows[order])[:-1]]
                 text = s.text[ranges(s.start[at], s.windows[at] + LENGTH - 1)]
-                out.append((int(left.column("chunk")[0].as_py()), bucket, pack(s.name[at], s.hash[at], s.doc[at], s.windows[at].astype(np.uint8), text)))
+                offset = (s.anchor[at] - s.start[at]).astype(np.uint8)
+                out.append((int(left.column("chunk")[0].as_py()), bucket, pack(s.doc[at], offset, s.windows[at].astype(np.uint8), text)))
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table({"chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})
 
@@ -348,9 +376,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for a, b in zip(bounds[:-1], bounds[1:]):
                 part = t.slice(a, b - a)
                 pieces = [unpack(x.as_py(), *STRETCH_KINDS) for x in part.column("data")]
-                name, hash_, owner, windows, text = (np.concatenate(x) for x in zip(*pieces))
+                owner, offset, windows, text = (np.concatenate(x) for x in zip(*pieces))
+                windows = windows.astype(np.int64)
+                start = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
+                hashes = gram_hashes(text)
+                hash_, name = hashes[start + offset], names(hashes, start, windows)
                 chunk = np.repeat(part.column("chunk").to_numpy(), [len(p[0]) for p in pieces])
-                of, first, last = held_elsewhere(name, hash_, owner, windows.astype(np.int64), text)
+                of, first, last = held_elsewhere(name, hash_, owner, windows, text)
                 order = np.argsort(chunk[of], kind="stable")
                 of, first, last = of[order], first[order].astype(np.uint8), last[order].astype(np.uint8)
                 ends = group_bounds(chunk[of])
