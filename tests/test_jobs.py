@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hexheat import functions as H, schemas as S
 from hexheat.operators import accumulate, film, fold, regions, windowing
 from hexheat.plans import catalogue, mask, week
-from hexheat.session import broadcast_checked, estimated_bytes, work_dir
+from hexheat.session import BROADCAST_LIMIT, broadcast_checked, estimated_bytes, work_dir
 from hexheat.sources import archive, derived, landing, sinks
 from hexheat.streaming import streams
 
@@ -277,8 +277,9 @@ def test_blocks_and_days_are_pruned(spark, sf, stored):
 
 def test_pruning_holds_however_large_the_lookup_seems(spark, sf, stored):
     """Blocks that follow from a plan estimated far above the broadcast limit still prune the scan."""
-    wide = spark.range(1 << 40).select(F.lit(1).alias("yb"), F.lit(1).alias("xb")).limit(5)
-    huge = wide.unionByName(spark.range(1 << 40).where("id < 0").select(F.lit(2).alias("yb"), F.lit(2).alias("xb")).limit(1))
+    ids = spark.range(20_000)
+    huge = ids.join(ids.withColumnRenamed("id", "k"), F.col("id") == F.col("k")).select((F.col("id") % 2).cast("int").alias("yb"), F.lit(1).alias("xb"))
+    assert estimated_bytes(huge) > 10 * BROADCAST_LIMIT
     kept = fold.prune_blocks(archive.scan_cube(spark, stored, ["tc"]), huge)
     assert kept.count() > 0
     kept.collect()
