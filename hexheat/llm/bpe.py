@@ -12,6 +12,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from hexheat.llm.common import free_name
 
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
+SHORT = 48
+NEVER = 1 << 60
 CHARS_AT_ONCE = 1 << 20
 
 
@@ -64,12 +67,16 @@ class WordBpe:
         self.longest_last = max(map(len, self.last))
         # Step k joins left[k] and right[k] to made[k]; born is the step that made a token, -1 for letters.
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.step_of: dict[tuple[int, int], int] = {}
+        self.made_by: list[int] = []
         self.born = np.full(size, -1, np.int64)
         self.left, self.right = np.arange(size), np.arange(size)
         for step, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, made = ids[a], ids[b], ids[a + b]
             self.merges[left, right] = (step, made)
+            self.step_of[left, right] = step
+            self.made_by.append(made)
             if self.born[made] < 0:
                 self.born[made], self.left[made], self.right[made] = step, left, right
         keys = np.array([a * size + b for a, b in self.merges], np.int64)
@@ -96,6 +103,8 @@ class WordBpe:
         row = [self.inside[x] for x in letters]
         if ended:
             row[-1] = self.last[letters[-1]]
+        if n <= SHORT:
+            return self.merge_short(row)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         heap = [(m[0], i, m[1], row[i], row[i + 1]) for i in range(n - 1) if (m := self.merges.get((row[i], row[i + 1])))]
         heapq.heapify(heap)
@@ -113,6 +122,23 @@ class WordBpe:
                 heapq.heappush(heap, (m[0], h, m[1], row[h], made))
         return [x for x in row if x >= 0]
 
+    def merge_short(self, row: list[int]) -> list[int]:
+        """The same for few letters, where going over all pairs again is faster than a heap."""
+        step_of = self.step_of
+        steps = [step_of.get(p, NEVER) for p in zip(row, row[1:])]
+        while steps:
+            least = min(steps)
+            if least == NEVER:
+                break
+            i = steps.index(least)
+            row[i:i + 2] = [self.made_by[least]]
+            del steps[i]
+            if i < len(steps):
+                steps[i] = step_of.get((row[i], row[i + 1]), NEVER)
+            if i:
+                steps[i - 1] = step_of.get((row[i - 1], row[i]), NEVER)
+        return row
+
     def propose(self, letters: str) -> list[int]:
         """The longest token that fits, again and again; only the word's end takes tokens with the suffix."""
         out, i, n = [], 0, len(letters)
@@ -237,7 +263,7 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None)
             for piece in in_pieces(x.column(text).to_pylist()):
                 rows = bpe.encode_all(piece)
                 ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
+                flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
                 part = x.slice(done, len(piece))
                 done += len(piece)
                 yield pa.RecordBatch.from_arrays(
