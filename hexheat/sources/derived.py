@@ -1,4 +1,4 @@
-"""Gridded inputs derived from the test tables, as FIXTURES.md defines them.
+"""Gridded inputs derived from the test tables, as FIXTURES.md defines them but for size and place of the grid.
 
 A reading per line item, a pixel per part, a week of runs per so many orders, a region per
 nation, a parcel per customer: all grow with the tables they come from. Some readings lack
