@@ -49,8 +49,24 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     return fold.label_pixels(D.grid(spark, sf), D.RES)
 
 
+def extent(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """First and last day of the whole archive; the default window where it has no runs."""
+    return _days(archive.run_extent(D.pixel_hours(spark, sf)))
+
+
+def _days(found: DataFrame) -> tuple[str, str]:
+    row = found.first()
+    return (str(row.first_day), str(row.last_day)) if row.first_day else S.DEFAULT_WINDOW
+
+
+def hour_span(spark: SparkSession, sf: str) -> tuple[datetime, datetime]:
+    """First and last hour of the archive's days."""
+    first, last = (datetime.fromisoformat(day) for day in extent(spark, sf))
+    return first, last.replace(hour=23)
+
+
 def folded(spark: SparkSession, sf: str, leads: int = S.LEADS_PER_RUN) -> DataFrame:
-    cube = windowing.stitch(D.pixel_hours(spark, sf), *S.DEFAULT_WINDOW, leads)
+    cube = windowing.stitch(D.pixel_hours(spark, sf), *extent(spark, sf), leads)
     return fold.fold(cube, pixels(spark, sf))
 
 
@@ -59,7 +75,8 @@ def cell_hour(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heat(spark: SparkSession, sf: str) -> DataFrame:
-    return week.load_window(D.pixel_hours(spark, sf), pixels(spark, sf))
+    """The film of the whole archive."""
+    return week.load_window(D.pixel_hours(spark, sf), pixels(spark, sf), *extent(spark, sf))
 
 
 def load(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,14 +142,14 @@ def fold_cell_hour(spark, sf):
 
 @query
 def fold_two_fields(spark, sf):
-    cube = windowing.stitch(D.pixel_hours(spark, sf), *S.DEFAULT_WINDOW)
+    cube = windowing.stitch(D.pixel_hours(spark, sf), *extent(spark, sf))
     return rounded(fold.cell_hours(fold.fold(cube, pixels(spark, sf), rain=False, wind=False)), "tc", "rh")
 
 
 @query
 def fold_by_sql(spark, sf):
     sql.register_functions(spark)
-    cube = windowing.stitch(D.pixel_hours(spark, sf), *S.DEFAULT_WINDOW)
+    cube = windowing.stitch(D.pixel_hours(spark, sf), *extent(spark, sf))
     hours = sql.fold_sql(spark, cube, D.grid(spark, sf), D.RES).select(
         "cell", H.valid_time(F.col("init_ts"), F.col("lead_h")).alias("t"), "tc", "rh", "mm", "ws"
     )
@@ -231,7 +248,7 @@ def film_pair(spark, sf):
 
 @query
 def densified_film(spark, sf):
-    return film.densify(heat(spark, sf).select("cell", "t", "hi_q"), cells(spark, sf), T0, T1)
+    return film.densify(heat(spark, sf).select("cell", "t", "hi_q"), cells(spark, sf), *hour_span(spark, sf))
 
 
 @query
@@ -242,7 +259,7 @@ def indexed_film(spark, sf):
 
 @query
 def line_segments(spark, sf):
-    dense = film.densify(heat(spark, sf).select("cell", "t", "hi_q"), cells(spark, sf), T0, T1)
+    dense = film.densify(heat(spark, sf).select("cell", "t", "hi_q"), cells(spark, sf), *hour_span(spark, sf))
     return film.line_segments(dense, "hi_q").groupBy("cell", "segment").agg(
         F.min("t").alias("t_first"), F.max("t").alias("t_last"), F.count("*").alias("n")
     )
@@ -258,7 +275,7 @@ def cell_series(spark, sf):
     """The first cell of the grid: its film alone goes through the recurrence."""
     labelled = pixels(spark, sf)
     first = labelled.agg(F.min("cell")).first()[0]
-    one = week.load_window(D.pixel_hours(spark, sf), film.of_cell(labelled, first))
+    one = week.load_window(D.pixel_hours(spark, sf), film.of_cell(labelled, first), *extent(spark, sf))
     return film.cell_series(film.pair(accumulate.sustained_heat(one)))
 
 
@@ -269,12 +286,13 @@ def frame_snapshot(spark, sf):
 
 @query
 def pick_points(spark, sf):
-    key = F.col("o_orderkey")
+    key, (first, last) = F.col("o_orderkey"), hour_span(spark, sf)
+    n_hours = int((last - first).total_seconds()) // 3600 + 1
     points = D.table(spark, sf, "orders").select(
         key,
         (24.4 + (F.col("o_custkey") * D.SPREAD % 2500) / 100.0).alias("lat"),
         (-124.8 + (key * 104729 % 5790) / 100.0).alias("lon"),
-        F.timestamp_add("HOUR", key % 168, F.lit(D.FIRST_INIT).cast("timestamp_ntz")).alias("t"),
+        F.timestamp_add("HOUR", key % n_hours, F.lit(str(first)).cast("timestamp_ntz")).alias("t"),
     )
     return film.pick(points, heat(spark, sf), D.RES).select("o_orderkey", "cell", "t", "hi_q")
 
@@ -321,8 +339,8 @@ def stage_stats(spark, sf):
 
 @query
 def film_config(spark, sf):
-    """The config row, read back from its JSON: a row per hour label."""
-    f = heat(spark, sf)
+    """The config row of a window's film, read back from its JSON: a row per hour label."""
+    f = week.load_window(D.pixel_hours(spark, sf), pixels(spark, sf))
     request = spark.createDataFrame([(json.dumps(dict(zip(("d0", "d1"), S.DEFAULT_WINDOW))),)], "body string")
     asked = windowing.resolve_window(windowing.parse_window(request), runs(spark, sf))
     window = sinks.window_block(windowing.read_cost(asked, len(S.CUBE_VARIABLES)), runs(spark, sf))
@@ -347,14 +365,14 @@ def write_film(spark, sf):
 @query
 def write_dense_film(spark, sf):
     path = work_dir(spark, "dense")
-    sinks.write_dense_film(heat(spark, sf), cells(spark, sf), path, T0, T1)
+    sinks.write_dense_film(heat(spark, sf), cells(spark, sf), path, *hour_span(spark, sf))
     return spark.read.parquet(path)
 
 
 @query
 def memo_fold(spark, sf):
     memo = landing.FoldMemo()
-    key = {"res": D.RES, "window": S.DEFAULT_WINDOW, "pixels": pixels(spark, sf).count(), "variables": S.CUBE_VARIABLES}
+    key = {"res": D.RES, "window": extent(spark, sf), "pixels": pixels(spark, sf).count(), "variables": S.CUBE_VARIABLES}
     first = memo.get(key, lambda: cell_hour(spark, sf))
     again = memo.get(key, lambda: first.where(F.lit(False)))
     counted = measured(again.groupBy("t").agg(F.count("*").alias("n")), "memo")
@@ -595,7 +613,8 @@ def masked_fold(spark, sf):
     lookup = land_lookup(spark, sf)
     spans = fold.block_spans(fold.land_blocks(lookup))
     cube = fold.in_spans(stored_cube(spark, sf), spans)
-    return week.load_window(cube, lookup).select("cell", "t", "hi_q", "wx_q")
+    days = _days(archive.run_extent(runs(spark, sf)))
+    return week.load_window(cube, lookup, *days).select("cell", "t", "hi_q", "wx_q")
 
 
 @query

@@ -295,6 +295,26 @@ def test_the_film_is_not_shuffled_by_hour(spark, sf):
         assert not re.search(r"Exchange hashpartitioning\(t#\d+, ", plan_of(df))
 
 
+def test_queries_cover_an_archive_of_several_weeks(spark, sf, monkeypatch):
+    monkeypatch.setattr(derived, "ORDERS_A_WEEK", 500)
+    monkeypatch.setattr(catalogue, "CUBES", {})
+    n_runs = derived.shape(spark, sf).runs
+    assert n_runs > derived.RUNS_A_WEEK
+    q = catalogue.QUERIES
+    read = derived.pixel_hours(spark, sf).where("lead_h < 6 AND NOT isnan(tc)").join(catalogue.pixels(spark, sf), ["yi", "xi"])
+    held = read.select("cell", "run", "lead_h").distinct().count()
+    for name in ("fold_cell_hour", "fold_by_sql", "fold_two_fields"):
+        assert q[name](spark, sf).count() == held
+    film_rows = q["heat_index_film"](spark, sf)
+    assert film_rows.count() == catalogue.cell_hour(spark, sf).where("rh IS NOT NULL").count()
+    last = START + timedelta(hours=6 * n_runs - 1)
+    assert film_rows.agg(F.max("t")).first()[0] == last
+    for name in ("densified_film", "pick_points", "masked_fold"):
+        assert q[name](spark, sf).agg(F.max("t")).first()[0] == last
+    frames = film_rows.select("t").distinct().count()
+    assert q["densified_film"](spark, sf).count() == q["write_dense_film"](spark, sf).count() == frames * catalogue.cells(spark, sf).count()
+
+
 def test_a_cell_is_taken_before_the_recurrence(spark, sf):
     plan = plan_of(catalogue.QUERIES["cell_series"](spark, sf))
     below = plan[plan.index("MapInArrow"):]
