@@ -8,7 +8,9 @@ depth, and blind tries for the groups that are still together. Suffixes that sta
 one window, and its owner is the least document.
 
 Documents travel in chunks of rows. A chunk sends each different stretch once, with the least document that
-has it, so a passage that a third of all documents share is one row a chunk.
+has it, so a passage that a third of all documents share is one row a chunk. At its edges, stretches differ in
+every document though they have one anchor. An anchor of more than HOT different stretches is therefore dealt
+out by window: a chunk sends the names of its different windows, each to the bucket of its own name.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ LENGTH, GRAM = 50, 24
 SHALLOW = 24
 CHUNK_BITS = 9
 BUCKET_BYTES = 4 << 20
+HOT = 1 << 12
 PIECE = 1 << 19
 BLOCK = 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -153,10 +156,14 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
             yield int(bucket[order[a]]), order[a:b]
 
 
-def wanted_hashes(s: Stretches, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """bucket and its different short anchor hashes, sorted."""
+def wanted_hashes(s: Stretches, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """bucket, its different short anchor hashes, sorted, and for each the least power of two that its different stretches don't exceed."""
+    fresh = np.zeros(len(s.name))
+    fresh[np.unique(s.name, return_index=True)[1]] = 1
     for bucket, at in by_bucket(s.hash, buckets):
-        yield bucket, np.unique(short(s.hash[at]))
+        own, place = np.unique(short(s.hash[at]), return_inverse=True)
+        n = np.maximum(np.bincount(place, fresh[at]), 1)
+        yield bucket, own, np.ceil(np.log2(n)).astype(np.uint8)
 
 
 def pack_six(x: np.ndarray) -> bytes:
@@ -196,6 +203,34 @@ def least_by(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def window_names(s: Stretches, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the windows of the stretches `at`, some stretches at a time: place of the stretch in `at`, number of the window, its name."""
+    for low in range(0, len(at), BLOCK // LENGTH):
+        some = at[low:low + BLOCK // LENGTH]
+        n = s.windows[some]
+        sizes = n + LENGTH - 1
+        number = ranges(np.zeros(len(some), np.int64), n)
+        start = np.repeat(np.cumsum(sizes) - sizes, n) + number
+        hashes = gram_hashes(s.text[ranges(s.start[some], sizes)])
+        yield low + np.repeat(np.arange(len(some)), n), number, names(hashes, start, np.ones(len(start), np.int64))
+
+
+def merged(hash_: np.ndarray, name: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal windows as one, with the least and the greatest document of all."""
+    order = np.lexsort((name, hash_))
+    first = group_bounds(hash_[order], name[order])[:-1]
+    return hash_[order[first]], name[order[first]], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+
+
+def different_windows(s: Stretches, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the windows of the stretches `at`, each different one: hash of its anchor, name, least and greatest document."""
+    order = at[np.lexsort((s.windows[at], s.name[at]))]
+    first = group_bounds(s.name[order], s.windows[order])[:-1]
+    least, most, at = np.minimum.reduceat(s.doc[order], first), np.maximum.reduceat(s.doc[order], first), order[first]
+    parts = [merged(s.hash[at[of]], name, least[of], most[of]) for of, _, name in window_names(s, at)]
+    return merged(*[np.concatenate(x) for x in zip(*parts)])
+
+
 class BlindTrie:
     """Strings of one length in a trie whose inner nodes know only their depth and their branching bytes."""
 
@@ -310,25 +345,28 @@ def held_elsewhere(name: np.ndarray, hash_: np.ndarray, owner: np.ndarray, windo
 
 STRETCH_KINDS = ("<i8", "u1", "u1", "u1")
 REPLY_KINDS = ("<u8", "u1", "u1")
+WINDOW_KINDS = ("<u8", "<u8", "<i8", "<i8")
+WINDOW_REPLY_KINDS = ("<u8", "<u8", "<i8")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, spans (array of start, end in bytes), kept (binary, what is left).
+def in_chunks(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_or_empty().alias("text"), F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"))
 
-    A byte is in a span when a LENGTH-byte string over it also starts in a document with a smaller doc_id.
-    NULL text is empty. A document with a NULL id comes after all others; repeated rows of one id don't make
-    each other repeat. Texts shorter than LENGTH have no spans. Other columns are not read.
-    """
-    rows = docs.select("doc_id", text_or_empty().alias("text"), F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, size // BUCKET_BYTES)
+
+def n_buckets(docs: DataFrame) -> int:
+    return max(64, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+
+
+def sent_pieces(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """What chunks send: chunk, bucket, n, data. Buckets from `buckets` on hold windows of hot anchors, those below hold stretches."""
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["chunk"], 1):
             for chunk, texts, ids, _ in chunk_parts(t):
                 found = list(wanted_hashes(Stretches(texts, ids), buckets))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int64()), pa.array([pack_six(h) for _, h in found], pa.binary())],
+                    [pa.array([chunk] * len(found), pa.int64()), pa.array([b for b, *_ in found], pa.int64()),
+                     pa.array([pack_six(h) + n.tobytes() for _, h, n in found], pa.binary())],
                     ["chunk", "bucket", "data"],
                 )
 
@@ -338,43 +376,98 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             bounds = group_bounds(bucket)
             for a, b in zip(bounds[:-1], bounds[1:]):
                 part = t.slice(a, b - a)
-                lists = [unpack_six(x.as_py()) for x in part.column("data")]
+                data = [x.as_py() for x in part.column("data")]
+                lists = [unpack_six(x[:len(x) // 7 * 6]) for x in data]
+                counts = np.concatenate([np.frombuffer(x[len(x) // 7 * 6:], np.uint8) for x in data])
                 _, place, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-                marks = np.split(n[place] > 1, np.cumsum([len(x) for x in lists])[:-1])
+                marks = np.stack([n[place] > 1, np.bincount(place, 2.0 ** counts)[place] > hot])
+                marks = np.split(marks, np.cumsum([len(x) for x in lists])[:-1], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("chunk").combine_chunks(), part.column("bucket").combine_chunks(), pa.array([np.packbits(m).tobytes() for m in marks], pa.binary())],
+                    [part.column("chunk").combine_chunks(), part.column("bucket").combine_chunks(), pa.array([np.packbits(m, axis=1).tobytes() for m in marks], pa.binary())],
                     ["chunk", "bucket", "data"],
                 )
 
     def send_stretches(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
+        out: list[tuple[int, int, int, bytes]] = []
         if left.num_rows:
+            chunk = int(left.column("chunk")[0].as_py())
             texts, ids = chunk_rows(left)
             s = Stretches(texts, ids)
+            by_window = [np.zeros(0, np.int64)]
             marks = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
             for bucket, at in by_bucket(s.hash, buckets):
                 hashes = short(s.hash[at])
                 own = np.unique(hashes)
-                shared = np.unpackbits(np.frombuffer(marks[bucket], np.uint8), count=len(own)).astype(bool)
+                marked = np.frombuffer(marks[bucket], np.uint8).reshape(2, -1)
+                shared, crowded = np.unpackbits(marked, axis=1, count=len(own)).astype(bool)
                 # Or the anchor is in several documents of this chunk.
                 place = np.searchsorted(own, hashes)
                 low, high = least_by(place, s.doc[at], len(own)), -least_by(place, -s.doc[at], len(own))
-                at = at[(shared | (low < high))[place]]
+                by_window.append(at[crowded[place]])
+                at = at[((shared | (low < high)) & ~crowded)[place]]
                 if not len(at):
                     continue
                 order = at[np.lexsort((s.doc[at], s.windows[at], s.name[at]))]
                 at = order[group_bounds(s.name[order], s.windows[order])[:-1]]
                 text = s.text[ranges(s.start[at], s.windows[at] + LENGTH - 1)]
                 offset = (s.anchor[at] - s.start[at]).astype(np.uint8)
-                out.append((int(left.column("chunk")[0].as_py()), bucket, pack(s.doc[at], offset, s.windows[at].astype(np.uint8), text)))
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table({"chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})
+                out.append((chunk, bucket, len(at), pack(s.doc[at], offset, s.windows[at].astype(np.uint8), text)))
+            at = np.concatenate(by_window)
+            if len(at):
+                windows = different_windows(s, at)
+                bucket = (windows[1] % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bounds = group_bounds(bucket[order])
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    out.append((chunk, buckets + int(bucket[order[a]]), int(b - a), pack(*[x[order[a:b]] for x in windows])))
+        cols = list(zip(*out)) or [(), (), (), ()]
+        return pa.table({
+            "chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int64()),
+            "n": pa.array(cols[2], pa.int64()), "data": pa.array(cols[3], pa.binary()),
+        })
+
+    listed = rows.mapInArrow(list_anchors, "chunk long, bucket long, data binary")
+    marks = listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mark_shared, "chunk long, bucket long, data binary")
+    return rows.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(send_stretches, "chunk long, bucket long, n long, data binary")
+
+
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_bytes, spans (array of start, end in bytes), kept (binary, what is left).
+
+    A byte is in a span when a LENGTH-byte string over it also starts in a document with a smaller doc_id.
+    NULL text is empty. A document with a NULL id comes after all others; repeated rows of one id don't make
+    each other repeat. Texts shorter than LENGTH have no spans. Other columns are not read. Anchors of more than
+    `hot` different stretches are dealt out by window.
+    """
+    rows = in_chunks(docs)
+    buckets = n_buckets(docs)
+
+    def match_windows(part: pa.Table) -> Iterator[tuple[int, bytes]]:
+        """chunk and its windows that a document below the chunk's greatest has."""
+        pieces = [unpack(x.as_py(), *WINDOW_KINDS) for x in part.column("data")]
+        hash_, name, least, most = (np.concatenate(x) for x in zip(*pieces))
+        order = np.lexsort((name, hash_))
+        bounds = group_bounds(hash_[order], name[order])
+        low = np.empty(len(name), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(least[order], bounds[:-1]), np.diff(bounds))
+        ends = np.cumsum([len(p[0]) for p in pieces]).tolist()
+        for chunk, i, j in zip(part.column("chunk").to_pylist(), [0, *ends[:-1]], ends):
+            at = i + np.flatnonzero(low[i:j] < most[i:j])
+            if len(at):
+                yield chunk, pack(hash_[at], name[at], low[at])
 
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["bucket"], 1):
             bounds = group_bounds(t.column("bucket").to_numpy())
             for a, b in zip(bounds[:-1], bounds[1:]):
                 part = t.slice(a, b - a)
+                if part.column("bucket")[0].as_py() >= buckets:
+                    cut = list(match_windows(part))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c for c, _ in cut], pa.int64()), pa.array([True] * len(cut), pa.bool_()), pa.array([d for _, d in cut], pa.binary())],
+                        ["chunk", "by_window", "data"],
+                    )
+                    continue
                 pieces = [unpack(x.as_py(), *STRETCH_KINDS) for x in part.column("data")]
                 owner, offset, windows, text = (np.concatenate(x) for x in zip(*pieces))
                 windows = windows.astype(np.int64)
@@ -388,7 +481,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 ends = group_bounds(chunk[of])
                 cut = [(int(chunk[of[i]]), pack(name[of[i:j]], first[i:j], last[i:j])) for i, j in zip(ends[:-1], ends[1:]) if j > i]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in cut], pa.int64()), pa.array([d for _, d in cut], pa.binary())], ["chunk", "data"]
+                    [pa.array([c for c, _ in cut], pa.int64()), pa.array([False] * len(cut), pa.bool_()), pa.array([d for _, d in cut], pa.binary())],
+                    ["chunk", "by_window", "data"],
                 )
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -400,8 +494,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             later = s.doc > least_by(place, s.doc, len(names))[place]
             np.add.at(change, s.start[later], 1)
             np.add.at(change, s.start[later] + s.windows[later] + LENGTH - 1, -1)
-            if right.num_rows:
-                name, first, last = (np.concatenate(x) for x in zip(*[unpack(x.as_py(), *REPLY_KINDS) for x in right.column("data")]))
+            replies = [[], []]
+            for by_window, data in zip(right.column("by_window").to_pylist(), right.column("data").to_pylist()):
+                replies[by_window].append(data)
+            if replies[True]:
+                hash_, name, low = (np.concatenate(x) for x in zip(*[unpack(x, *WINDOW_REPLY_KINDS) for x in replies[True]]))
+                order = np.argsort(name)
+                hash_, name, low = hash_[order], name[order], low[order]
+                at = np.flatnonzero(np.isin(s.hash, hash_))
+                for of, number, own in window_names(s, at):
+                    here = at[of]
+                    found = np.minimum(np.searchsorted(name, own), len(name) - 1)
+                    hit = (name[found] == own) & (hash_[found] == s.hash[here]) & (low[found] < s.doc[here])
+                    np.add.at(change, s.start[here[hit]] + number[hit], 1)
+                    np.add.at(change, s.start[here[hit]] + number[hit] + LENGTH, -1)
+            if replies[False]:
+                name, first, last = (np.concatenate(x) for x in zip(*[unpack(x, *REPLY_KINDS) for x in replies[False]]))
                 order = np.argsort(place, kind="stable")
                 bounds = np.searchsorted(place[order], np.arange(len(names) + 1))
                 at = np.searchsorted(names, name)
@@ -421,11 +529,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary()),
         })
 
-    listed = rows.mapInArrow(list_anchors, "chunk long, bucket long, data binary")
-    marks = listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mark_shared, "chunk long, bucket long, data binary")
-    whole = rows.groupBy("chunk")
-    sent = whole.cogroup(marks.groupBy("chunk")).applyInArrow(send_stretches, "chunk long, bucket long, data binary")
-    replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_suffixes, "chunk long, data binary")
+    sent = sent_pieces(rows, buckets, hot).drop("n")
+    replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_suffixes, "chunk long, by_window boolean, data binary")
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
         cut_out, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     )

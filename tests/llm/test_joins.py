@@ -76,6 +76,34 @@ def test_suffix_dedup_of_a_text_longer_than_a_piece(make_docs):
     assert got == removed(many)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_suffix_dedup_by_window(make_docs, rows, hot):
+    r = random.Random(9)
+    blocks = ["".join(r.choice("ab") for _ in range(80)) for _ in range(5)]
+    many = [*rows, *[(50 + i, "".join(r.sample(blocks, 3))) for i in range(40)], *[(None, blocks[1] + blocks[0])] * 2]
+    many += [(1000 - i // 2, f"{r.random()}" + blocks[0] + f"{r.randint(0, 30)}" * 5) for i in range(600)]
+    r.shuffle(many)
+    frame = suffix_dedup.repeated_spans(make_docs(many), hot=hot)
+    got = sorted(
+        ((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in frame.collect()), key=repr
+    )
+    assert got == removed(many)
+
+
+def test_suffix_dedup_deals_out_a_hot_anchor(make_docs):
+    """A passage between texts of its documents' own: its edges make as many stretches of an anchor as documents."""
+    r = random.Random(4)
+    own = lambda: "".join(r.choice("abcdefghijklmnop ") for _ in range(60))
+    passage = own() + own()
+    rows = suffix_dedup.in_chunks(make_docs([(i, own() + passage + own()) for i in range(2000)]))
+    n = defaultdict(int)
+    for x in suffix_dedup.sent_pieces(rows, 64, 100).select("bucket", "n").collect():
+        n[x.bucket] += x.n
+    assert max([v for b, v in n.items() if b < 64], default=0) <= 2 * 100
+    spread = [v for b, v in n.items() if b >= 64]
+    assert len(spread) == 64 and max(spread) < 2 * sum(spread) / 64
+
+
 def test_blind_trie_finds_equal_strings():
     r = random.Random(2)
     strings = ["".join(r.choice("ab") for _ in range(8)).encode() for _ in range(300)]
