@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 
 PIECE = 1 << 16
 BREADTH, THRESHOLD = 1.0, 0.5
+# Characters a tag from which a block is text beyond doubt. A longer one counts no more, so that it doesn't raise the
+# threshold over the blocks beside it.
+FULL = 100.0
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol option p pre script "
@@ -113,7 +116,7 @@ def smoothed(x: np.ndarray, breadth: float) -> np.ndarray:
 def main_text(html: str, breadth: float = BREADTH, threshold: float = THRESHOLD) -> str:
     """The article's blocks, joined by one space.
 
-    Blocks whose smoothed text-to-tag ratio passes the threshold form clusters. A cluster inside an article or
+    Blocks whose smoothed text-to-tag ratio, up to FULL, passes the threshold form clusters. A cluster inside an article or
     main element stands for that element; elsewhere, it reaches from its first to its last block, with a
     heading right before it. Blocks of menus, notices and the like are never part of either.
     """
@@ -125,7 +128,7 @@ def main_text(html: str, breadth: float = BREADTH, threshold: float = THRESHOLD)
     blocks = [x for x in blocks if x[0]]
     if not any(not x[3] for x in blocks):
         return ""
-    ratio = np.array([0.0 if x[3] else len(x[0]) / x[1] for x in blocks])
+    ratio = np.array([0.0 if x[3] else min(FULL, len(x[0]) / x[1]) for x in blocks])
     smooth = smoothed(ratio, breadth)
     picked = [bool(s >= threshold * smooth.std()) and not x[3] for s, x in zip(smooth, blocks)]
     articles = {x[2] for x in blocks if x[2] >= 0 and not x[3]}

@@ -143,6 +143,18 @@ def test_main_text(spark):
     assert [r.page_id for r in got if r.url == "u0"] == [None]
 
 
+@pytest.mark.parametrize("long", [300, 8_000, 20_000, 1_000_000])
+def test_main_text_beside_a_very_long_paragraph(long):
+    texts = [f"{i} " + "w" * (long if i == 20 else 300) for i in range(41)]
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    links = "<ul>" + "<li><a href=x>Menu</a></li>" * 30 + "</ul>"
+    assert main_text.main_text(f"<body>{body}</body>") == " ".join(texts)
+    # The smoothing takes the link right beside a paragraph along, and no other.
+    assert main_text.main_text(f"<body>{links}{body}{links}</body>") == " ".join(["Menu", *texts, "Menu"])
+    two = f"<article><p>{texts[0]}</p></article><nav>n</nav>" * 3 + f"<article><p>{texts[20]}</p></article>"
+    assert main_text.main_text(two) == " ".join([texts[0]] * 3 + [texts[20]])
+
+
 def test_main_text_of_the_test_pages(spark, sf):
     """The article of every page, its blocks taken out by a pattern."""
     import html
