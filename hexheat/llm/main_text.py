@@ -23,7 +23,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never the article's own words, whatever stands around them.
 NOISE = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form head iframe input label math menu nav noscript object "
+    "aside audio button canvas datalist dialog fieldset footer form head iframe input label menu nav noscript object "
     "option script search select style svg template textarea title video".split()
 )
 # The same by the words of class, id and role.
@@ -35,6 +35,20 @@ NOISE_WORDS = re.compile(
 )
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies)|respond|related|recommended)(?=$|[\s_-])")
 MAIN = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])")
+
+
+def names_of(tag: str, named: dict[str, str], article: int) -> str:
+    """The words of class, id and role that tell noise.
+
+    In an article, ids of headings and longer ids of sections name what stands there, and a header holds the title.
+    """
+    keys = ["class", "id", "role"]
+    if article >= 0 and (tag in HEADINGS or tag == "section" and re.search(r"[\s_-]", named.get("id", "").strip())):
+        keys.remove("id")
+    words = " ".join(named.get(k, "") for k in keys)
+    return HEADER.sub("", words) if article >= 0 else words
 
 
 class Blocks(HTMLParser):
@@ -64,7 +78,7 @@ class Blocks(HTMLParser):
             self.open.pop()
         noise, article = self.state()
         named = {k: (v or "").lower() for k, v in attrs}
-        words = " ".join(named.get(k, "") for k in ("class", "id", "role"))
+        words = names_of(tag, named, article)
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
         if tag in MAIN:
             # An article is not part of a menu or a notice that was never closed, but comments may hold articles.
@@ -100,7 +114,7 @@ class Blocks(HTMLParser):
         if self.fresh:
             if not data.strip():
                 return
-            heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in self.open[-3:])
+            heading = any(x[0] in HEADINGS for x in self.open[-3:])
             self.blocks.append([[], 1, article, noise, heading])
             self.fresh = False
         self.blocks[-1][0].append(data)

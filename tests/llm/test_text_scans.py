@@ -155,6 +155,15 @@ def test_main_text_beside_a_very_long_paragraph(long):
     assert main_text.main_text(two) == " ".join([texts[0]] * 3 + [texts[20]])
 
 
+def test_main_text_keeps_what_an_article_names_after_noise():
+    page = (
+        "<div id='site-header'>no</div><article><div class='entry-header'><h1>Title</h1></div><h2 id='search'>Search</h2>"
+        "<section id='related-work'><h3 id='banner-design'>Banners</h3><p>Text <math><mi>x</mi></math></p></section>"
+        "<section id='comments'><p>no</p></section><div class='related-posts'>no</div></article>"
+    )
+    assert main_text.main_text(page) == "Title Search Banners Text x"
+
+
 def test_main_text_of_the_test_pages(spark, sf):
     """The article of every page, its blocks taken out by a pattern."""
     import html
