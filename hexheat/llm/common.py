@@ -37,3 +37,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written with a number in each row, and the name of that column: rows of one doc_id can be told apart."""
+    row = free_name(df, "row")
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row

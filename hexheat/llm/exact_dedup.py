@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexheat.llm.common import SPACE, stored, text_or_empty
+from hexheat.llm.common import SPACE, numbered, stored, text_or_empty
 
 LEAST, MOST = 512, 4096
 # A cut is allowed after three characters of these kinds; that is about one place in a few hundred of plain text.
@@ -54,7 +54,12 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = chunk_ha
     group of NULL ids alone has keep_id NULL and keeps nothing). Repeated rows are rows of the group like any
     other: each counts in group_size and is marked like its twin. Further columns of `docs` are not read.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normal(text_or_empty()).alias("norm"))
+    return marked_rows(docs, F.monotonically_increasing_id(), hash_of).drop("row")
+
+
+def marked_rows(docs: DataFrame, row: Column, hash_of: Callable[[Column], Column] = chunk_hash) -> DataFrame:
+    """`exact_groups` with the number of each row."""
+    texts = docs.select(row.alias("row"), "doc_id", normal(text_or_empty()).alias("norm"))
     cut = texts.select("row", "doc_id", "norm", chunks(F.col("norm")).alias("chunks"))
     recipes = stored(
         cut.select(
@@ -79,7 +84,7 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = chunk_ha
     r, g = recipes.alias("r"), groups.alias("g")
     same = (F.col("r.recipe") == F.col("g.recipe")) & F.col("r.told_apart").eqNullSafe(F.col("g.told_apart"))
     return r.join(g, same).select(
-        "r.doc_id", "g.keep_id", "g.group_size",
+        "r.row", "r.doc_id", "g.keep_id", "g.group_size",
         F.coalesce(F.col("r.doc_id") == F.col("g.keep_id"), F.lit(False)).alias("kept"),
         "r.text_sha256",
     )
@@ -87,5 +92,6 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = chunk_ha
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that `exact_groups` drops; rows without an id stay, as nothing tells them apart."""
-    gone = exact_groups(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, row = numbered(docs)
+    gone = marked_rows(rows, F.col(row)).where("not kept and doc_id is not null").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)

@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexheat.llm.common import stored
+from hexheat.llm.common import numbered, stored
 from hexheat.llm.groups import components, group_bounds, pairs_in_groups, split_large, whole_groups
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -106,7 +106,11 @@ def min_hashes(tokens: np.ndarray, coordinates: int) -> np.ndarray:
     return (scrambled(out) >> np.uint64(33)).astype(np.int64).astype(np.int32)
 
 
-def embedded(docs: DataFrame, n: int = WORDS, coordinates: int = COORDINATES) -> DataFrame:
+def row_number(row: Column | None) -> Column:
+    return F.monotonically_increasing_id() if row is None else row
+
+
+def embedded(docs: DataFrame, n: int = WORDS, coordinates: int = COORDINATES, row: Column | None = None) -> DataFrame:
     """row, doc_id, size, set_lo and set_hi (a 128-bit name of the set), sig: min-hash coordinates; NULL where a text has no words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +128,7 @@ def embedded(docs: DataFrame, n: int = WORDS, coordinates: int = COORDINATES) ->
                 ["row", "doc_id", "size", "set_lo", "set_hi", "sig"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = docs.select(row_number(row).alias("row"), "doc_id", "text")
     return rows.mapInArrow(work, "row long, doc_id long, size long, set_lo long, set_hi long, sig array<int>")
 
 
@@ -220,10 +224,10 @@ def overlap(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, i: np.nda
     return out
 
 
-def set_links(docs: DataFrame, n: int, similarity: float, recall: float, bucket: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def set_links(docs: DataFrame, n: int, similarity: float, recall: float, bucket: int, block: int, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their set's node; nodes with their links' weights (node, links); a forest of links (a, b)."""
     paths = Paths(runs_for(recall, similarity), COORDINATES, DEPTH, CHILDREN)
-    rows = stored(embedded(docs, n), "embedded")
+    rows = stored(embedded(docs, n, row=row), "embedded")
     named = rows.where("sig is not null")
     # Equal sets are one node; its weight is how many rows have the set.
     sets = named.groupBy("set_lo", "set_hi").agg(
@@ -259,7 +263,7 @@ def set_links(docs: DataFrame, n: int, similarity: float, recall: float, bucket:
     met = parts.join(facts, "node").select(*columns, "sig", "large").repartition("key", "part").sortWithinPartitions("key", "part")
     met = stored(met.mapInArrow(useful, shape), "met")
     needed = met.select("node").distinct()
-    texts = docs.select(F.monotonically_increasing_id().alias("node"), "text").join(needed, "node")
+    texts = docs.select(row_number(row).alias("node"), "text").join(needed, "node")
     loaded = met.join(texts, "node").repartition("key", "part").sortWithinPartitions("key", "part")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +322,14 @@ def near_copies(
     empty and blank texts have no grams and link with nothing. Rows with a NULL doc_id count and carry links,
     but never name a class unless all its ids are NULL. Repeated rows link with each other like any equal texts.
     """
-    members, counts, forest = set_links(docs, n, similarity, recall, bucket, block)
+    return marked_rows(docs, None, n, similarity, recall, bucket, block).drop("row")
+
+
+def marked_rows(
+    docs: DataFrame, row: Column | None, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK,
+) -> DataFrame:
+    """`near_copies` with the number of each row."""
+    members, counts, forest = set_links(docs, n, similarity, recall, bucket, block, row)
     roots = components(forest)
     rows = members.join(counts, "node", "left").join(roots, "node", "left").select(
         "row", "doc_id", F.coalesce("root", "node", -1 - F.col("row")).alias("class"),
@@ -327,11 +338,12 @@ def near_copies(
     rows = stored(rows, "classes")
     least = stored(rows.groupBy("class").agg(F.min("doc_id").alias("class_id")), "least")
     return rows.join(least, "class").select(
-        "doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept")
+        "row", "doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept")
     )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that `near_copies` doesn't keep; rows without an id stay."""
-    gone = near_copies(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, row = numbered(docs)
+    gone = marked_rows(rows, F.col(row)).where("not kept and doc_id is not null").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)

@@ -136,6 +136,13 @@ def test_ngram_join(make_docs, rows, bucket, block):
     assert got == jaccard_join(rows)
 
 
+def test_drop_near_copies_keeps_the_other_text_of_an_id(make_docs):
+    copied, own = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    docs = make_docs([(1, copied), (2, own), (2, copied + " more"), (3, "third")])
+    left = ngram_join.drop_near_copies(docs)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, copied), (2, own), (3, "third")]
+
+
 def test_ngram_join_of_a_hot_group(make_docs):
     """Hundreds of variants of one text, all alike, in buckets that never get small."""
     r = random.Random(4)

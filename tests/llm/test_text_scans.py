@@ -49,6 +49,12 @@ def test_drop_copies_keeps_one_of_each(make_docs, rows):
     assert sorted((r.doc_id for r in left.collect()), key=repr) == expected
 
 
+def test_drop_copies_keeps_the_other_text_of_an_id(make_docs):
+    docs = make_docs([(1, "a copied text"), (2, "a text of its own"), (2, "a copied text"), (3, "third")])
+    left = exact_dedup.drop_copies(docs)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "a copied text"), (2, "a text of its own"), (3, "third")]
+
+
 # ---- secrets ------------------------------------------------------------------------------
 
 SECRETS = [
