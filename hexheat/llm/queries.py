@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpus_pipeline import run as run_pipeline
 from hexheat.llm.bpe import digests
+from hexheat.llm.byte_bpe import byte_digests
 from hexheat.llm.checks import CHECKS  # noqa: F401
 from hexheat.llm.common import table
 from hexheat.llm.exact_dedup import exact_groups
@@ -78,6 +79,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_pipeline(spark, sf_dir)
