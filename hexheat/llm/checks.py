@@ -128,3 +128,32 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        coalesce(doc_id = min(doc_id) OVER g, false) AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY norm)
 """
+
+
+def crc32(text: str) -> str:
+    """The CRC-32 of an ASCII text, a bit at a time: after each byte eight steps, marked by -1."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce({steps}, lambda c, x: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+CHECKS["op11_periodic_runs"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({crc32("doc_id::VARCHAR")}, 1) AS h,
+                  list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, h // 10 % greatest(len(w), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END)
+             ELSE w END AS w FROM p),
+words AS (SELECT k, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+pairs AS (SELECT x.k, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.k = y.k AND x.word = y.word AND y.i > x.i WHERE 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT k, p, i, i - row_number() OVER (PARTITION BY k, p ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT k, p, min(i) AS start, count(*) + p AS length FROM islands GROUP BY k, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+runs AS (SELECT k, start, length, min(p) AS period FROM stretches GROUP BY k, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY k ORDER BY length / period DESC, start, period) = 1),
+lines AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY k),
+gone AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM runs),
+rest AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS rest FROM words ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM t LEFT JOIN lines USING (k) LEFT JOIN best USING (k) LEFT JOIN rest USING (k)
+"""

@@ -17,6 +17,7 @@ from hexheat.llm.licences import scan_licences
 from hexheat.llm.main_text import extract_pages
 from hexheat.llm.mixing import mix_words
 from hexheat.llm.ngram_join import near_copies
+from hexheat.llm.periodic_runs import run_digests
 from hexheat.llm.quality import score_quality
 from hexheat.llm.secrets import scan_secrets
 from hexheat.llm.suffix_dedup import removal_digests
@@ -79,6 +80,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_digests(table(spark, sf_dir, "documents"))
