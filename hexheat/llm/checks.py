@@ -5,6 +5,7 @@ Written from the definitions: every window, gram, pair and match is listed and c
 
 from __future__ import annotations
 
+from hexheat.llm.collocations import COVERED, LEAST, TOP
 from hexheat.llm.licences import DRIFT, GRAM, NOTICES, PHRASES, SHARE, WORD
 from hexheat.llm.secrets import KINDS, LIVE_OWNERS
 
@@ -157,3 +158,22 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, le
        (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
 FROM t LEFT JOIN lines USING (k) LEFT JOIN best USING (k) LEFT JOIN rest USING (k)
 """
+
+CHECKS["op12_collocations"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(x, '[^ \t]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a
+      FROM (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM pieces, (VALUES (1), (2), (3)) AS v(k)) GROUP BY lang, k, phrase HAVING count(*) >= {LEAST}),
+parts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM parts)),
+scored AS (SELECT u.lang, u.phrase, u.a, s.a AS l, t.a AS r, u.c, (1000000::HUGEINT * u.a * u.a // (s.a::HUGEINT * t.a))::BIGINT AS score
+           FROM cuts u JOIN f s ON s.lang = u.lang AND s.phrase = u.x JOIN f t ON t.lang = u.lang AND t.phrase = u.y
+           QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, u.c) = 1),
+longer AS (SELECT lang, inner_phrase AS phrase, max(a) AS longest
+           FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS inner_phrase FROM parts WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT s.* FROM scored s LEFT JOIN longer o USING (lang, phrase) WHERE o.longest IS NULL OR 100 * o.longest < {COVERED} * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {TOP}
+"""

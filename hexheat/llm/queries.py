@@ -10,6 +10,7 @@ from corpus_pipeline import run as run_pipeline
 from hexheat.llm.bpe import digests
 from hexheat.llm.byte_bpe import byte_digests
 from hexheat.llm.checks import CHECKS  # noqa: F401
+from hexheat.llm.collocations import collocations
 from hexheat.llm.common import table
 from hexheat.llm.exact_dedup import exact_groups
 from hexheat.llm.lattice_join import near_vectors
@@ -85,6 +86,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_digests(table(spark, sf_dir, "documents"))

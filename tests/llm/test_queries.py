@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from hexheat.llm import queries
 
-SIZES = {f"op{n}_": "embeddings" if n == 6 else "pages" if n == 4 else "documents" for n in range(1, 11)}
+SIZES = {f"op{n}_": "embeddings" if n == 6 else "pages" if n == 4 else "documents" for n in range(1, 14)}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert ours == sorted(duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.CHECKS[name]})").fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("prefix", ["op3_", "op4_", "op7_", "op10_"])
+@pytest.mark.parametrize("prefix", ["op3_", "op4_", "op7_", "op10_", "op13_"])
 def test_query_has_a_row_for_every_row(spark, sf, prefix):
     name = next(n for n in queries.QUERIES if n.startswith(prefix))
     assert queries.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{SIZES[prefix]}.parquet").count()
