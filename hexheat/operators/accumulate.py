@@ -67,6 +67,17 @@ def parameter_rows(params: DataFrame | list[dict]) -> list[tuple]:
     return [(int(i), *[float({**DEFAULTS, **p}[name]) for name in PARAMETERS]) for i, p in given]
 
 
+def _scanned(film: DataFrame, params: DataFrame | list[dict], quantised: bool, gather: str, columns: str) -> DataFrame:
+    ordered = present(film, quantised).repartition("cell").sortWithinPartitions("t")
+    if not quantised:
+        ordered = drivers(ordered, quantised=False)
+    scanner = _scanner(
+        parameter_rows(params), quantised, (S.HI_STEPS_PER_C, S.HI_OFFSET_C), S.FULL_VENT_MS, S.FULL_FLUSH_MM,
+        gather, (S.LOAD_STEPS_PER_C, S.TOP_CODE),
+    )
+    return ordered.mapInArrow(scanner, f"param int, {columns}")
+
+
 def sweep(film: DataFrame, params: DataFrame | list[dict], quantised: bool = True) -> DataFrame:
     """`param, cell, t, l, load_q`, and the film's codes, for every row of `params`.
 
@@ -76,21 +87,34 @@ def sweep(film: DataFrame, params: DataFrame | list[dict], quantised: bool = Tru
     stream past, and all that is kept is one number per (parameter row, cell of the partition),
     however long the series is.
     """
-    rows = parameter_rows(params)
-    ordered = present(film, quantised).repartition("cell").sortWithinPartitions("t")
-    if not quantised:
-        ordered = drivers(ordered, quantised=False)
     t_type = film.schema["t"].dataType.simpleString()
     codes = ", hi_q smallint, wx_q smallint" if quantised else ""
-    schema = f"param int, cell bigint, t {t_type}, l double{codes}"
-    scanner = _scanner(rows, quantised, (S.HI_STEPS_PER_C, S.HI_OFFSET_C), S.FULL_VENT_MS, S.FULL_FLUSH_MM)
-    return ordered.mapInArrow(scanner, schema).withColumn("load_q", quantise_load(F.col("l")))
+    swept = _scanned(film, params, quantised, "rows", f"cell bigint, t {t_type}, l double{codes}")
+    return swept.withColumn("load_q", quantise_load(F.col("l")))
+
+
+def sweep_means(film: DataFrame, params: DataFrame | list[dict], quantised: bool = True) -> DataFrame:
+    """`param, t, mean_load, n_cells`: what `load_means` gives for a sweep, summed where the rows are made.
+
+    A batch sends a row for each parameter row and hour that it holds, and never one for each cell.
+    """
+    t_type = film.schema["t"].dataType.simpleString()
+    sums = _scanned(film, params, quantised, "means", f"t {t_type}, s double, n bigint")
+    total = F.sum("n")
+    return sums.groupBy("param", "t").agg((F.sum("s") / total).alias("mean_load"), total.alias("n_cells"))
+
+
+def sweep_histogram(film: DataFrame, params: DataFrame | list[dict], quantised: bool = True) -> DataFrame:
+    """`param, load_q, n`: the load histogram of every row of `params`, counted where the rows are made."""
+    counts = _scanned(film, params, quantised, "histogram", "load_q smallint, n bigint")
+    return counts.groupBy("param", "load_q").agg(F.sum("n").alias("n"))
 
 
 def _scanner(
-    params: list[tuple], quantised: bool, hi_code: tuple[float, float], full_vent: float, full_flush: float
+    params: list[tuple], quantised: bool, hi_code: tuple[float, float], full_vent: float, full_flush: float,
+    gather: str, load_code: tuple[float, int],
 ) -> Callable[[Iterator], Iterator]:
-    """The recurrence over Arrow batches in time order.
+    """The recurrence over Arrow batches in time order, as rows, as sums by hour, or as counts by load code.
 
     Every step is an affine map L -> A L + B. Maps compose, so a batch, its rows gathered by
     cell, is solved by doubling: after k rounds each row holds the composition of its last 2^k
@@ -129,9 +153,13 @@ def _scanner(
                 known, carried = seen, wider
             place = np.searchsorted(known, cell[starts])
             hi, ws, mm = columns(batch, order)
-            cells, times = pa.array(cell), batch.column("t").take(pa.array(order))
-            kept = ["hi_q", "wx_q"] if quantised else []
-            codes = [batch.column(c).take(pa.array(order)) for c in kept]
+            times = batch.column("t").take(pa.array(order))
+            if gather == "rows":
+                cells, kept = pa.array(cell), ["hi_q", "wx_q"] if quantised else []
+                codes = [batch.column(c).take(pa.array(order)) for c in kept]
+            elif gather == "means":
+                hours, hour = np.unique(times.cast(pa.int64()).to_numpy(), return_inverse=True)
+                hours, per_hour = pa.array(hours).cast(times.type), np.bincount(hour)
             for number, (param, half_life, threshold, flush, vent) in enumerate(params):
                 a = 2.0 ** (-1.0 / half_life)
                 excess = np.maximum(hi - threshold, 0.0) * np.maximum(1.0 - vent * ws / full_vent, 0.0)
@@ -145,10 +173,15 @@ def _scanner(
                     A[step:] = A[step:] * A[:-step]
                     step *= 2
                 carried[number, place] = B[ends]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, param, dtype=np.int32)), cells, times, pa.array(B), *codes],
-                    names=["param", "cell", "t", "l", *kept],
-                )
+                if gather == "rows":
+                    names, out = ["cell", "t", "l", *kept], [cells, times, pa.array(B), *codes]
+                elif gather == "means":
+                    names, out = ["t", "s", "n"], [hours, pa.array(np.bincount(hour, B)), pa.array(per_hour)]
+                else:
+                    code, count = np.unique(np.minimum(np.floor(B * load_code[0] + 0.5), load_code[1]), return_counts=True)
+                    names, out = ["load_q", "n"], [pa.array(code.astype(np.int16)), pa.array(count)]
+                number_of = pa.array(np.full(len(out[0]), param, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([number_of, *out], names=["param", *names])
 
     return scan
 
@@ -212,7 +245,12 @@ def sweep_by_blocks(film: DataFrame, params: list[dict], quantised: bool = True,
 
 def load_means(load: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean of the unquantised load over the cells with data, hour by hour."""
-    return load.groupBy(*(by or []), "t").agg(F.avg("l").alias("mean_load"), F.count("*").alias("n_cells"))
+    return load.groupBy(*(by or []), "t").agg(*means(), F.count("*").alias("n_cells"))
+
+
+def means() -> list[Column]:
+    """Mean of the unquantised load for a group of rows."""
+    return [F.avg("l").alias("mean_load")]
 
 
 def load_histogram(load: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -228,9 +266,13 @@ def load_ramp_top(load: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     From the histogram, so at most 254 rows a group are ordered.
     """
+    return ramp_top(load_histogram(load, by), by)
+
+
+def ramp_top(histogram: DataFrame, by: list[str] | None = None) -> DataFrame:
     keys = by or []
     upto = Window.partitionBy(*keys).orderBy("load_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = load_histogram(load, keys).withColumn(
+    bins = histogram.withColumn(
         "counted", F.when(F.col("load_q").between(1, S.TOP_CODE), F.col("n")).otherwise(0)
     )
     walked = bins.withColumns({

@@ -121,12 +121,14 @@ def pick(points: DataFrame, film: DataFrame, res: int) -> DataFrame:
     return placed.join(film.select("cell", "t", "hi_q"), ["cell", "t"], "left")
 
 
+def means() -> list[Column]:
+    """Mean of the shown heat index, and the number of cells, for a group of rows with data."""
+    return [F.avg(dequantise_hi(F.col("hi_q"))).alias("mean_hi"), F.count("*").alias("n_cells")]
+
+
 def frame_means(film: DataFrame) -> DataFrame:
     """Mean of the shown heat index over the cells with data, hour by hour."""
-    present = film.where(F.col("hi_q").isNotNull())
-    return present.groupBy("t").agg(
-        F.avg(dequantise_hi(F.col("hi_q"))).alias("mean_hi"), F.count("*").alias("n_cells")
-    )
+    return film.where(F.col("hi_q").isNotNull()).groupBy("t").agg(*means())
 
 
 def extent(df: DataFrame, value: str, by: list[str] | None = None, from_zero: bool = False) -> DataFrame:

@@ -49,9 +49,15 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     return fold.label_pixels(D.grid(spark, sf), D.RES)
 
 
+EXTENTS: dict[tuple[str, str, int], tuple[str, str]] = {}
+
+
 def extent(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """First and last day of the whole archive; the default window where it has no runs."""
-    return _days(archive.run_extent(D.pixel_hours(spark, sf)))
+    """First and last day of the whole archive, found once a session and folder; the default window where it has no runs."""
+    key = (spark.sparkContext.applicationId, sf, D.shape(spark, sf).runs)
+    if key not in EXTENTS:
+        EXTENTS[key] = _days(archive.run_extent(D.pixel_hours(spark, sf)))
+    return EXTENTS[key]
 
 
 def _days(found: DataFrame) -> tuple[str, str]:
@@ -194,8 +200,9 @@ def sustained_heat_raw(spark, sf):
 
 @query
 def frame_means(spark, sf):
-    index, sustained = film.frame_means(heat(spark, sf)), accumulate.load_means(load(spark, sf))
-    return rounded(index.join(sustained.drop("n_cells"), "t"), "mean_hi", "mean_load")
+    """Both means from one pass: the recurrence carries the codes along."""
+    means = load(spark, sf).groupBy("t").agg(*film.means(), *accumulate.means())
+    return rounded(means, "mean_hi", "mean_load")
 
 
 @query
@@ -232,13 +239,12 @@ def cell_extents(spark, sf):
 @query
 def param_sweep(spark, sf):
     """Hourly means of the load for 108 parameter rows."""
-    swept = accumulate.sweep(heat(spark, sf), parameters(spark))
-    return rounded(accumulate.load_means(swept, ["param"]), "mean_load")
+    return rounded(accumulate.sweep_means(heat(spark, sf), parameters(spark)), "mean_load")
 
 
 @query
 def sweep_ramp_tops(spark, sf):
-    return accumulate.load_ramp_top(accumulate.sweep(heat(spark, sf), parameters(spark)), ["param"])
+    return accumulate.ramp_top(accumulate.sweep_histogram(heat(spark, sf), parameters(spark)), ["param"])
 
 
 @query
@@ -454,7 +460,7 @@ def films_of_requests(spark, sf):
 def guard_resolution(spark, sf):
     """Cells without a pixel at each resolution up to the finest allowed: why finer ones are refused."""
     found = None
-    for res in range(1, D.RES + 1):
+    for res in range(1, S.FINEST_RESOLUTION + 1):
         fold.guard_resolution(res)
         land_cells = mask.land_cells(D.divisions(spark, sf), res)
         held = fold.coverage(fold.label_pixels(D.grid(spark, sf), res), land_cells)

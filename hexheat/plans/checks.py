@@ -68,6 +68,8 @@ cte("pixel_hours", ["shape"], f"""
            CASE WHEN l_orderkey % 89 = 0 THEN 'NaN'::DOUBLE ELSE 10e0 + 900e0 * l_discount END AS rh, greatest(l_tax - 4e-2, 0e0) / 40e0 AS rain,
            (l_suppkey % 17 - 8)::DOUBLE AS u, (l_orderkey % 13 - 6)::DOUBLE AS v
     FROM lineitem CROSS JOIN shape""")
+cte("runs", ["pixel_hours"], "SELECT DISTINCT run, init_ts FROM pixel_hours")
+cte("archive", ["runs"], "SELECT min(init_ts)::DATE AS lo, max(init_ts)::DATE AS hi FROM runs")
 cte("grid", ["shape"], f"""
     SELECT yi, xi, yb, xb, {d(D.SOUTH)} + {d(D.HEIGHT)} * yi / (2 * cols) AS lat, {d(D.WEST_END)} + {d(D.WIDTH)} * xi / cols AS lon
     FROM (SELECT DISTINCT cols, {pixel_columns("p_partkey")} FROM part CROSS JOIN shape)""")
@@ -91,10 +93,11 @@ cte("pix", ["grid"], hexed("grid", D.RES, "yi, xi, yb, xb, lat, lon"))
 cte("cells", ["pix"], "SELECT cell, (row_number() OVER (ORDER BY cell) - 1)::INT AS pos FROM (SELECT DISTINCT cell FROM pix)")
 
 
+# The default window; all else folds the archive from end to end.
 WEEK = "AND init_ts >= TIMESTAMP '2026-06-29' AND init_ts < TIMESTAMP '2026-07-06'"
 
 
-def fold(leads: int, pixels: str = "pix", window: str = WEEK) -> str:
+def fold(leads: int, pixels: str = "pix", window: str = "") -> str:
     return f"""
     SELECT init_ts, lead_h, cell, init_ts + to_hours(lead_h) AS t, avg(tc)::FLOAT AS tc, nullif(avg(rh), 'NaN'::DOUBLE)::FLOAT AS rh,
            (avg(rain) * 3600)::FLOAT AS mm, avg(sqrt(u * u + v * v))::FLOAT AS ws
@@ -124,6 +127,8 @@ def film_of(source: str) -> str:
 
 
 cte("film", ["cell_hour"], film_of("cell_hour"))
+cte("week_hour", ["pixel_hours", "pix"], fold(6, window=WEEK))
+cte("week_film", ["week_hour"], film_of("week_hour"))
 
 
 def steps_of(hi: str, ws: str, mm: str, source: str = "film") -> str:
@@ -188,14 +193,15 @@ check("load_ramp_top", ["load"], """
     SELECT greatest(1e0, coalesce(percentile_disc(98e-2) WITHIN GROUP (ORDER BY load_q) / 10e0, 1e0)) AS top
     FROM load WHERE load_q BETWEEN 1 AND 254""")
 RAMP = "max(m) AS mid, max(greatest(m - p2, p98 - m)) AS w"
-cte("quantiles", ["film"], """
+for _name, _film in (("quantiles", "film"), ("week_quantiles", "week_film")):
+    cte(_name, [_film], f"""
     SELECT quantile_cont(hi::DOUBLE, 5e-1) AS p50, quantile_cont(hi::DOUBLE, 2e-2) AS p2, quantile_cont(hi::DOUBLE, 98e-2) AS p98
-    FROM film""")
+    FROM {_film}""")
 
 
-def ramp(mid: str) -> str:
+def ramp(mid: str, quantiles: str = "quantiles") -> str:
     return (f"SELECT {r6('m - w', 'lo')}, {r6('m', 'mid')}, {r6('m + w', 'hi')} "
-            f"FROM (SELECT m, greatest(m - p2, p98 - m) AS w FROM (SELECT *, {mid} AS m FROM quantiles))")
+            f"FROM (SELECT m, greatest(m - p2, p98 - m) AS w FROM (SELECT *, {mid} AS m FROM {quantiles}))")
 
 
 check("index_ramp", ["quantiles"], ramp("p50"))
@@ -229,10 +235,10 @@ check("write_film", ["film"], "SELECT cell, t, hi_q, wx_q FROM film WHERE t = TI
 check("write_dense_film", ["film", "cells", "frames"], """
     SELECT frame, pos, coalesce(hi_q, 255)::SMALLINT AS hi_q, coalesce(wx_q, 0)::SMALLINT AS wx_q
     FROM cells c CROSS JOIN frames f LEFT JOIN film ON film.cell = c.cell AND film.t = f.t""")
-cte("clicks", [], f"""
+cte("clicks", ["archive"], f"""
     SELECT o_orderkey, 24.4e0 + (o_custkey * {D.SPREAD} % 2500) / 100e0 AS lat,
-           -124.8e0 + (o_orderkey * 104729 % 5790) / 100e0 AS lon, {START} + to_hours((o_orderkey % 168)::INT) AS t
-    FROM orders""")
+           -124.8e0 + (o_orderkey * 104729 % 5790) / 100e0 AS lon, lo::TIMESTAMP + to_hours((o_orderkey % (24 * (hi - lo + 1)))::INT) AS t
+    FROM orders CROSS JOIN archive""")
 cte("placed_clicks", ["clicks"], hexed("clicks", D.RES, "o_orderkey, t"))
 check("pick_points", ["film", "placed_clicks"],
       "SELECT o_orderkey, p.cell, p.t, hi_q FROM placed_clicks p LEFT JOIN film ON film.cell = p.cell AND film.t = p.t")
@@ -267,15 +273,14 @@ check("memo_fold", ["cell_hour"], "SELECT t, count(*) AS n FROM cell_hour GROUP
 
 # ---- window -------------------------------------------------------------------------------
 
-cte("runs", ["pixel_hours"], "SELECT DISTINCT run, init_ts FROM pixel_hours")
-cte("archive", ["runs"], "SELECT min(init_ts)::DATE AS lo, max(init_ts)::DATE AS hi FROM runs")
-check("film_config", ["quantiles", "frames", "archive"], f"""
+cte("week_frames", ["week_film"], "SELECT t, (row_number() OVER (ORDER BY t) - 1)::INT AS frame FROM (SELECT DISTINCT t FROM week_film)")
+check("film_config", ["week_quantiles", "week_frames", "archive"], f"""
     SELECT r.lo, r.mid, r.hi, 12e0 AS half_life, {D.RES} AS res, true AS has_rain, true AS has_wind,
            strftime(a.lo, '%Y-%m-%d') AS first_day, strftime(a.hi, '%Y-%m-%d') AS last_day, '2026-06-29' AS d0,
            strftime(least(a.hi, DATE '2026-07-05'), '%Y-%m-%d') AS d1, 14 AS max_days,
            round_even((6 + 30 * (least(a.hi, DATE '2026-07-05') - DATE '2026-06-29' + 1)) / 60e0, 0)::INT || ' min' AS cost,
            30e0 AS sec_per_day, 6 AS leads, frame, strftime(t, '%Y-%m-%d %H:%MZ') AS label
-    FROM frames CROSS JOIN archive a CROSS JOIN ({ramp("p50")}) r""")
+    FROM week_frames CROSS JOIN archive a CROSS JOIN ({ramp("p50", "week_quantiles")}) r""")
 cte("requests", [], """
     SELECT req, CASE k WHEN 0 THEN '{"d0":"' || a || '","d1":"' || b || '"}' WHEN 1 THEN '{"d0":"' || b || '","d1":"' || a || '"}'
                        WHEN 2 THEN '{"d0":"' || a || '"}' WHEN 3 THEN 'not json'
@@ -312,13 +317,11 @@ RESOLVED, LAST_DAYS = (q.replace(*GUARD).replace(*GUARD1) for q in (RESOLVED, LA
 cte("resolved", ["requests", "runs", "archive"], RESOLVED)
 check("resolve_window", ["resolved"], "SELECT * FROM resolved")
 check("resolve_last_days", ["requests", "runs", "archive"], LAST_DAYS)
-cte("all_hours", ["pixel_hours", "pix"], fold(6, window=""))
-cte("all_film", ["all_hours"], film_of("all_hours"))
-check("films_of_requests", ["resolved", "all_film"], """
+check("films_of_requests", ["resolved", "film"], """
     SELECT req, d0, d1, n_days, status, n_rows, first_t, last_t, sum_hi_q, sum_wx_q
     FROM resolved LEFT JOIN (
         SELECT d0, d1, count(*) AS n_rows, min(t) AS first_t, max(t) AS last_t, sum(hi_q)::BIGINT AS sum_hi_q, sum(wx_q)::BIGINT AS sum_wx_q
-        FROM (SELECT DISTINCT d0, d1, t1 FROM resolved WHERE status = 'ok') JOIN all_film ON t::DATE BETWEEN d0 AND d1 AND t <= t1
+        FROM (SELECT DISTINCT d0, d1, t1 FROM resolved WHERE status = 'ok') JOIN film ON t::DATE BETWEEN d0 AND d1 AND t <= t1
         GROUP BY d0, d1) USING (d0, d1)""")
 check("read_cost", ["resolved"], """
     SELECT req, n_days, n_runs * 5 AS n_shards, 30e0 AS sec_per_day, (6 + 30 * n_days)::INT AS cost_s,
@@ -458,14 +461,14 @@ check("prune_blocks", ["pixel_hours", "land_pix"], """
 cte("land_hour", ["pixel_hours", "land_pix"], fold(6, "land_pix"))
 cte("land_film", ["land_hour"], film_of("land_hour"))
 check("masked_fold", ["land_film"], "SELECT cell, t, hi_q, wx_q FROM land_film")
-for _res in range(1, D.RES + 1):
+for _res in range(1, S.FINEST_RESOLUTION + 1):
     centres(f"guard_centres{_res}", "division_edges", _res)
     cte(f"guard_filled{_res}", ["division_edges", f"guard_centres{_res}"], inside("division_edges", f"guard_centres{_res}", "cell", "lon", "lat"))
     cte(f"guard_pix{_res}", ["grid"], hexed("grid", _res, "yi, xi"))
-check("guard_resolution", [f"guard_{x}{r}" for r in range(1, D.RES + 1) for x in ("filled", "pix")], " UNION ALL ".join(f"""
+check("guard_resolution", [f"guard_{x}{r}" for r in range(1, S.FINEST_RESOLUTION + 1) for x in ("filled", "pix")], " UNION ALL ".join(f"""
     SELECT {r} AS res, count(*) AS n_cells, count(*) FILTER (n = 0) AS n_empty
     FROM (SELECT cell, count(yi) AS n FROM (SELECT DISTINCT cell FROM guard_filled{r}) LEFT JOIN guard_pix{r} USING (cell) GROUP BY cell)"""
-    for r in range(1, D.RES + 1)))
+    for r in range(1, S.FINEST_RESOLUTION + 1)))
 check("scan_grid", ["grid"], f"SELECT yi, xi, yb, xb, {r6('lat')}, {r6('lon')} FROM grid")
 check("scan_pieces", ["counties"], "SELECT id, name, region, part, len(rings)::INT AS n_rings FROM counties")
 check("fold_coverage", ["filled_coarse", "pix"], """

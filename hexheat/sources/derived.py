@@ -67,8 +67,15 @@ class Shape:
         return max(1, min(BLOCK_COLS, self.cols // 10))
 
 
+COUNTS: dict[tuple[str, str], tuple[int, int]] = {}
+
+
 def shape(spark: SparkSession, sf: str) -> Shape:
-    parts, orders = (table(spark, sf, t).count() for t in ("part", "orders"))
+    """The tables are counted once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in COUNTS:
+        COUNTS[key] = (table(spark, sf, "part").count(), table(spark, sf, "orders").count())
+    parts, orders = COUNTS[key]
     return Shape(max(4, math.isqrt(parts // 2)), RUNS_A_WEEK * max(1, orders // ORDERS_A_WEEK))
 
 
