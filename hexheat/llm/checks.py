@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from hexheat.llm.collocations import COVERED, LEAST, TOP
 from hexheat.llm.licences import DRIFT, GRAM, NOTICES, PHRASES, SHARE, WORD
-from hexheat.llm.secrets import KINDS, LIVE_OWNERS
+from hexheat.llm.secrets import KINDS, LIVE_OWNERS, LIVE_REPOSITORIES
 
 CHECKS: dict[str, str] = {}
 
@@ -108,7 +108,8 @@ def _secrets() -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(found)}),
-owned AS (SELECT value, count(DISTINCT coalesce(source, '<null>')) <= {LIVE_OWNERS} AS live FROM f GROUP BY value),
+owned AS (SELECT value, count(DISTINCT coalesce(source, '<null>')) <= {LIVE_OWNERS} AND count(DISTINCT doc_id) <= {LIVE_REPOSITORIES} AS live
+          FROM f GROUP BY value),
 s AS (SELECT doc_id, rank, kind, a, kind || ':' || a || ':' || (a + n) AS span, live FROM f JOIN owned USING (value)),
 by_doc AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
                   count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,

@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership, from DataFrame functions only.
 
-Patterns find candidates inside each document; how many owners hold the same candidate anywhere in the corpus
-then tells an example that everyone copies from a credential that looks live. Only hashes of candidates move.
+Patterns find candidates inside each document; in how many repositories, and with how many owners, the same candidate
+stands anywhere in the corpus then tells an example that is copied about from a credential that looks live. Only
+hashes of candidates move.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ ADDED = {
     ),
 }
 KINDS = {**BASE, **ADDED}
-LIVE_OWNERS = 2
+# A candidate is live while it has at most so many owners and stands in at most so many repositories.
+LIVE_OWNERS, LIVE_REPOSITORIES = 2, 10
+# Matches are gathered in blocks of so many, so that a match doesn't copy all those before it.
+BLOCK = 128
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -47,17 +51,20 @@ def spans(text: Column, kind: str) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["whole"])
         found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
+        full = F.size(acc["part"]) >= BLOCK
+        part = F.when(full, F.array().cast(kind_of)).otherwise(acc["part"])
         return F.struct(
-            end.alias("at"),
-            F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"),
+            end.alias("at"), F.when(full, F.concat(acc["full"], F.array(acc["part"]))).otherwise(acc["full"]).alias("full"),
+            F.when(F.length(x["value"]) >= least, F.concat(part, F.array(found))).otherwise(part).alias("part"),
         )
 
     # split() gives one piece more than there are matches; the last is left out by the pairing with them.
     pairs = F.arrays_zip(
         F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind_of))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind_of}>").alias("full"), F.array().cast(kind_of).alias("part"))
+    gathered = F.aggregate(pairs, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["part"]))))
+    return F.when(text.rlike(pattern), gathered).otherwise(F.array().cast(kind_of))
 
 
 def joined(found: Column) -> Column:
@@ -75,11 +82,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS,
+    live_repositories: int = LIVE_REPOSITORIES,
+) -> DataFrame:
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
-    n_live counts base and added spans whose value at most `live_owners` owners hold, n_copied the others;
-    added spans are listed only where live. NULL text is empty text; a NULL owner or repository is one of its
+    n_live counts base and added spans whose value at most `live_owners` owners hold in at most `live_repositories`
+    repositories, n_copied the others; added spans are listed only where live. NULL text is empty text; a NULL owner or repository is one of its
     own; repeated rows are reported each, and are one repository.
     """
     text = F.col("text")
@@ -92,7 +102,8 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     )
     every = rows.select("row", "owner", "repository", F.explode(F.concat(*KINDS)).alias("span"))
     every = every.select("row", "owner", "repository", "span", F.sha2("span.value", 256).alias("name"))
-    live = ownership(every).select("name", (F.col("n_owners") <= live_owners).alias("live"))
+    few = (F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories)
+    live = ownership(every).select("name", few.alias("live"))
     n_base = len(BASE)
     by_row = (
         every.select("row", "name", F.struct("span.start", "span.rank", "span.end").alias("span"))

@@ -93,6 +93,22 @@ def test_secrets(make_docs):
     assert "issued" in by_id[4].spans and by_id[4].n_live == 1
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_copied(make_docs):
+    """One owner has all rows, so only the number of repositories tells; a repeated row is no further repository."""
+    few, many = "ghp_" + "A" * 30, "ghp_" + "B" * 30
+    n = secrets.LIVE_REPOSITORIES
+    rows = [(i, f"x {few}", "s0") for i in range(n)] + [(3, f"x {few}", "s0")] + [(100 + i, f"x {many}", "s0") for i in range(n + 1)]
+    got = secrets.scan_secrets(make_docs(rows)).collect()
+    assert {(r.n_live, r.n_copied, r.spans) for r in got if r.doc_id < 100} == {(1, 0, "issued:2:36")}
+    assert {(r.n_live, r.n_copied, r.spans) for r in got if r.doc_id >= 100} == {(0, 1, "")}
+
+
+def test_very_many_matches_in_one_text(make_docs):
+    text = "".join(f" é token=abc{i:05d};" for i in range(20_000))
+    r = secrets.scan_secrets(make_docs([(1, text, "s0")])).collect()[0]
+    assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(text))) and r.n_assign == 20_000
+
+
 # ---- licences -----------------------------------------------------------------------------
 
 LICENCES = [
@@ -155,8 +171,7 @@ def test_main_text_beside_a_very_long_paragraph(long):
     body = "".join(f"<p>{t}</p>" for t in texts)
     links = "<ul>" + "<li><a href=x>Menu</a></li>" * 30 + "</ul>"
     assert main_text.main_text(f"<body>{body}</body>") == " ".join(texts)
-    # The smoothing takes the link right beside a paragraph along, and no other.
-    assert main_text.main_text(f"<body>{links}{body}{links}</body>") == " ".join(["Menu", *texts, "Menu"])
+    assert main_text.main_text(f"<body>{links}{body}{links}</body>") == " ".join(texts)
     two = f"<article><p>{texts[0]}</p></article><nav>n</nav>" * 3 + f"<article><p>{texts[20]}</p></article>"
     assert main_text.main_text(two) == " ".join([texts[0]] * 3 + [texts[20]])
 
@@ -170,6 +185,54 @@ def test_main_text_keeps_what_an_article_names_after_noise():
     assert main_text.main_text(page) == "Title Search Banners Text x"
 
 
+PARA = "a sentence of the article, " * 12
+# Pages and their text, which is the same when the article is a plain div.
+LABELLED = [
+    (f"<p>{PARA}</p><ul><li><a href=x>Menu</a></li><li><a href=y>More</a></li></ul>", PARA),
+    (f"<div class=top><a href=x>Home</a> <a href=y>News</a></div><article><h1>Head</h1><p>{PARA}</p><p>The.</p></article><div>Short foot</div>", f"Head {PARA} The."),
+    (f"<article><p>{PARA}</p><ul><li><a href=x>inner</a></li></ul><p>{PARA}</p><ul><li><a href=z>next page</a></li></ul></article>", f"{PARA} inner {PARA}"),
+    (f"<article><section><p>{PARA}</p></section><div><p>Short.</p></div><section><p>{PARA}</p></section></article><div><p>Tiny note</p></div>", f"{PARA} Short. {PARA}"),
+    (f"<div id=page><header>Site</header><article><header><h1>Head</h1></header><p class=widget>kept</p><p>{PARA}</p></article><div class=comments><p>{PARA}</p></div></div>", f"Head kept {PARA}"),
+    (f"<article><h2 id=search>Search</h2><p>{PARA}</p><p class=advert>{PARA}</p></article><aside>{PARA}</aside><form>{PARA}</form>", f"Search {PARA}"),
+    (f"<article><p>{PARA}</p><p><a href=x>A source of its own</a></p><table><tr><td>1<td>2</table></article>", f"{PARA} A source of its own 1 2"),
+    (f"<article><p>{PARA * 9}</p></article><div><h3>Teaser</h3><p>Read <a href=x>this one</a> as well</p></div>", PARA * 9),
+]
+
+
+@pytest.mark.parametrize("number", range(len(LABELLED)))
+def test_main_text_with_and_without_article_tags(number):
+    page, text = LABELLED[number]
+    text = " ".join(text.split())
+    for before, after in (("", ""), ("<nav><a href=x>Menu</a></nav>" * 3, "<footer>Foot</footer>")):
+        whole = f"<html><body>{before}{page}{after}</body></html>"
+        assert main_text.main_text(whole) == text
+        assert main_text.main_text(whole.replace("<article", "<div").replace("</article", "</div")) == text
+
+
+def test_main_text_leaves_teasers_beside_main_out():
+    page = f"<main><p>{PARA}</p></main><article><h2>Other</h2><p>{PARA}</p></article>"
+    assert main_text.main_text(page) == PARA.strip()
+
+
+def test_main_text_decides_by_the_ratio():
+    """Without words that tell noise: what has little text for its tags is left out, until the threshold lets it in."""
+    page = "<div>" + "<i>ab</i>" * 90 + f"</div><hr><div>x</div><div>y</div><div>z</div><div><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p></div>"
+    assert main_text.main_text(page) == " ".join([PARA.strip()] * 3)
+    assert main_text.main_text(page, threshold=-1) == "ab" * 90 + " x y z " + " ".join([PARA.strip()] * 3)
+
+
+def test_main_text_takes_time_by_length():
+    import time
+
+    def seconds(n: int) -> float:
+        start = time.process_time()
+        main_text.main_text("<b>x</p>" * n)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 40 * seconds(2_000)
+
+
 def test_main_text_of_the_test_pages(spark, sf):
     """The article of every page, its blocks taken out by a pattern."""
     import html
@@ -180,6 +243,8 @@ def test_main_text_of_the_test_pages(spark, sf):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|ul|li|div)>|<br>", article)]
         assert got[r.page_id] == " ".join(b for b in blocks if b)
+        plain = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert main_text.main_text(plain) == got[r.page_id]
 
 
 # ---- BPE ----------------------------------------------------------------------------------
