@@ -102,10 +102,10 @@ def shared_out(sizes: Sequence[int], weights: Sequence[float], most: float = MOS
 
 
 def sized(docs: DataFrame, row: Column) -> DataFrame:
-    """row, doc_id, source, size of every row, written down: the only pass over the texts."""
+    """row, doc_id, source, hash of the text, size of every row, written down: the only pass over the texts."""
     return stored(
         docs.select(
-            row.alias("row"), "doc_id", "source",
+            row.alias("row"), "doc_id", "source", F.xxhash64("text").alias("hash"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "sized",
@@ -123,12 +123,14 @@ def planned(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SE
 def offsets(sizes: DataFrame) -> DataFrame:
     """Each row with `start`, its first word's place in its source's row of words.
 
-    Rows are dealt by hash to buckets of about ROWS_A_BUCKET rows at most, so no task holds a whole source:
-    sums run inside buckets, and over the buckets' totals.
+    Rows are dealt by a hash of id and text to buckets of about ROWS_A_BUCKET rows, so no task holds a whole source, nor
+    all rows of one id or without id: sums run inside buckets, and over the buckets' totals. Rows without words are
+    dealt by their number, as their place tells nothing.
     """
     buckets = max(256, sizes.count() // ROWS_A_BUCKET)
-    dealt = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)))
-    before = W.partitionBy("source", "bucket").orderBy("doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
+    key = F.when(F.col("size") > 0, F.xxhash64("doc_id", "hash", F.lit(7))).otherwise(F.xxhash64("row"))
+    dealt = sizes.withColumn("bucket", F.pmod(key, F.lit(buckets)))
+    before = W.partitionBy("source", "bucket").orderBy("doc_id", "size", "hash", "row").rowsBetween(W.unboundedPreceding, -1)
     rows = dealt.withColumn("inner", F.coalesce(F.sum("size").over(before), F.lit(0)))
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -269,14 +271,15 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED)
     row = free_name(docs, "row")
     kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixing")
     rows, _, pieces = takes(kept, F.col(row), weights, seed)
-    ranges = pieces.groupBy("row", "round").agg(F.array_sort(F.collect_list(F.struct("least", "most"))).alias("ranges"), F.sum(F.col("most") - F.col("least")).alias("n"))
-    ranges = ranges.join(rows.select("row", "size"), "row").select(
-        F.col("row").alias("of"), F.when(F.col("n") < F.col("size"), F.col("ranges")).alias("ranges")
+    of, ranges = free_name(kept, "of"), free_name(kept, "ranges")
+    cuts = pieces.groupBy("row", "round").agg(F.array_sort(F.collect_list(F.struct("least", "most"))).alias("cuts"), F.sum(F.col("most") - F.col("least")).alias("n"))
+    cuts = cuts.join(rows.select("row", "size"), "row").select(
+        F.col("row").alias(of), F.when(F.col("n") < F.col("size"), F.col("cuts")).alias(ranges)
     )
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("ranges", lambda x: F.slice(words, (x["least"] + 1).cast("int"), (x["most"] - x["least"]).cast("int")))), " ")
-    text = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(cut)
-    out = kept.join(ranges, F.col(row) == F.col("of")).withColumn("text", text)
+    cut = F.array_join(F.flatten(F.transform(ranges, lambda x: F.slice(words, (x["least"] + 1).cast("int"), (x["most"] - x["least"]).cast("int")))), " ")
+    text = F.when(F.col(ranges).isNull(), F.col("text")).otherwise(cut)
+    out = kept.join(cuts, F.col(row) == F.col(of)).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)

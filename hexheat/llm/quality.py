@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexheat.llm.common import stored, text_or_empty
+from hexheat.llm.common import text_or_empty
 
 # Labelled rows that the model may be fitted on; of more, those with the least hash of their id.
 FIT_ROWS = 20_000
@@ -162,23 +162,27 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % LABEL_FOLDS
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of every row."""
-    return docs.select("doc_id", *[c.cast("double").alias(k) for k, c in features(text_or_empty()).items()])
+def described(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns in `keep`, and the features of every row."""
+    return docs.select("doc_id", *keep, *[c.cast("double").alias(k) for k, c in features(text_or_empty()).items()])
 
 
-def fit_quality(rows: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Additive:
-    """The model, from described rows whose fold is not the held-out one and whose label is not NULL.
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Additive:
+    """The model, from rows whose fold is not the held-out one and whose label is not NULL.
 
-    At most `fit_rows` rows reach the driver. Repeated labels of a document count each.
+    At most `fit_rows` rows reach the driver, those with the least hashes of their ids, and only rows that may be among
+    them are described. Repeated labels of a document count each.
     """
-    known = labels.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    labelled = rows.join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
-    # The least hashes; a bound on them first, or each task would send `fit_rows` rows.
-    share = 1.2 * fit_rows / max(1, labelled.count())
+    known = labels.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("quality").isin(0, 1))
+    known = known.groupBy("doc_id", "quality").agg(F.count(F.lit(1)).alias("n_labels")).withColumn("draw", F.xxhash64("doc_id"))
+    share = 1.2 * fit_rows / max(1, known.count())
     if share < 1:
-        labelled = labelled.where(F.col("draw") < int(-(2**63) + share * 2**64))
-    chosen = labelled.orderBy("draw", "doc_id", "quality", *NAMES).limit(fit_rows).toPandas()
+        known = known.where(F.col("draw") < int(-(2**63) + share * 2**64))
+    # Some 1.2 * fit_rows rows of two numbers at most, whatever the size of the tables.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    each = F.explode(F.sequence(F.lit(1), F.least("n_labels", F.lit(fit_rows).cast("long"))))
+    rows = described(labelled, "quality", "draw", "n_labels").withColumn("nth", each)
+    chosen = rows.orderBy("draw", "doc_id", "quality", *NAMES).limit(fit_rows).toPandas()
     return fit(chosen[NAMES].to_numpy(float), chosen["quality"].to_numpy(float))
 
 
@@ -199,9 +203,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) ->
     Scores come from the text alone; NULL counts as empty. A document with a NULL id is not held out.
     Repeated rows score alike. Without usable labels every score is 1/2.
     """
-    rows = stored(described(docs), "described")
-    score = scorer(fit_quality(rows, labels))
-    return rows.select("doc_id", score(*NAMES).alias("score")).select(
+    score = scorer(fit_quality(docs, labels))
+    return described(docs).select("doc_id", score(*NAMES).alias("score")).select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= accept).cast("int").alias("predicted"),
     )
@@ -209,6 +212,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) ->
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of `docs` that the classifier doesn't reject, with all their columns."""
-    score = scorer(fit_quality(stored(described(docs), "described"), labels))
+    score = scorer(fit_quality(docs, labels))
     parts = [c.cast("double") for c in features(text_or_empty()).values()]
     return docs.where(score(*parts) >= accept)

@@ -6,7 +6,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that the operators use inside.
-CLASHING = ["row", "node", "key", "chunk", "bucket", "hash", "ids", "decoded", "size", "start", "weight", "part", "side", "path", "sig", "label", "score", "recipe", "norm", "words", "found", "n"]
+CLASHING = ["row", "node", "key", "chunk", "bucket", "hash", "ids", "decoded", "size", "start", "weight", "part", "side", "path", "sig", "label", "score", "recipe", "norm", "words", "found", "n", "of", "ranges", "cuts", "runs", "collapsed", "best", "bad"]
 
 
 @pytest.fixture(scope="session")
