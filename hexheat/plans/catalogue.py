@@ -12,7 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexheat import functions as H, schemas as S
-from hexheat.operators import accumulate, film, fold, regions, sequences, windowing
+from hexheat.functions.geometry import decode_rings, encode_rings
+from hexheat.operators import accumulate, film, fold, outlines, regions, sequences, windowing
 from hexheat.plans import mask, sql, week
 from hexheat.session import broadcast_checked, measured, work_dir
 from hexheat.sources import archive, derived as D, landing, sinks
@@ -560,6 +561,37 @@ def dissolve_divisions(spark, sf):
     return regions.dissolve(regions.polyfill_center(edges, D.mask_points(spark, sf), ["yi", "xi"]), ["yi", "xi"])
 
 
+@query
+def outline_divisions(spark, sf):
+    """Corners of the outline of every division, from its overlapping pieces: the seam is gone."""
+    corners = outlines.union_outline(regions.ring_edges(D.pieces(spark, sf)))
+    return rounded(corners.select("id", "x", "y"), "x", "y")
+
+
+@query
+def outline_cells(spark, sf):
+    """Rings around the cells of every parcel: corners, and the cells they hold, less than none for a hole."""
+    filled = regions.polyfill_cells(regions.ring_edges(counties(spark, sf)), FILL_RES)
+    sized = outlines.ring_sizes(outlines.cell_outline(filled, FILL_RES, "part"), "part")
+    n_cells = F.rint(F.col("area") / H.cell_area_km2(FILL_RES)).cast("bigint")
+    return sized.select("part", "n_corners", n_cells.alias("n_cells"), "is_hole")
+
+
+@query
+def geometry_commands(spark, sf):
+    """Rings of all areas as drawing commands on a fine grid, read back and measured."""
+    def on_grid(v):
+        return F.rint(v * 10_000).cast("bigint")
+
+    rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(on_grid(p["x"]).alias("x"), on_grid(p["y"]).alias("y"))))
+    coded = D.features(spark, sf).select("id", encode_rings(rings).alias("commands"))
+    read = coded.select("id", F.size("commands").alias("n_words"), F.posexplode(decode_rings(F.col("commands"))).alias("ord", "ring"))
+    return read.select(
+        "id", "n_words", "ord", F.size("ring").alias("n_points"), regions.twice_area(F.col("ring")).cast("bigint").alias("area2"),
+        F.element_at("ring", 1)["x"].alias("x"), F.element_at("ring", 1)["y"].alias("y"),
+    )
+
+
 @query
 def distinct_cells(spark, sf):
     return mask.land_cells(counties(spark, sf), FILL_RES)

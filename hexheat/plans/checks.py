@@ -436,6 +436,39 @@ check("polyfill_counties", ["county_edges", "mask_points"],
       f"SELECT yi, xi, id, part FROM ({inside('county_edges', 'mask_points', 'yi, xi, px, py', 'px', 'py')})")
 check("dissolve_divisions", ["piece_edges", "mask_points"],
       f"SELECT DISTINCT id, yi, xi FROM ({inside('piece_edges', 'mask_points', 'yi, xi, px, py', 'px', 'py')})")
+check("outline_divisions", ["divisions"], f"""
+    SELECT id, {r6('p.x', 'x')}, {r6('p.y', 'y')}
+    FROM (SELECT id, unnest(ring[1:len(ring) - 1]) AS p FROM (SELECT id, unnest(rings) AS ring FROM divisions))""")
+# Cells of a parcel, their corners in thirds of the axes; what two cells share is dropped, and rings are walked corner by
+# corner from their least edge.
+CORNERS = ((-1, 2), (-2, 1), (-1, -1), (1, -2), (2, -1), (1, 1))
+SIDES = ", ".join(
+    f"({a}, {b}, {c}, {e})" for (a, b), (c, e) in zip(CORNERS, [*CORNERS[1:], CORNERS[0]])
+)
+cte("sides", ["filled"], f"""
+    SELECT part, 3 * q + da AS x0, 3 * r + db AS y0, 3 * q + dc AS x1, 3 * r + de AS y1
+    FROM (SELECT DISTINCT part, (cell >> {AXIS_BITS}) - {HALF_AXIS} AS q, (cell & {AXIS_MASK}) - {HALF_AXIS} AS r FROM filled)
+    CROSS JOIN (VALUES {SIDES}) AS v(da, db, dc, de)""")
+cte("rim", ["sides"], """
+    SELECT *, row_number() OVER (ORDER BY part, x0, y0, x1, y1) AS e FROM sides s
+    WHERE NOT EXISTS (SELECT 1 FROM sides o WHERE o.part = s.part AND o.x0 = s.x1 AND o.y0 = s.y1 AND o.x1 = s.x0 AND o.y1 = s.y0)""")
+cte("linked", ["rim"], """
+    SELECT a.part, a.e, b.e AS next, a.x0 * a.y1 - a.x1 * a.y0 AS twice FROM rim a JOIN rim b ON b.part = a.part AND b.x0 = a.x1 AND b.y0 = a.y1""")
+cte("rounds", ["linked"], """
+    SELECT part, e AS first, e, next, twice FROM linked
+    UNION ALL
+    SELECT w.part, w.first, l.e, l.next, l.twice FROM rounds w JOIN linked l ON l.e = w.next WHERE w.next > w.first""")
+check("outline_cells", ["rounds"], f"""
+    SELECT part, count(*) AS n_corners, (sum(twice) // {sum(a * e - c * b for (a, b), (c, e) in zip(CORNERS, [*CORNERS[1:], CORNERS[0]]))})::BIGINT AS n_cells,
+           sum(twice) < 0 AS is_hole
+    FROM rounds GROUP BY part, first HAVING bool_or(next = first)""")
+check("geometry_commands", ["features"], """
+    SELECT id, n_words::INT AS n_words, ord::INT AS ord, len(ring)::INT AS n_points,
+           list_sum(list_transform(range(1, len(ring)), lambda i: ring[i].x * ring[i + 1].y - ring[i + 1].x * ring[i].y))::BIGINT AS area2,
+           ring[1].x AS x, ring[1].y AS y
+    FROM (SELECT id, list_sum(list_transform(grid, lambda r: 3 + 2 * (len(r) - 1))) AS n_words, unnest(range(len(grid))) AS ord, unnest(grid) AS ring
+          FROM (SELECT id, list_transform(rings, lambda r: list_transform(r, lambda p: {'x': round_even(p.x * 10000, 0)::BIGINT, 'y': round_even(p.y * 10000, 0)::BIGINT})) AS grid
+                FROM features))""")
 check("polyfill_cells", ["filled"], "SELECT id, part, cell FROM filled")
 check("distinct_cells", ["filled"], "SELECT cell, min(id) AS id FROM filled GROUP BY cell")
 DIVISION_TABLE = """
