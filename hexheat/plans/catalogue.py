@@ -16,8 +16,8 @@ from hexheat.functions.geometry import decode_rings, encode_rings
 from hexheat.operators import accumulate, film, fold, outlines, regions, sequences, windowing
 from hexheat.plans import mask, sql, week
 from hexheat.session import broadcast_checked, measured, work_dir
-from hexheat.sources import archive, derived as D, landing, sinks
-from hexheat.streaming import streams
+from hexheat.sources import archive, derived as D, landing, partials, sinks
+from hexheat.streaming import streams, timed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -376,6 +376,35 @@ def write_dense_film(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def packed_frames(spark, sf):
+    """The film's frames as bytes, a value an hour and field; told by their digests."""
+    path = work_dir(spark, "dense")
+    sinks.write_dense_film(heat(spark, sf), cells(spark, sf), path, *hour_span(spark, sf))
+    packed = sinks.packed_frames(spark.read.parquet(path), width=512)
+    return packed.select("frame", "n_cells", F.sha2("hi_q", 256).alias("hi_sha256"), F.sha2("wx_q", 256).alias("wx_sha256"))
+
+
+@query
+def fold_from_partials(spark, sf):
+    """The fold from sums kept by day: a first question folds the first days, the next all others."""
+    first, last = extent(spark, sf)
+    early = str(partials.days_of(first, last)[:3][-1])
+    path = partials.partials_path(work_dir(spark, "partials"), {"res": D.RES, "pixels": "all"})
+    cube, lookup = stored_cube(spark, sf), pixels(spark, sf)
+    partials.fold_from_partials(cube, lookup, path, first, early)
+    hours = fold.cell_hours(partials.fold_from_partials(cube, lookup, path, first, last))
+    return rounded(hours, "tc", "rh", "mm", "ws")
+
+
+@query
+def ramp_of_days(spark, sf):
+    """The heat index ramp of the whole archive from counts kept by day."""
+    path = work_dir(spark, "day-counts")
+    partials.write_day_counts(heat(spark, sf), path)
+    return rounded(partials.ramp_of_days(spark, path, "1970-01-01", "2100-01-01"), "lo", "mid", "hi")
+
+
 @query
 def memo_fold(spark, sf):
     memo = landing.FoldMemo()
@@ -825,19 +854,20 @@ def stream_sustained(spark, sf):
     hours = f"{base}/hours"
     streams.drain(streams.stream_fold(_event_stream(spark, sf), ["value", "ws", "mm"]), f"{base}/folded", f"{base}/fold-checkpoint")
     folded = spark.read.schema(streams.HOUR_SCHEMA).parquet(f"{base}/folded")
-    last = folded.groupBy("cell").agg((F.max("t") + F.expr("INTERVAL 60 DAYS")).alias("t"), F.min("t").alias("first"))
-    folded.repartition(4, F.xxhash64("cell", "t")).write.parquet(hours)
-    last.drop("first").coalesce(1).write.mode("append").parquet(hours)
 
-    def run() -> None:
-        rows = streams.read_files(spark, hours, streams.HOUR_SCHEMA, per_batch=1).select("cell", "t", F.col("value").alias("hi"), "ws", "mm")
+    def run(rows: DataFrame, batches: int) -> None:
+        """Lands rows as files spread by cell, and runs the stream over them in so many batches."""
+        rows.write.mode("append").parquet(hours)
+        n_files = len(spark.read.schema(streams.HOUR_SCHEMA).parquet(hours).inputFiles())
+        stream = streams.read_files(spark, hours, streams.HOUR_SCHEMA, per_batch=-(-n_files // batches))
+        steps = stream.select("cell", "t", F.col("value").alias("hi"), "ws", "mm")
         with streams.state_provider(spark):
-            streams.drain(streams.stream_sustained(rows, hold_hours=24.0 * 45), f"{base}/load", f"{base}/load-checkpoint")
+            streams.drain(streams.stream_sustained(steps, hold_hours=24.0 * 45), f"{base}/load", f"{base}/load-checkpoint")
 
-    run()
-    old = last.select("cell", F.col("first").alias("t"), F.lit(90.0).alias("value"), F.lit(0.0).alias("ws"), F.lit(0.0).alias("mm"))
-    old.coalesce(1).write.mode("append").parquet(hours)
-    run()
+    run(folded.repartition(F.xxhash64("cell", "t")), 4)
+    last = folded.groupBy("cell").agg((F.max("t") + F.expr("INTERVAL 60 DAYS")).alias("t"), F.min("t").alias("first"))
+    run(last.drop("first"), 1)
+    run(last.select("cell", F.col("first").alias("t"), F.lit(90.0).alias("value"), F.lit(0.0).alias("ws"), F.lit(0.0).alias("mm")), 1)
     every = spark.read.parquet(f"{base}/load")
     out = every.where("t IS NOT NULL").drop("late")
     late = every.groupBy("cell").agg(F.max("late").alias("late"))
@@ -854,3 +884,56 @@ def stream_land(spark, sf):
     for _ in range(2):
         streams.stream_land(source, f"{base}/landed", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/landed").groupBy("run").agg(F.count("*").alias("n"), F.sum("xi").alias("sum_xi"))
+
+
+@query
+def stream_released(spark, sf):
+    """Sustained heat by event time: three landings of hours, out of order about the cuts, each a run from the checkpoint.
+
+    Hours come out when the watermark has passed them; the last day is still held.
+    """
+    base = work_dir(spark, "stream-released")
+    hours = f"{base}/hours"
+    streams.drain(streams.stream_fold(_event_stream(spark, sf), ["value", "ws", "mm"]), f"{base}/folded", f"{base}/fold-checkpoint")
+    folded = spark.read.schema(streams.HOUR_SCHEMA).parquet(f"{base}/folded")
+    lo, hi = (F.unix_seconds(folded.agg(end("t")).scalar()) for end in (F.min, F.max))
+    third = (hi - lo + 3600) / 3
+    own = F.floor((F.unix_seconds("t") - lo) / third)
+    near_cut = F.floor((F.unix_seconds("t") + 12 * 3600 - lo) / third)
+    part = F.when(F.pmod(F.xxhash64("cell", "t"), F.lit(5)) == 0, F.least(near_cut, F.lit(2))).otherwise(own)
+    marked = folded.withColumn("part", part)
+    for k in range(3):
+        marked.where(F.col("part") == k).drop("part").write.mode("append").parquet(hours)
+        rows = streams.read_files(spark, hours, streams.HOUR_SCHEMA).select("cell", "t", F.col("value").alias("hi"), "ws", "mm")
+        with streams.state_provider(spark):
+            streams.drain(timed.stream_released(rows, "24 hours 30 minutes"), f"{base}/load", f"{base}/load-checkpoint")
+    out = spark.read.parquet(f"{base}/load")
+    return rounded(out.withColumn("t", F.col("t").cast("timestamp_ntz")), "l")
+
+
+@query
+def stream_corrections(spark, sf):
+    """The hourly fold of all events in a table that late ones correct: a fifth of them come in a second landing."""
+    base = work_dir(spark, "stream-corrections")
+    events = D.table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    schema = events.schema
+    for late in (False, True):
+        events.where((F.col("event_id") % 5 == 0) == late).write.mode("append").parquet(f"{base}/events")
+        readings = streams.read_files(spark, f"{base}/events", schema).withColumnRenamed("user_id", "cell")
+        timed.fold_with_corrections(readings, ["value"], f"{base}/table", f"{base}/checkpoint", "60 days")
+    table = timed.folded_so_far(spark, f"{base}/table")
+    return rounded(table.withColumn("t", F.col("t").cast("timestamp_ntz")), "value")
+
+
+@query
+def stream_land_closed(spark, sf):
+    """Landing by a stream that holds the newest run back: three landings, some rows after their run has closed."""
+    base = work_dir(spark, "stream-land-closed")
+    readings = D.pixel_hours(spark, sf).select("run", "lead_h", "xi")
+    part = F.when(F.col("run") >= 20, 2).when((F.col("run") >= 10) | (F.col("lead_h") == 3), 1).otherwise(0)
+    for k in range(3):
+        readings.where(part == k).write.mode("append").parquet(f"{base}/in")
+        source = streams.read_files(spark, f"{base}/in", readings.schema)
+        timed.land_closed_stream(source, f"{base}/landed", f"{base}/checkpoint")
+    landed = timed.landed_stream(spark, f"{base}/landed")
+    return landed.groupBy("run").agg(F.count("*").alias("n"), F.sum("xi").alias("sum_xi"))

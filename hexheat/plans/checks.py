@@ -269,6 +269,18 @@ check("code_round_trip", ["film", "load"], f"""
 check("stage_stats", ["film", "cell_hour"], f"""
     SELECT 'film' AS stage, count(*) AS n_rows, {r6('min(hi)', 'min_hi')}, {r6('max(hi)', 'max_hi')}, min(t) AS min_t, max(t) AS max_t FROM film
     UNION ALL SELECT 'cell_hour', count(*), {r6('min(tc)', 'a')}, {r6('max(tc)', 'b')}, min(t), max(t) FROM cell_hour""")
+check("packed_frames", ["film", "cells", "frames"], """
+    SELECT frame, count(*) AS n_cells, sha256(unhex(string_agg(printf('%02X', coalesce(hi_q, 255)), '' ORDER BY pos))) AS hi_sha256,
+           sha256(unhex(string_agg(printf('%02X', coalesce(wx_q, 0)), '' ORDER BY pos))) AS wx_sha256
+    FROM cells c CROSS JOIN frames f LEFT JOIN film ON film.cell = c.cell AND film.t = f.t GROUP BY frame""")
+check("fold_from_partials", ["cell_hour"], HOURS)
+cte("middles", ["film"], """
+    SELECT (floor(hi::DOUBLE * 64) + 5e-1) / 64 AS middle, row_number() OVER (ORDER BY hi) - 1 AS rank, count(*) OVER () AS n FROM film""")
+check("ramp_of_days", ["middles"], f"""
+    SELECT {r6('p50 - w', 'lo')}, {r6('p50', 'mid')}, {r6('p50 + w', 'hi')}
+    FROM (SELECT *, greatest(p50 - p2, p98 - p50) AS w FROM (
+          SELECT max(middle) FILTER (rank = floor(2e-2 * (n - 1))) AS p2, max(middle) FILTER (rank = floor(5e-1 * (n - 1))) AS p50,
+                 max(middle) FILTER (rank = floor(98e-2 * (n - 1))) AS p98 FROM middles))""")
 check("memo_fold", ["cell_hour"], "SELECT t, count(*) AS n FROM cell_hour GROUP BY t")
 
 # ---- window -------------------------------------------------------------------------------
@@ -611,3 +623,9 @@ cte("event_walk", ["event_steps", "one"], walk_of("event_steps", "one").replace(
 check("stream_fold", ["closed_hours"], f"SELECT cell, t, {r6('value')}, n FROM closed_hours")
 check("stream_sustained", ["event_walk"], f"SELECT cell, t, {r6('l')}, 1::BIGINT AS late FROM event_walk")
 check("stream_land", ["pixel_hours"], "SELECT run, count(*) AS n, sum(xi)::BIGINT AS sum_xi FROM pixel_hours GROUP BY run")
+check("stream_released", ["event_walk"], f"""
+    SELECT cell, t, {r6('l')} FROM event_walk WHERE t <= (SELECT max(t) FROM event_walk) - INTERVAL 24 HOUR - INTERVAL 30 MINUTE""")
+check("stream_corrections", [], f"""
+    SELECT user_id AS cell, date_trunc('hour', ts) AS t, {r6('avg(value)', 'value')}, count(*) AS n FROM events GROUP BY 1, 2""")
+check("stream_land_closed", ["pixel_hours"], """
+    SELECT run, count(*) AS n, sum(xi)::BIGINT AS sum_xi FROM pixel_hours WHERE run < (SELECT max(run) FROM pixel_hours) GROUP BY run""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from hexheat import schemas as S
 from hexheat.functions import hour_label
@@ -35,6 +35,29 @@ def write_dense_film(film: DataFrame, cells: DataFrame, path: str, t0: datetime,
     )
 
 
+RANGE = 1 << 16
+
+
+def packed_frames(dense: DataFrame, codes: tuple[str, ...] = ("hi_q", "wx_q"), width: int = RANGE) -> DataFrame:
+    """One row an hour: `frame`, the number of cells, and for each code a BINARY value of a byte a cell, by position.
+
+    `dense` has a row for every (frame, pos), as `write_dense_film` writes it. Bytes are made for ranges of `width`
+    positions, each in its own group, and the ranges of a frame, some few values, are then joined in order.
+    """
+    ranged = dense.groupBy("frame", F.floor(F.col("pos") / width).alias("range")).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", *codes))).alias("cells")
+    )
+
+    def octets(code: str) -> Column:
+        return F.array_join(F.transform("cells", lambda c: F.lpad(F.hex(c[code].cast("bigint")), 2, "0")), "")
+
+    parts = ranged.select("frame", "range", "n", *[octets(c).alias(c) for c in codes])
+    whole = parts.groupBy("frame").agg(
+        F.sum("n").alias("n_cells"), F.array_sort(F.collect_list(F.struct("range", *codes))).alias("parts")
+    )
+    return whole.select("frame", "n_cells", *[F.unhex(F.array_join(F.col(f"parts.{c}"), "")).alias(c) for c in codes])
+
+
 def window_block(costed: DataFrame, runs: DataFrame, leads: int = S.LEADS_PER_RUN) -> DataFrame:
     """One row for the config from one resolved and costed request: archive ends, window, limit, and the cost to read it."""
     ends = run_extent(runs).select("first_day", "last_day")
