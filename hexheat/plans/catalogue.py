@@ -16,7 +16,7 @@ from hexheat.functions.geometry import decode_rings, encode_rings
 from hexheat.operators import accumulate, film, fold, outlines, regions, sequences, windowing
 from hexheat.plans import mask, sql, week
 from hexheat.session import broadcast_checked, measured, work_dir
-from hexheat.sources import archive, derived as D, landing, partials, sinks
+from hexheat.sources import archive, curve, derived as D, landing, partials, sinks
 from hexheat.streaming import streams, timed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 CUT = 0.4142
 FILL_RES = 5
 T0, T1 = datetime(2026, 6, 29), datetime(2026, 7, 5, 23)
+MIDDLE = (-105.03, 31.02, -92.97, 39.98)
 SHOWN_HOUR = datetime(2026, 7, 1, 21)
 
 
@@ -584,6 +585,16 @@ def polyfill_cells(spark, sf):
     return regions.polyfill_cells(edges, FILL_RES)
 
 
+@query
+def polyfill_by_sql(spark, sf):
+    """Cells of every polygon of every area, by table functions in SQL: areas of two polygons, taken apart and filled."""
+    sql.register_functions(spark)
+    areas = counties(spark, sf).select(F.col("part").alias("id"), F.array("rings", F.slice("rings", 1, 1)).alias("polygons"))
+    return spark.sql(
+        "SELECT id, p.part, c.cell FROM {areas}, LATERAL parts(polygons) p, LATERAL polyfill(p.rings, :res) c", args={"res": FILL_RES}, areas=areas,
+    )
+
+
 @query
 def dissolve_divisions(spark, sf):
     edges = regions.ring_edges(D.pieces(spark, sf))
@@ -708,6 +719,29 @@ def box_tiles(spark, sf):
     return regions.box_tiles(D.boxes(spark, sf))
 
 
+@query
+def box_of_readings(spark, sf):
+    """Readings laid out along the curve, and those of one box: the middle of the grid."""
+    path = work_dir(spark, "curve")
+    at = D.grid(spark, sf).select("yi", "xi", "lon", "lat")
+    curve.write_along_curve(D.pixel_hours(spark, sf).select("run", "lead_h", "yi", "xi").join(broadcast_checked(at), ["yi", "xi"]), path)
+    return curve.read_box(spark, path, *MIDDLE).groupBy("yi", "xi").agg(F.count("*").alias("n"))
+
+
+@query
+def pixels_in_boxes(spark, sf):
+    """Pixels in each of many boxes, met by their tiles."""
+    boxes = D.boxes(spark, sf).select("box", "west", "south", "east", "north")
+    placed = D.grid(spark, sf).withColumn("place", curve.curve_place())
+    return curve.in_boxes(placed, boxes).groupBy("box").agg(F.count("*").alias("n"), F.sum("yi").alias("sum_yi"), F.sum("xi").alias("sum_xi"))
+
+
+@query
+def box_intervals(spark, sf):
+    """Stretches of the curve of each box."""
+    return curve.box_intervals(D.boxes(spark, sf).select("box", "west", "south", "east", "north"), 6)
+
+
 @query
 def tile_points(spark, sf):
     at = H.lonlat_to_tile(F.col("lon"), F.col("lat"), F.col("z"))

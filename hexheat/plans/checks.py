@@ -448,6 +448,11 @@ check("polyfill_counties", ["county_edges", "mask_points"],
       f"SELECT yi, xi, id, part FROM ({inside('county_edges', 'mask_points', 'yi, xi, px, py', 'px', 'py')})")
 check("dissolve_divisions", ["piece_edges", "mask_points"],
       f"SELECT DISTINCT id, yi, xi FROM ({inside('piece_edges', 'mask_points', 'yi, xi, px, py', 'px', 'py')})")
+cte("polygons", ["counties"], """
+    SELECT part AS id, 0 AS part, rings FROM counties UNION ALL SELECT part, 1, rings[1:1] FROM counties""")
+cte("polygon_edges", ["polygons"], edges_of("polygons"))
+check("polyfill_by_sql", ["polygon_edges", "fill_centres"],
+      f"SELECT id, part, cell FROM ({inside('polygon_edges', 'fill_centres', 'cell', 'lon', 'lat')})")
 check("outline_divisions", ["divisions"], f"""
     SELECT id, {r6('p.x', 'x')}, {r6('p.y', 'y')}
     FROM (SELECT id, unnest(ring[1:len(ring) - 1]) AS p FROM (SELECT id, unnest(rings) AS ring FROM divisions))""")
@@ -559,14 +564,41 @@ check("box_tiles", [], f"""
                 FROM (SELECT *, west + 2 + box % 3 AS east, south + 15e-1 + box % 2 AS north
                       FROM (SELECT c_custkey AS box, (c_custkey % 5 + 4)::INT AS z, -124.8e0 + (c_custkey * {D.SPREAD} % 5500) / 100e0 AS west,
                                    24.4e0 + (c_custkey * 104729 % 2200) / 100e0 AS south FROM customer))))""")
-cte("descent", ["tiles"], """
-    SELECT yi, xi, z, z AS level, x::BIGINT AS x, y::BIGINT AS y, 0::BIGINT AS d FROM tiles
+cte("boxes", [], f"""
+    SELECT *, west + 2 + box % 3 AS east, south + 15e-1 + box % 2 AS north
+    FROM (SELECT c_custkey AS box, -124.8e0 + (c_custkey * {D.SPREAD} % 5500) / 100e0 AS west,
+                 24.4e0 + (c_custkey * 104729 % 2200) / 100e0 AS south FROM customer)""")
+check("box_of_readings", ["pixel_hours", "grid"], """
+    SELECT yi, xi, count(*) AS n FROM pixel_hours JOIN grid USING (yi, xi)
+    WHERE lon BETWEEN -105.03e0 AND -92.97e0 AND lat BETWEEN 31.02e0 AND 39.98e0 GROUP BY yi, xi""")
+check("pixels_in_boxes", ["grid", "boxes"], """
+    SELECT box, count(*) AS n, sum(yi)::BIGINT AS sum_yi, sum(xi)::BIGINT AS sum_xi
+    FROM grid JOIN boxes ON lon BETWEEN west AND east AND lat BETWEEN south AND north GROUP BY box""")
+
+
+def descent(source: str, keys: str) -> str:
+    """Tiles `x, y` at zoom `z` of a table, walked down the curve a level a step; the last has its place in `d`."""
+    return f"""
+    SELECT {keys}, z, z AS level, x::BIGINT AS x, y::BIGINT AS y, 0::BIGINT AS d FROM {source}
     UNION ALL
-    SELECT yi, xi, z, level - 1, CASE WHEN sy = 0 THEN CASE WHEN sx = 1 THEN h - 1 - y ELSE y END ELSE x END,
+    SELECT {keys}, z, level - 1, CASE WHEN sy = 0 THEN CASE WHEN sx = 1 THEN h - 1 - y ELSE y END ELSE x END,
            CASE WHEN sy = 0 THEN CASE WHEN sx = 1 THEN h - 1 - x ELSE x END ELSE y END, d + h * h * xor(3 * sx, sy)
     FROM (SELECT *, x % (2 * h) // h AS sx, y % (2 * h) // h AS sy
-          FROM (SELECT yi, xi, z, level, d, h, ((x % (2 * h)) + 2 * h) % (2 * h) AS x, ((y % (2 * h)) + 2 * h) % (2 * h) AS y
-                FROM (SELECT *, (1::BIGINT << (level - 1)) AS h FROM descent WHERE level > 0)))""")
+          FROM (SELECT {keys}, z, level, d, h, ((x % (2 * h)) + 2 * h) % (2 * h) AS x, ((y % (2 * h)) + 2 * h) % (2 * h) AS y
+                FROM (SELECT *, (1::BIGINT << (level - 1)) AS h FROM {{name}} WHERE level > 0)))"""
+
+
+BW6, BN6 = tile("west", "north", "6")
+BE6, BS6 = tile("east", "south", "6")
+cte("six_tiles", ["boxes"], f"""
+    SELECT box, 6 AS z, x, unnest(range(n, s + 1))::INT AS y
+    FROM (SELECT box, n, s, unnest(range(w, e + 1))::INT AS x FROM (SELECT box, {BW6} AS w, {BE6} AS e, {BN6} AS n, {BS6} AS s FROM boxes))""")
+cte("six_descent", ["six_tiles"], descent("six_tiles", "box").replace("{name}", "six_descent"))
+check("box_intervals", ["six_descent"], """
+    SELECT box, min(place) AS lo, max(place) AS hi
+    FROM (SELECT box, place, place - row_number() OVER (PARTITION BY box ORDER BY place) AS island
+          FROM (SELECT box, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS place FROM six_descent WHERE level = 0)) GROUP BY box, island""")
+cte("descent", ["tiles"], descent("tiles", "yi, xi").replace("{name}", "descent"))
 check("hilbert_ids", ["descent"], """
     SELECT yi, xi, z, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id FROM descent WHERE level = 0""")
 cte("directory", [], """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 
 from hexheat.functions.cells import AXIS_BITS, COS0, EARTH_KM, HALF_AXIS, RES6_AREA_KM2, ROOT3, APERTURE
@@ -30,6 +28,33 @@ FUNCTIONS = {
     "decay(half_life DOUBLE) RETURNS DOUBLE": "pow(2e0, -1e0 / half_life)",
 }
 
+# Functions that return tables, for use with LATERAL. A polygon is filled by rows of cell centres: what a row's latitude
+# cuts is ordered and paired, and the centres between are listed.
+_RINGS = "ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
+_ROW = f"(sin(radians({{}})) * {EARTH_KM / COS0!r}D / (1.5D * s))"
+_COLUMN = f"(radians({{}}) * {EARTH_KM * COS0!r}D / (s * {ROOT3!r}D) - r / 2D)"
+TABLE_FUNCTIONS = {
+    f"parts(polygons ARRAY<{_RINGS}>) RETURNS TABLE (part INT, rings {_RINGS})": """
+        SELECT posexplode(polygons) AS (part, rings)""",
+    f"polyfill(rings {_RINGS}, res INT) RETURNS TABLE (cell BIGINT)": f"""
+        SELECT shiftleft(q + {HALF_AXIS}, {AXIS_BITS}) + r + {HALF_AXIS} AS cell
+        FROM (SELECT *, degrees((q + r / 2D) * s * {ROOT3!r}D / {EARTH_KM * COS0!r}D) AS lon
+              FROM (SELECT r, s, span.x0, span.x1, explode(sequence(CAST(floor({_COLUMN.format('span.x0')}) AS BIGINT), CAST(ceil({_COLUMN.format('span.x1')}) AS BIGINT))) AS q
+                    FROM (SELECT r, s, explode(transform(sequence(0, size(xs) DIV 2 - 1), k -> struct(xs[2 * k] AS x0, xs[2 * k + 1] AS x1))) AS span
+                          FROM (SELECT r, s, array_sort(transform(
+                                         filter(edges, e -> (e.y0 > lat) <> (e.y1 > lat)), e -> e.x0 + (lat - e.y0) / (e.y1 - e.y0) * (e.x1 - e.x0))) AS xs
+                                FROM (SELECT *, degrees(asin(r * 1.5D * s * {COS0 / EARTH_KM!r}D)) AS lat
+                                      FROM (SELECT s, edges, explode(sequence(
+                                                     CAST(floor({_ROW.format('array_min(transform(edges, e -> least(e.y0, e.y1)))')}) AS BIGINT),
+                                                     CAST(ceil({_ROW.format('array_max(transform(edges, e -> greatest(e.y0, e.y1)))')}) AS BIGINT))) AS r
+                                            FROM (SELECT {_EDGE} AS s, flatten(transform(rings, ring -> zip_with(
+                                                           slice(ring, 1, greatest(size(ring) - 1, 0)), slice(ring, 2, greatest(size(ring) - 1, 0)),
+                                                           (a, b) -> struct(a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1)))) AS edges)
+                                            WHERE size(edges) > 0)))
+                          WHERE size(xs) > 1)))
+        WHERE lon >= x0 AND lon < x1""",
+}
+
 FOLD_SQL = """
     WITH labelled AS (
         SELECT yi, xi, cell_of(lat, lon, :res) AS cell FROM {pixels}
@@ -47,7 +72,7 @@ FOLD_SQL = """
 
 def register_functions(spark: SparkSession) -> None:
     """Define the SQL functions in the session, replacing older definitions."""
-    for signature, body in FUNCTIONS.items():
+    for signature, body in (FUNCTIONS | TABLE_FUNCTIONS).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
 
 
