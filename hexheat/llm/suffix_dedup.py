@@ -5,12 +5,14 @@ GRAM-byte hash, so equal windows have equal anchors at equal places; the windows
 stretch of text. Stretches whose anchor occurs in one document alone are dropped. The others meet by anchor,
 where the suffixes at their windows are sorted: a multikey quicksort by eight bytes a step down to a shallow
 depth, and blind tries for the groups that are still together. Suffixes that stay together to full depth are
-one window, and its owner is the least document.
+one window, and its owner is the least document. Hashes bring together what may be equal; what is removed has
+been compared byte by byte.
 
 Documents travel in chunks of rows. A chunk sends each different stretch once, with the least document that
 has it, so a passage that a third of all documents share is one row a chunk. At its edges, stretches differ in
-every document though they have one anchor. An anchor of more than HOT different stretches is therefore dealt
-out by window: a chunk sends the names of its different windows, each to the bucket of its own name.
+every document though they have one anchor. The windows of an anchor with more than HOT different stretches are
+therefore dealt out by a hash of all their bytes, which equal windows share, and sorted in those parts: dealt by
+their first bytes, those at the edges of a passage would stay together.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SHALLOW = 24
 CHUNK_BITS = 9
 BUCKET_BYTES = 4 << 20
 HOT = 1 << 12
+# A longer text is a chunk of its own, so a chunk of rows holds 512 times this at most, or one text.
+LONG_TEXT = 1 << 16
 PIECE = 1 << 19
 BLOCK = 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -142,6 +146,8 @@ def chunk_parts(t: pa.Table) -> Iterator[tuple[int, list[bytes], np.ndarray, pa.
 
 
 def chunk_rows(part: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Texts and ids in the order of the rows' numbers."""
+    part = part.take(pa.array(np.argsort(part.column("row").to_numpy(), kind="stable")))
     ids = part.column("doc_id").fill_null(int(NO_ID)).to_numpy()
     return [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()], ids
 
@@ -215,20 +221,53 @@ def window_names(s: Stretches, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield low + np.repeat(np.arange(len(some)), n), number, names(hashes, start, np.ones(len(start), np.int64))
 
 
-def merged(hash_: np.ndarray, name: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Equal windows as one, with the least and the greatest document of all."""
-    order = np.lexsort((name, hash_))
-    first = group_bounds(hash_[order], name[order])[:-1]
-    return hash_[order[first]], name[order[first]], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+def window_bytes(s: Stretches, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the stretches `at`: place of the stretch in `at`, number, start in the text, name."""
+    parts = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)]
+    of, number, name = (np.concatenate(x) for x in zip(parts, *window_names(s, at)))
+    return of, number, s.start[at[of]] + number, name
 
 
 def different_windows(s: Stretches, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the windows of the stretches `at`, each different one: hash of its anchor, name, least and greatest document."""
-    order = at[np.lexsort((s.windows[at], s.name[at]))]
-    first = group_bounds(s.name[order], s.windows[order])[:-1]
-    least, most, at = np.minimum.reduceat(s.doc[order], first), np.maximum.reduceat(s.doc[order], first), order[first]
-    parts = [merged(s.hash[at[of]], name, least[of], most[of]) for of, _, name in window_names(s, at)]
-    return merged(*[np.concatenate(x) for x in zip(*parts)])
+    """Of the windows of the stretches `at`, each different one: number of its stretch, its number in it, the least and
+    the greatest document that has it, its bytes, its name."""
+    of, number, start, name = window_bytes(s, at)
+    class_of, first = classes(s.text, start, np.full(len(start), LENGTH), name, s.hash[at[of]])
+    doc = s.doc[at[of]]
+    least, most = least_by(class_of, doc, len(first)), -least_by(class_of, -doc, len(first))
+    text = s.text[ranges(start[first], np.full(len(first), LENGTH))]
+    return at[of[first]], number[first], least, most, text, name[first]
+
+
+def classes(text: np.ndarray, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each piece of text, and a piece of each class: pieces of one class are the same bytes.
+
+    Pieces with equal keys and sizes are held against the first of them; what differs, as where hashes collide, is told
+    apart by its bytes.
+    """
+    order = np.lexsort((size, *keys))
+    bounds = group_bounds(*[k[order] for k in keys], size[order])
+    members = np.diff(bounds)
+    class_of = np.empty(len(start), np.int64)
+    class_of[order] = np.repeat(np.arange(len(members)), members)
+    first = order[bounds[:-1]]
+    differs = []
+    others = np.flatnonzero(first[class_of] != np.arange(len(start)))
+    for at in np.split(others, np.flatnonzero(np.diff(np.cumsum(size[others]) // BLOCK)) + 1) if len(others) else []:
+        apart = text[ranges(start[at], size[at])] != text[ranges(start[first[class_of[at]]], size[at])]
+        if apart.any():
+            differs.append(at[np.unique(np.repeat(np.arange(len(at)), size[at])[apart])])
+    if differs:
+        known: dict[tuple[int, bytes], int] = {}
+        more = []
+        for i in np.concatenate(differs).tolist():
+            key = (int(class_of[i]), text[start[i]:start[i] + size[i]].tobytes())
+            if key not in known:
+                known[key] = len(first) + len(more)
+                more.append(i)
+            class_of[i] = known[key]
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return class_of, first
 
 
 class BlindTrie:
@@ -304,12 +343,11 @@ def held_elsewhere(name: np.ndarray, hash_: np.ndarray, owner: np.ndarray, windo
     """
     sizes = windows + LENGTH - 1
     starts = np.cumsum(sizes) - sizes
-    order = np.lexsort((windows, name, hash_))
-    bounds = group_bounds(hash_[order], name[order], windows[order])
-    members = np.diff(bounds)
-    class_of = np.empty(len(name), np.int64)
-    class_of[order] = np.repeat(np.arange(len(members)), members)
-    first = order[bounds[:-1]]
+    class_of, first = classes(text, starts, sizes, name, hash_)
+    order = np.argsort(hash_[first], kind="stable")
+    first, place = first[order], np.argsort(order)
+    class_of = place[class_of]
+    members = np.bincount(class_of, minlength=len(first))
     least = least_by(class_of, owner, len(members))
     anchor_bounds = group_bounds(hash_[first])
     alone = np.repeat(np.diff(anchor_bounds) == 1, np.diff(anchor_bounds))
@@ -343,14 +381,18 @@ def held_elsewhere(name: np.ndarray, hash_: np.ndarray, owner: np.ndarray, windo
     )
 
 
-STRETCH_KINDS = ("<i8", "u1", "u1", "u1")
-REPLY_KINDS = ("<u8", "u1", "u1")
-WINDOW_KINDS = ("<u8", "<u8", "<i8", "<i8")
-WINDOW_REPLY_KINDS = ("<u8", "<u8", "<i8")
+# Stretches and windows of a chunk are known by the stretch's number in it.
+STRETCH_KINDS = ("<i8", "<i4", "u1", "u1", "u1")
+REPLY_KINDS = ("<i4", "u1", "u1")
+WINDOW_KINDS = ("<i4", "u1", "<i8", "<i8", "u1")
+WINDOW_REPLY_KINDS = ("<i4", "u1", "<i8")
 
 
 def in_chunks(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text_or_empty().alias("text"), F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"))
+    """doc_id, text, row, chunk: rows in their order, those with long texts apart and each a chunk of its own."""
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
+    long = F.octet_length("text") > LONG_TEXT
+    return rows.where(~long).withColumn("chunk", F.shiftright("row", CHUNK_BITS)).unionByName(rows.where(long).withColumn("chunk", -F.col("row") - 1))
 
 
 def n_buckets(docs: DataFrame) -> int:
@@ -407,19 +449,22 @@ def sent_pieces(rows: DataFrame, buckets: int, hot: int) -> DataFrame:
                 at = at[((shared | (low < high)) & ~crowded)[place]]
                 if not len(at):
                     continue
-                order = at[np.lexsort((s.doc[at], s.windows[at], s.name[at]))]
-                at = order[group_bounds(s.name[order], s.windows[order])[:-1]]
+                class_of, first = classes(s.text, s.start[at], s.windows[at] + LENGTH - 1, s.name[at])
+                owner, at = least_by(class_of, s.doc[at], len(first)), at[first]
                 text = s.text[ranges(s.start[at], s.windows[at] + LENGTH - 1)]
                 offset = (s.anchor[at] - s.start[at]).astype(np.uint8)
-                out.append((chunk, bucket, len(at), pack(s.doc[at], offset, s.windows[at].astype(np.uint8), text)))
+                out.append((chunk, bucket, len(at), pack(owner, at.astype(np.int32), offset, s.windows[at].astype(np.uint8), text)))
             at = np.concatenate(by_window)
             if len(at):
-                windows = different_windows(s, at)
-                bucket = (windows[1] % U(buckets)).astype(np.int64)
+                stretch, number, least, most, text, name = different_windows(s, at)
+                bucket = (name % U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bounds = group_bounds(bucket[order])
+                text = text.reshape(-1, LENGTH)
                 for a, b in zip(bounds[:-1], bounds[1:]):
-                    out.append((chunk, buckets + int(bucket[order[a]]), int(b - a), pack(*[x[order[a:b]] for x in windows])))
+                    own = order[a:b]
+                    data = pack(stretch[own].astype(np.int32), number[own].astype(np.uint8), least[own], most[own], text[own].ravel())
+                    out.append((chunk, buckets + int(bucket[own[0]]), len(own), data))
         cols = list(zip(*out)) or [(), (), (), ()]
         return pa.table({
             "chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int64()),
@@ -445,16 +490,17 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def match_windows(part: pa.Table) -> Iterator[tuple[int, bytes]]:
         """chunk and its windows that a document below the chunk's greatest has."""
         pieces = [unpack(x.as_py(), *WINDOW_KINDS) for x in part.column("data")]
-        hash_, name, least, most = (np.concatenate(x) for x in zip(*pieces))
-        order = np.lexsort((name, hash_))
-        bounds = group_bounds(hash_[order], name[order])
-        low = np.empty(len(name), np.int64)
-        low[order] = np.repeat(np.minimum.reduceat(least[order], bounds[:-1]), np.diff(bounds))
+        stretch, number, least, most, text = (np.concatenate(x) for x in zip(*pieces))
+        low = least.copy()
+        # Suffixes are read eight bytes a step: the last ones have some to spare.
+        at, leaf = equal_windows(np.concatenate([text, np.zeros(8, np.uint8)]), np.arange(len(least)) * LENGTH, np.zeros(len(least), np.int64))
+        if len(at):
+            low[at] = least_by(leaf, least[at], int(leaf.max()) + 1)[leaf]
         ends = np.cumsum([len(p[0]) for p in pieces]).tolist()
         for chunk, i, j in zip(part.column("chunk").to_pylist(), [0, *ends[:-1]], ends):
             at = i + np.flatnonzero(low[i:j] < most[i:j])
             if len(at):
-                yield chunk, pack(hash_[at], name[at], low[at])
+                yield chunk, pack(stretch[at], number[at], low[at])
 
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["bucket"], 1):
@@ -469,7 +515,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
                     )
                     continue
                 pieces = [unpack(x.as_py(), *STRETCH_KINDS) for x in part.column("data")]
-                owner, offset, windows, text = (np.concatenate(x) for x in zip(*pieces))
+                owner, number, offset, windows, text = (np.concatenate(x) for x in zip(*pieces))
                 windows = windows.astype(np.int64)
                 start = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
                 hashes = gram_hashes(text)
@@ -479,7 +525,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 order = np.argsort(chunk[of], kind="stable")
                 of, first, last = of[order], first[order].astype(np.uint8), last[order].astype(np.uint8)
                 ends = group_bounds(chunk[of])
-                cut = [(int(chunk[of[i]]), pack(name[of[i:j]], first[i:j], last[i:j])) for i, j in zip(ends[:-1], ends[1:]) if j > i]
+                cut = [(int(chunk[of[i]]), pack(number[of[i:j]], first[i:j], last[i:j])) for i, j in zip(ends[:-1], ends[1:]) if j > i]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c for c, _ in cut], pa.int64()), pa.array([False] * len(cut), pa.bool_()), pa.array([d for _, d in cut], pa.binary())],
                     ["chunk", "by_window", "data"],
@@ -490,29 +536,30 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         s = Stretches(texts, ids)
         change = np.zeros(len(s.text) + 1, np.int64)
         if len(s.start):
-            names, place = np.unique(s.name, return_inverse=True)
-            later = s.doc > least_by(place, s.doc, len(names))[place]
+            place, firsts = classes(s.text, s.start, s.windows + LENGTH - 1, s.name)
+            later = s.doc > least_by(place, s.doc, len(firsts))[place]
             np.add.at(change, s.start[later], 1)
             np.add.at(change, s.start[later] + s.windows[later] + LENGTH - 1, -1)
             replies = [[], []]
             for by_window, data in zip(right.column("by_window").to_pylist(), right.column("data").to_pylist()):
                 replies[by_window].append(data)
             if replies[True]:
-                hash_, name, low = (np.concatenate(x) for x in zip(*[unpack(x, *WINDOW_REPLY_KINDS) for x in replies[True]]))
-                order = np.argsort(name)
-                hash_, name, low = hash_[order], name[order], low[order]
-                at = np.flatnonzero(np.isin(s.hash, hash_))
-                for of, number, own in window_names(s, at):
-                    here = at[of]
-                    found = np.minimum(np.searchsorted(name, own), len(name) - 1)
-                    hit = (name[found] == own) & (hash_[found] == s.hash[here]) & (low[found] < s.doc[here])
-                    np.add.at(change, s.start[here[hit]] + number[hit], 1)
-                    np.add.at(change, s.start[here[hit]] + number[hit] + LENGTH, -1)
+                stretch, number, low = (np.concatenate(x) for x in zip(*[unpack(x, *WINDOW_REPLY_KINDS) for x in replies[True]]))
+                at = np.flatnonzero(np.isin(s.hash, s.hash[stretch]))
+                of, own, start, name = window_bytes(s, at)
+                class_of, first = classes(s.text, start, np.full(len(start), LENGTH), name, s.hash[at[of]])
+                # The window that stands for its class in the reply, and with it the least document of all chunks.
+                begins = np.searchsorted(of, np.arange(len(at)))
+                told = class_of[begins[np.searchsorted(at, stretch)] + number]
+                least = least_by(told, low, len(first))
+                hit = least[class_of] < s.doc[at[of]]
+                np.add.at(change, start[hit], 1)
+                np.add.at(change, start[hit] + LENGTH, -1)
             if replies[False]:
-                name, first, last = (np.concatenate(x) for x in zip(*[unpack(x, *REPLY_KINDS) for x in replies[False]]))
+                stretch, first, last = (np.concatenate(x) for x in zip(*[unpack(x, *REPLY_KINDS) for x in replies[False]]))
                 order = np.argsort(place, kind="stable")
-                bounds = np.searchsorted(place[order], np.arange(len(names) + 1))
-                at = np.searchsorted(names, name)
+                bounds = np.searchsorted(place[order], np.arange(len(firsts) + 1))
+                at = place[stretch]
                 n = bounds[at + 1] - bounds[at]
                 here = order[ranges(bounds[at], n)]
                 first, last = np.repeat(first, n).astype(np.int64), np.repeat(last, n).astype(np.int64)

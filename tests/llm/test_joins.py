@@ -104,6 +104,45 @@ def test_suffix_dedup_deals_out_a_hot_anchor(make_docs):
     assert len(spread) == 64 and max(spread) < 2 * sum(spread) / 64
 
 
+def test_suffix_dedup_when_names_collide(make_docs, rows, monkeypatch):
+    """With names of two bits nearly all stretches and windows share one with others; bytes tell them apart."""
+    def weak(hashes, start, windows):
+        return (hashes[start] ^ hashes[start + windows - 1]) & np.uint64(3)
+
+    r = random.Random(12)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(60, 120))) for _ in range(6)]
+    docs = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 60))).join(r.sample(passages, 3)).encode()) for i in range(40)]
+    expected = {x[0]: x[4] for x in removed([(i, t.decode()) for i, t in docs])}
+    s = suffix_dedup.Stretches([t for _, t in docs], np.arange(40))
+    monkeypatch.setattr(suffix_dedup, "names", weak)
+    weak_name = s.name & np.uint64(3)
+    for size in (s.windows + 49,):
+        class_of, first = suffix_dedup.classes(s.text, s.start, size, weak_name)
+        texts = [s.text[a:a + n].tobytes() for a, n in zip(s.start, size)]
+        assert len(first) == len(set(texts)) and all(texts[first[c]] == t for c, t in zip(class_of, texts))
+    at = np.arange(len(s.start))
+    stretch, number, least, most, text, _ = suffix_dedup.different_windows(s, at)
+    windows = {text[50 * k:50 * k + 50].tobytes() for k in range(len(stretch))}
+    plain = {}
+    for i, t in docs:
+        for k in range(len(t) - 49):
+            plain.setdefault(t[k:k + 50], []).append(i)
+    assert windows == set(plain) and len(stretch) == len(plain)
+    assert all((a, b) == (min(plain[w]), max(plain[w])) for a, b, w in zip(least, most, (text[50 * k:50 * k + 50].tobytes() for k in range(len(stretch)))))
+    assert expected
+
+
+def test_suffix_dedup_of_long_texts_apart(make_docs, monkeypatch):
+    """Texts longer than LONG_TEXT are chunks of their own, among others that share passages with them."""
+    monkeypatch.setattr(suffix_dedup, "LONG_TEXT", 200)
+    r = random.Random(13)
+    passage = "".join(r.choice("abcdefgh é") for _ in range(90))
+    many = [(r.randrange(500), "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 300))) + passage * r.randint(0, 2)) for _ in range(120)]
+    assert sorted((tuple(x) for x in suffix_dedup.removal_digests(make_docs(many)).collect()), key=repr) == removed(many)
+    chunks = suffix_dedup.in_chunks(make_docs(many)).collect()
+    assert all((c.chunk < 0) == (len(c.text.encode()) > 200) for c in chunks) and len({c.row for c in chunks}) == len(many)
+
+
 def test_blind_trie_finds_equal_strings():
     r = random.Random(2)
     strings = ["".join(r.choice("ab") for _ in range(8)).encode() for _ in range(300)]
