@@ -11,6 +11,7 @@ from hexheat.functions import (
     c_to_f, cell_hex, cell_of, dequantise_hi, dequantise_load, heat_index_of, is_finite, or_nan,
     pack_wx, quantise_hi,
 )
+from hexheat.operators.sequences import running_sum
 from hexheat.session import broadcast_checked, measured
 
 
@@ -77,11 +78,18 @@ def densify(film: DataFrame, cells: DataFrame, t0: datetime, t1: datetime) -> Da
     return scaffold.join(present, "t", "left_semi").join(film, ["cell", "t"], "left")
 
 
+HOURS_A_STRETCH = 1 << 12
+
+
 def line_segments(dense: DataFrame, value: str) -> DataFrame:
-    """Number the unbroken stretches of each cell's line; rows without a value are dropped."""
-    so_far = Window.partitionBy("cell").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    breaks = F.sum(F.col(value).isNull().cast("int")).over(so_far)
-    return dense.withColumn("segment", breaks).where(F.col(value).isNotNull())
+    """Number the unbroken stretches of each cell's line, a row an hour; rows without a value are dropped.
+
+    A long line is cut into stretches of hours, so no task orders a whole line.
+    """
+    hour = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 3600)
+    marked = dense.withColumns({"_hour": hour, "_gap": F.col(value).isNull().cast("bigint")})
+    counted = running_sum(marked, ["cell"], "_hour", {"segment": "_gap"}, HOURS_A_STRETCH)
+    return counted.where(F.col(value).isNotNull()).drop("_hour", "_gap")
 
 
 def day_breaks(hours: DataFrame) -> DataFrame:

@@ -840,8 +840,8 @@ def latest_release(spark, sf):
 def land_incremental(spark, sf):
     """Two landings of a growing archive, then what a reader sees and where it came from."""
     source, path = D.pixel_hours(spark, sf), work_dir(spark, "landing")
-    landing.land_closed(spark, source.where(F.col("run") <= 20), path)
-    landing.land_closed(spark, source, path)
+    landing.land_closed(spark, source.where(F.col("run") <= 20), path, newest=20)
+    landing.land_closed(spark, source, path, newest=runs(spark, sf).agg(F.max("run")).first()[0])
     seen = landing.mirrored(spark, source, path)
     return seen.groupBy("run", "from_landing").agg(F.count("*").alias("n"), F.sum("xi").alias("sum_xi"))
 

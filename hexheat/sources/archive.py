@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from hexheat import schemas as S
 from hexheat.functions import path_tail
@@ -22,16 +22,19 @@ def write_cube(cube: DataFrame, path: str, mode: str = "append") -> None:
     """Store a cube so that a scan prunes days and pixel blocks.
 
     The range partitioning splits a crowded (day, block) over several files by pixel and run. The
-    runs that were written are noted beside the cube, after it.
+    runs that were written are noted beside the cube, after it, from the days that were written.
     """
-    cube = cube.withColumn("init_day", F.to_date("init_ts"))
+    watch = Observation()
+    cube = cube.withColumn("init_day", F.to_date("init_ts")).observe(watch, F.collect_set("init_day").alias("days"))
     (
         cube
         .repartitionByRange("init_day", "yb", "xb", "yi", "xi", "init_ts")
         .sortWithinPartitions(*S.CUBE_PARTITIONS, "yi", "xi", "init_ts", "lead_h")
         .write.mode(mode).partitionBy(*S.CUBE_PARTITIONS).parquet(path)
     )
-    cube.select(*RUNS).distinct().coalesce(1).write.mode(mode).parquet(runs_path(path))
+    days = watch.get["days"] or []  # a value a day
+    written = scan_cube(cube.sparkSession, path, ()).where(F.col("init_day").isin(list(days)))
+    written.select(*RUNS).distinct().coalesce(1).write.mode(mode).parquet(runs_path(path))
 
 
 RUNS = ("run", "init_ts", "init_day")

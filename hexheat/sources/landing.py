@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -70,36 +69,47 @@ def already_landed(requested: DataFrame, landed: DataFrame, keys: list[str]) ->
     return requested.join(landed.select(*keys), keys, "left_semi")
 
 
-def landed_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """What is landed so far; empty before the first landing."""
-    try:
-        return spark.read.parquet(path).select(*like.columns)
-    except AnalysisException:
+def landed_table(spark: SparkSession, path: str, like: DataFrame, shard: str = "run") -> DataFrame:
+    """What is landed so far; empty before the first landing. A landing of another schema is an error."""
+    if not shard_numbers(spark, path, shard):
         return like.where(F.lit(False))
+    return spark.read.parquet(path).select(*like.columns)
+
+
+def shard_numbers(spark: SparkSession, path: str, shard: str) -> list[int]:
+    """The shards that a folder has, from the names of its partitions: no file is read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{shard}="))
 
 
 def land_closed(
-    spark: SparkSession, source: DataFrame, path: str, shard: str = "run", cluster: tuple[str, ...] = ("yi", "xi")
+    spark: SparkSession, source: DataFrame, path: str, shard: str = "run", cluster: tuple[str, ...] = ("yi", "xi"),
+    newest: int | None = None,
 ) -> None:
     """Write the closed shards that are not landed yet, a few files a shard.
 
     Range partitioning on shard and pixel splits a big shard and gathers small ones.
 
-    The newest shard may still grow, so it never lands. Partitions are replaced whole: a run
-    that was cut off and started again leaves no duplicates.
+    The newest shard may still grow, so it never lands. Its number is best given, from the list of runs or from
+    `shard_numbers`; without it the source is searched for it. What has landed is known from the names of folders.
+    Partitions are replaced whole: a run that was cut off and started again leaves no duplicates.
     """
-    newest = source.agg(F.max(shard)).scalar()
-    closed = source.where(F.col(shard) < newest)
-    held = landed_table(spark, path, source).select(shard).distinct()
+    last = F.lit(newest) if newest is not None else source.agg(F.max(shard)).scalar()
+    held = shard_numbers(spark, path, shard)
+    closed = source.where((F.col(shard) < last) & ~F.col(shard).isin(held))
     (
-        to_fetch(closed, held, [shard]).repartitionByRange(shard, *cluster)
+        closed.repartitionByRange(shard, *cluster)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
     )
 
 
 def mirrored(spark: SparkSession, source: DataFrame, path: str, shard: str = "run") -> DataFrame:
     """The source as a reader sees it: closed shards from the landing, the rest read again."""
-    landed = landed_table(spark, path, source)
+    landed = landed_table(spark, path, source, shard)
     rest = to_fetch(source, landed.select(shard).distinct(), [shard])
     return landed.withColumn("from_landing", F.lit(True)).unionByName(
         rest.withColumn("from_landing", F.lit(False))

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hexheat import schemas as S
 from hexheat.operators.accumulate import DEFAULTS
+from hexheat.sources.landing import shard_numbers
 from hexheat.streaming.streams import stream_fold
 
 
@@ -158,16 +159,6 @@ def stream_released(hours: DataFrame, delay: str = "24 hours", idle_hours: float
 
 # ---- landing that holds the newest shard back -----------------------------------------------
 
-def _numbers(spark: SparkSession, path: str, shard: str) -> list[int]:
-    """The shards that a folder has, from the names of its partitions."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(at)]
-    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{shard}="))
-
-
 def _drop(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -188,8 +179,8 @@ def land_closed_stream(source: DataFrame, path: str, checkpoint: str, shard: str
     def land(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         put(rows.withColumn("batch", F.lit(batch)), waiting)
-        held = _numbers(spark, waiting, shard)
-        newest = max([*held, *_numbers(spark, path, shard)], default=None)
+        held = shard_numbers(spark, waiting, shard)
+        newest = max([*held, *shard_numbers(spark, path, shard)], default=None)
         closed = [k for k in held if k < newest]
         if closed:
             schema = rows.withColumn("batch", F.lit(batch)).schema
