@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, token digests of the mix out.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. Rows come with NULLs
-in any column, empty and very long texts, repeated rows and an empty table; the operators define each case.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. Columns that `docs` has
+besides those of documents pass through all stages but the last, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,27 +17,46 @@ from hexheat.llm.quality import accepted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels of these documents, doesn't reject."""
+    """Documents that the quality classifier, fitted on the labels of these documents, doesn't reject.
+
+    NULL text is scored as empty; repeated rows score alike and stay or go together; a text is scored whole, however
+    long. Rows without an id are scored like others and never fitted. Without usable labels nothing is rejected.
+    """
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the least doc_id."""
+    """One document of each group of equal texts, that with the least doc_id.
+
+    NULL and empty texts are one group. Rows that repeat the staying row stay with it, as nothing tells
+    them apart; rows without an id stay too. Of several texts of one id each is decided by itself.
+    """
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least doc_id."""
+    """One document of each group of near copies, that with the least doc_id.
+
+    NULL, empty and blank texts are no copies of anything and stay. Rows that repeat a row
+    that stays, and rows without an id, stay.
+    """
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights: a row per document and round of its source that takes words of it."""
+    """The sources mixed to their target weights: a row per document and round of its source that takes words of it.
+
+    NULL is a source of its own. NULL, empty and blank texts give no words and are left out. Repeated rows are rows of
+    their own. A round that takes part of a text, however long, gives those words.
+    """
     return mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the token ids and of the decoded text of every row of the mix."""
+    """doc_id, n_tokens and digests of the token ids and of the decoded text of every row of the mix.
+
+    NULL text is encoded as empty; repeated rows give a row each, and a NULL id stays NULL.
+    """
     return digests(docs)
 
 
