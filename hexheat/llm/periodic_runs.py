@@ -27,6 +27,8 @@ LEAST_LENGTH = 6
 LEAST_EXPONENT = 4
 # Texts of about so many characters are searched together; a longer one alone.
 CHARS_AT_ONCE = 1 << 22
+# Pairs of places whose extensions are looked up together.
+PAIRS_AT_ONCE = 1 << 19
 
 RUN = "struct<start:bigint,length:bigint,period:bigint>"
 
@@ -187,27 +189,32 @@ def runs_of(listed: list[list[bytes]], least: int = LEAST_LENGTH, exponent: int
     is_word[marks] = False
     symbols[is_word] = words[np.isin(part, used)]
     symbols[marks] = int(words.max(initial=0)) + 1 + np.arange(len(marks))
-    i = at - starts[part[at]] + marks[place] + 1
-    j, last = i + period, len(symbols) - 1
+    found = [np.zeros((4, 0), np.int64)]
     if len(used):
-        after = Extensions(symbols, np.cumsum(~is_word) - (~is_word)).common(i, j)
+        inside = np.cumsum(~is_word)
+        after = Extensions(symbols, inside - (~is_word))
         # Backwards from the places before; the mark before a text is met at most once, as it agrees with nothing.
-        before = Extensions(symbols[::-1].copy(), np.cumsum(~is_word)[::-1].copy()).common(last - (j - 1), last - (i - 1))
-    else:
-        after = before = np.zeros(0, np.int64)
-    start, length = i - before - marks[place] - 1, before + after + period
-    of = by_size[part[at]]
-    ok = length >= np.maximum(least, exponent * period)
-    of, start, length, period = of[ok], start[ok], length[ok], period[ok]
-    order = np.lexsort((period, length, start, of))
-    of, start, length, period = of[order], start[order], length[order], period[order]
-    # A run turns up with multiples of its period too: the least one counts.
-    first = group_bounds(of, start, length)[:-1]
-    of, start, length, period = of[first], start[first], length[first], period[first]
+        before = Extensions(symbols[::-1].copy(), inside[::-1].copy())
+        last = len(symbols) - 1
+        for some in range(0, len(at), PAIRS_AT_ONCE):
+            own, p, mark = at[some:some + PAIRS_AT_ONCE], period[some:some + PAIRS_AT_ONCE], marks[place[some:some + PAIRS_AT_ONCE]]
+            i = own - starts[part[own]] + mark + 1
+            back = before.common(last - (i + p - 1), last - (i - 1))
+            length = back + after.common(i, i + p) + p
+            ok = length >= np.maximum(least, exponent * p)
+            found.append(least_periods(np.stack([by_size[part[own]], i - back - mark - 1, length, p])[:, ok]))
+    of, start, length, period = least_periods(np.concatenate(found, axis=1))
     order = np.lexsort((period, start, of))
     return of[order], start[order], length[order], period[order]
 
 
+def least_periods(runs: np.ndarray) -> np.ndarray:
+    """Text, start, length and period of different runs. One turns up with multiples of its period too: the least counts."""
+    of, start, length, period = runs
+    order = np.lexsort((period, length, start, of))
+    return runs[:, order][:, group_bounds(of[order], start[order], length[order])[:-1]] if len(order) else runs
+
+
 def collapsed(words: list[bytes], start: np.ndarray, length: np.ndarray, period: np.ndarray) -> list[bytes]:
     """The words without what a run holds after its first period."""
     if not len(start):

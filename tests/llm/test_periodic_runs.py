@@ -109,6 +109,13 @@ def test_very_long_texts():
     assert found([same, period, ["x", *period, *same]]) == [[(0, 300_000, 1)], [(0, 100_000, 1000)], [(1, 100_000, 1000), (100_001, 300_000, 1)]]
 
 
+def test_pairs_in_small_portions(monkeypatch):
+    r = random.Random(77)
+    listed = [invented(r) for _ in range(60)]
+    monkeypatch.setattr(pr, "PAIRS_AT_ONCE", 5)
+    assert found(listed) == [plain_runs(x) for x in listed]
+
+
 def test_collapsed_of_runs_inside_runs():
     words = (["a"] * 8 + ["b"]) * 5
     runs = plain_runs(words)
@@ -136,10 +143,10 @@ def test_digests(make_docs, rows):
 
 
 def test_columns_stay_and_an_empty_table(make_docs):
-    docs = make_docs([(1, "x x x x x x x"), (2, None)]).withColumnRenamed("n", "runs")
+    docs = make_docs([(1, "x x x x x x x"), (2, None)])
     got = pr.periodic_runs(docs)
-    assert got.columns == [*docs.columns, "runs_", "collapsed"]
-    assert sorted((r.collapsed, [tuple(x) for x in r.runs_]) for r in got.collect()) == [("", []), ("x", [(0, 7, 1)])]
+    assert got.columns == [*docs.columns, "runs_", "collapsed_"]
+    assert sorted((r.collapsed_, [tuple(x) for x in r.runs_]) for r in got.collect()) == [("", []), ("x", [(0, 7, 1)])]
     assert pr.run_digests(make_docs([])).collect() == []
     with pytest.raises(ValueError):
         pr.periodic_runs(docs, exponent=2)
