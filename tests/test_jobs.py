@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from datetime import date, datetime, timedelta
 
@@ -286,6 +287,23 @@ def test_pruning_holds_however_large_the_lookup_seems(spark, sf, stored):
     assert re.search(r"dynamicpruningexpression\([xy]b", plan_of(kept))
 
 
+def test_a_cube_of_many_blocks_has_a_folder_a_day(spark, sf, tmp_path):
+    """Folders grow with the days and not with days times blocks; blocks are pruned by what row groups hold."""
+    readings = derived.pixel_hours(spark, sf).withColumns({"yb": F.col("yi"), "xb": F.col("xi")})
+    path = f"{tmp_path}/cube"
+    for half in (F.col("run") < 8, F.col("run") >= 8):  # the second is written on, into the folders that are there
+        archive.write_cube(readings.where(half), path)
+    assert readings.select("yb", "xb").distinct().count() > S.MOST_BLOCK_FOLDERS
+    assert len([d for d, _, files in os.walk(path) if any(f.endswith(".parquet") for f in files)]) == 7
+    cube = archive.scan_cube(spark, path)
+    assert cube.exceptAll(readings.select(cube.columns)).count() == 0 and cube.count() == readings.count()
+    blocks = spark.createDataFrame([(1, 2), (1, 9), (17, 4)], "yb int, xb int")
+    kept = fold.prune_blocks(cube, blocks)
+    assert re.search(r"PushedFilters: \[[^\]]*yb", kept._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert kept.count() == readings.join(blocks, ["yb", "xb"], "left_semi").count() > 0
+    assert fold.prune_blocks(cube, blocks.where("false")).count() == 0
+
+
 def test_the_film_is_not_shuffled_by_hour(spark, sf):
     heat = catalogue.heat(spark, sf)
     for df in (
