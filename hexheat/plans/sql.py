@@ -29,30 +29,41 @@ FUNCTIONS = {
 }
 
 # Functions that return tables, for use with LATERAL. A polygon is filled by rows of cell centres: what a row's latitude
-# cuts is ordered and paired, and the centres between are listed.
+# cuts is ordered and paired, and the centres between are listed. Each body is one generator, so that LATERAL becomes
+# that generator. Of more than one Spark makes a join of the polygons with what they give, broadcast by a guessed size.
+# A row therefore holds the cells of one polygon: of the whole Earth at the finest resolution some 14 million.
 _RINGS = "ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
-_ROW = f"(sin(radians({{}})) * {EARTH_KM / COS0!r}D / (1.5D * s))"
-_COLUMN = f"(radians({{}}) * {EARTH_KM * COS0!r}D / (s * {ROOT3!r}D) - r / 2D)"
+_ROW = f"(sin(radians({{}})) * {EARTH_KM / COS0!r}D / (1.5D * p.s))"
+_COLUMN = f"(radians({{}}) * {EARTH_KM * COS0!r}D / (p.s * {ROOT3!r}D) - r / 2D)"
+_LON = f"degrees((q + r / 2D) * p.s * {ROOT3!r}D / {EARTH_KM * COS0!r}D)"
+_LAT = f"degrees(asin(r * 1.5D * p.s * {COS0 / EARTH_KM!r}D))"
+_EDGES = """flatten(transform(rings, ring -> zip_with(
+    slice(ring, 1, greatest(size(ring) - 1, 0)), slice(ring, 2, greatest(size(ring) - 1, 0)),
+    (a, b) -> struct(a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1))))"""
+_CUTS = """array_sort(transform(
+    filter(p.edges, e -> (e.y0 > lat) <> (e.y1 > lat)), e -> e.x0 + (lat - e.y0) / (e.y1 - e.y0) * (e.x1 - e.x0)))"""
+_SPANS = "if(size(xs) > 1, transform(sequence(0, size(xs) DIV 2 - 1), k -> struct(xs[2 * k] AS x0, xs[2 * k + 1] AS x1)), array())"
+_COLUMNS = f"sequence(CAST(floor({_COLUMN.format('span.x0')}) AS BIGINT), CAST(ceil({_COLUMN.format('span.x1')}) AS BIGINT))"
+_SPAN_CELLS = f"""transform(filter({_COLUMNS}, q -> {_LON} >= span.x0 AND {_LON} < span.x1),
+    q -> shiftleft(q + {HALF_AXIS}, {AXIS_BITS}) + r + {HALF_AXIS})"""
+_ROWS = f"""if(size(p.edges) > 0, sequence(
+    CAST(floor({_ROW.format('array_min(transform(p.edges, e -> least(e.y0, e.y1)))')}) AS BIGINT),
+    CAST(ceil({_ROW.format('array_max(transform(p.edges, e -> greatest(e.y0, e.y1)))')}) AS BIGINT)), array())"""
+
+
+def _each(values: str, name: str, inner: str) -> str:
+    """All that `inner` lists for each of `values`; a value for which it is NULL gives nothing."""
+    return f"flatten(transform({values}, {name} -> coalesce({inner}, array())))"
+
+
+# An array of one value, gone through, names that value: it is worked out once.
+_CELLS = _each(f"array(struct({_EDGE} AS s, {_EDGES} AS edges))", "p", _each(_ROWS, "r", _each(
+    f"array({_LAT})", "lat", _each(f"array({_CUTS})", "xs", _each(_SPANS, "span", _SPAN_CELLS)))))
 TABLE_FUNCTIONS = {
     f"parts(polygons ARRAY<{_RINGS}>) RETURNS TABLE (part INT, rings {_RINGS})": """
         SELECT posexplode(polygons) AS (part, rings)""",
     f"polyfill(rings {_RINGS}, res INT) RETURNS TABLE (cell BIGINT)": f"""
-        SELECT shiftleft(q + {HALF_AXIS}, {AXIS_BITS}) + r + {HALF_AXIS} AS cell
-        FROM (SELECT *, degrees((q + r / 2D) * s * {ROOT3!r}D / {EARTH_KM * COS0!r}D) AS lon
-              FROM (SELECT r, s, span.x0, span.x1, explode(sequence(CAST(floor({_COLUMN.format('span.x0')}) AS BIGINT), CAST(ceil({_COLUMN.format('span.x1')}) AS BIGINT))) AS q
-                    FROM (SELECT r, s, explode(transform(sequence(0, size(xs) DIV 2 - 1), k -> struct(xs[2 * k] AS x0, xs[2 * k + 1] AS x1))) AS span
-                          FROM (SELECT r, s, array_sort(transform(
-                                         filter(edges, e -> (e.y0 > lat) <> (e.y1 > lat)), e -> e.x0 + (lat - e.y0) / (e.y1 - e.y0) * (e.x1 - e.x0))) AS xs
-                                FROM (SELECT *, degrees(asin(r * 1.5D * s * {COS0 / EARTH_KM!r}D)) AS lat
-                                      FROM (SELECT s, edges, explode(sequence(
-                                                     CAST(floor({_ROW.format('array_min(transform(edges, e -> least(e.y0, e.y1)))')}) AS BIGINT),
-                                                     CAST(ceil({_ROW.format('array_max(transform(edges, e -> greatest(e.y0, e.y1)))')}) AS BIGINT))) AS r
-                                            FROM (SELECT {_EDGE} AS s, flatten(transform(rings, ring -> zip_with(
-                                                           slice(ring, 1, greatest(size(ring) - 1, 0)), slice(ring, 2, greatest(size(ring) - 1, 0)),
-                                                           (a, b) -> struct(a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1)))) AS edges)
-                                            WHERE size(edges) > 0)))
-                          WHERE size(xs) > 1)))
-        WHERE lon >= x0 AND lon < x1""",
+        SELECT explode({_CELLS}) AS cell""",
 }
 
 FOLD_SQL = """

@@ -227,3 +227,24 @@ def test_colours(spark):
     df = spark.createDataFrame([(None,), (-5.0,), (99.0,)], "v double")
     got = df.select(H.ramp_rgb(F.col("v"), F.lit(0.0), F.lit(1.0), ("#000000", "#ff8000"), fade=True).alias("c")).select("c.*").collect()
     assert [tuple(r) for r in got] == [(40, 44, 50, 60), (0, 0, 0, 60), (255, 128, 0, 235)]
+
+
+def test_polyfill_in_sql_fills_where_the_polygons_are(spark):
+    """LATERAL is the generator itself: no join of polygons with their cells, which was broadcast. Odd rings give what is there."""
+    sql.register_functions(spark)
+    square = [(-100.0, 40.0), (-97.0, 40.0), (-97.0, 43.0), (-100.0, 43.0), (-100.0, 40.0)]
+    hole = [(-99.0, 41.0), (-99.0, 42.0), (-98.0, 42.0), (-98.0, 41.0), (-99.0, 41.0)]
+    gap = [(-100.0, 40.0), (None, 40.5), (-97.0, 43.0), (-100.0, 43.0), (-100.0, 40.0)]
+    rows = [(0, [square, hole]), (1, [square, hole]), (2, [square]), (3, []), (4, None), (5, [square, None]), (6, [gap]), (7, [[]]), (None, [square])]
+    areas = spark.createDataFrame(rows, "id int, rings array<array<struct<x: double, y: double>>>")
+    filled = spark.sql("SELECT id, c.cell FROM {areas}, LATERAL polyfill(rings, 4) c", areas=areas)
+    assert "Join" not in filled._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in filled.collect():
+        got.setdefault(r.id, []).append(r.cell)
+    own = regions.polyfill_cells(regions.ring_edges(areas.where("id IN (0, 2, 6)").withColumn("part", F.lit("p"))), 4)
+    want = {}
+    for r in own.collect():
+        want.setdefault(r.id, []).append(r.cell)
+    assert sorted(got[0]) == sorted(got[1]) == sorted(want[0]) and sorted(got[2]) == sorted(got[None]) == sorted(want[2])
+    assert not {3, 4, 5, 7} & set(got) and len(got[0]) < len(got[2])
