@@ -248,3 +248,30 @@ def test_polyfill_in_sql_fills_where_the_polygons_are(spark):
         want.setdefault(r.id, []).append(r.cell)
     assert sorted(got[0]) == sorted(got[1]) == sorted(want[0]) and sorted(got[2]) == sorted(got[None]) == sorted(want[2])
     assert not {3, 4, 5, 7} & set(got) and len(got[0]) < len(got[2])
+
+
+def test_pairs_of_points_and_parts_are_never_shuffled(spark, polygons, monkeypatch):
+    """Crossings are counted where a pair is made: nothing is joined or grouped by the part after points have met it."""
+    points = spark.createDataFrame([(0, -95.0, 35.0)], "k int, px double, py double")
+    edges = regions.ring_edges(as_pieces(spark, polygons))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = regions.polyfill_center(edges, points, ["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = next(n for n, line in enumerate(plan.splitlines()) if "Join" in line)
+    assert plan.count("Join ") == 1 and not any("Aggregate" in line or "Exchange" in line for line in plan.splitlines()[:joined])
+
+
+def test_edges_of_a_square_are_all_that_count(spark):
+    """Corners on the lines of squares, a part listed twice (counted twice, so nowhere inside), NULL names and corners."""
+    def ring(x, y, w):
+        return [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+
+    rows = [("a", "p", [ring(-100.0, 30.0, 2.0)]), ("b", "p", [ring(-99.5, 30.5, 0.5)]), ("c", "q", [ring(-99.0, 30.0, 1.0)]),
+            ("c", "q", [ring(-99.0, 30.0, 1.0)]), (None, "r", [ring(-100.0, 30.0, 2.0)]), ("d", None, [ring(-100.0, 30.0, 2.0)])]
+    points = [(10 * i + j, -100.25 + 0.25 * i, 29.75 + 0.25 * j) for i in range(10) for j in range(10)] + [(100, None, 30.0)]
+    edges = regions.ring_edges(as_pieces(spark, rows))
+    got = regions.polyfill_center(edges, spark.createDataFrame(points, "k int, px double, py double"), ["k"])
+    want = {(k, i, p) for k, x, y in points if x is not None for i, p, rings in rows[:2] if inside(rings, x, y)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 60
