@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hexheat.session import dealt
+
 
 def table_key(parts: dict) -> str:
     """Stable name of a result from what it depends on."""
@@ -55,10 +57,11 @@ class FoldMemo:
 
 
 def split_landed(requested: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame:
-    """Each requested key once, marked hit or miss."""
-    held = landed.select(*keys).distinct().withColumn("hit", F.lit(True))
-    wanted = requested.select(*keys).distinct()
-    return wanted.join(held, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    """Each requested key once, marked hit or miss. One aggregate over both; a key with a NULL is never a hit."""
+    asked = requested.select(*keys, F.lit(True).alias("asked"), F.lit(False).alias("hit"))
+    held = landed.select(*keys, F.lit(False).alias("asked"), F.lit(True).alias("hit")).dropna(subset=keys)
+    both = dealt(asked.union(held), *keys).groupBy(*keys).agg(F.max("asked").alias("asked"), F.max("hit").alias("hit"))
+    return both.where("asked").select(*keys, "hit")
 
 
 def to_fetch(requested: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame:

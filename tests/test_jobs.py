@@ -163,6 +163,15 @@ def test_memo_keeps_only_the_last_answer(spark):
     memo.release()
 
 
+def test_keys_asked_and_landed_meet_in_one_aggregate(spark):
+    """No join after two distincts; a key with a NULL is asked for and never a hit."""
+    asked = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), (None, 1), ("c", None)], "key string, part int")
+    landed = spark.createDataFrame([("a", 1), ("a", 2), ("a", 1), ("z", 1), (None, 1), ("c", None)], "key string, part int")
+    split = landing.split_landed(asked, landed, ["key", "part"])
+    assert {tuple(r) for r in split.collect()} == {("a", 1, True), ("b", 1, False), (None, 1, False), ("c", None, False)}
+    assert split.count() == 4 and "Join" not in plan_of(split)
+
+
 def test_newest_shard_never_lands_and_landing_is_repeatable(spark):
     path = work_dir(spark, "landing")
     source = spark.range(100).select(F.floor(F.col("id") / 10).cast("int").alias("run"), F.col("id").alias("yi"), F.col("id").alias("xi"))
