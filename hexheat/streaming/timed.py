@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hexheat import schemas as S
@@ -174,7 +174,10 @@ def land_closed_stream(source: DataFrame, path: str, checkpoint: str, shard: str
     waiting = f"{path.rstrip('/')}.open"
 
     def put(rows: DataFrame, to: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard, "batch").parquet(to)
+        # Ranges of shards, and of rows in a big one: files are about as many as shards, and not shards times tasks.
+        rest = [f.name for f in rows.schema if isinstance(f.dataType, T.AtomicType) and f.name not in (shard, "batch")]
+        ranged = rows.repartitionByRange(shard, *rest)
+        ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard, "batch").parquet(to)
 
     def land(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
@@ -184,7 +187,7 @@ def land_closed_stream(source: DataFrame, path: str, checkpoint: str, shard: str
         closed = [k for k in held if k < newest]
         if closed:
             schema = rows.withColumn("batch", F.lit(batch)).schema
-            put(spark.read.schema(schema).parquet(waiting).where(F.col(shard).isin(closed)), path)
+            put(spark.read.schema(schema).parquet(waiting).where(F.col(shard) < newest), path)
             for k in closed:
                 _drop(spark, f"{waiting}/{shard}={k}")
 

@@ -100,3 +100,19 @@ def test_closed_shards_land_whole_after_any_split(spark, tmp_path, seed):
         assert landed.where(F.col("run") >= k + 2).isEmpty() or k == 3
     got = sorted((x.run, x.x) for x in landed.collect())
     assert got == sorted(x for x in rows if x[0] < max(rows)[0])
+
+
+def test_files_of_a_landing_are_about_as_many_as_its_shards(spark, tmp_path):
+    """Not shards times tasks: rows of all shards lie in every file that comes in."""
+    rows = spark.range(4000).select((F.col("id") % 20).cast("int").alias("run"), "id", F.array("id").alias("ids"))
+    rows.repartition(8, F.xxhash64("id")).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4096")
+    try:
+        timed.land_closed_stream(streams.read_files(spark, f"{tmp_path}/in", rows.schema), f"{tmp_path}/landed", f"{tmp_path}/checkpoint")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    landed = timed.landed_stream(spark, f"{tmp_path}/landed")
+    assert len(landed.inputFiles()) <= 19 + 8
+    assert landed.exceptAll(rows.where("run < 19").select(landed.columns)).isEmpty() and landed.count() == 19 * 200
