@@ -11,13 +11,14 @@ Exteriors run counterclockwise and have positive area, holes clockwise and negat
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexheat.functions import axial_of, edge_km
 from hexheat.functions.cells import COS0, EARTH_KM, ROOT3
 from hexheat.operators.regions import polyfill_center
-from hexheat.session import measured
+from hexheat.session import dealt, measured
 
 # Corners of a cell from its centre, counterclockwise, in thirds of the axes.
 CORNERS = ((-1, 2), (-2, 1), (-1, -1), (1, -2), (2, -1), (1, 1))
@@ -57,13 +58,26 @@ def doubled(edges: DataFrame, key: str) -> DataFrame:
     return placed.select(key, "edge", "ring", F.pmod(F.col("n") - F.col("ahead"), F.col("n")).alias("place"))
 
 
+# A key with up to so many edges is linked in one task, one with more by pointer doubling.
+MOST_EDGES = 1 << 16
+
+
 def stitched(edges: DataFrame, key: str) -> DataFrame:
     """Directed edges (`key, ax, ay, bx, by`) as rings: the same rows with `ring` and `place`.
 
     Where several edges leave a corner, each edge that arrives goes on with the one that turns most to the left, so
     rings that touch in a corner stay apart.
     """
-    own = measured(edges.withColumn("edge", F.monotonically_increasing_id()), "edges")
+    own = measured(edges.where(F.col(key).isNotNull()).withColumn("edge", F.monotonically_increasing_id()), "edges")
+    # Few: each has MOST_EDGES rows of the table.
+    large = measured(own.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES).select(key), "large")
+    if large.isEmpty():
+        return _linked(own, key)
+    small, rest = (own.join(F.broadcast(large), key, how) for how in ("left_anti", "left_semi"))
+    return _linked(small, key).unionByName(_linked_by_doubling(rest, key))
+
+
+def _linked_by_doubling(own: DataFrame, key: str) -> DataFrame:
     leaving = own.select(
         key, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("edge").alias("next"), F.col("bx").alias("cx"), F.col("by").alias("cy"),
     )
@@ -76,6 +90,73 @@ def stitched(edges: DataFrame, key: str) -> DataFrame:
     return own.join(doubled(linked, key), [key, "edge"]).drop("edge")
 
 
+def _linked(own: DataFrame, key: str) -> DataFrame:
+    """The same for keys whose edges fit a task: keys stream past in Arrow batches, all whole keys of a batch at once."""
+    types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    fields = [f"`{c}` {types[c]}" for c in (key, "ax", "ay", "bx", "by")]
+    ordered = dealt(own.select(key, "ax", "ay", "bx", "by", "edge"), key).sortWithinPartitions(key, "edge")
+    return ordered.mapInArrow(_linker(key), ", ".join([*fields, "ring bigint", "place bigint"]))
+
+
+def _linker(key: str) -> Callable[[Iterator], Iterator]:
+    """Links and doubling as above, in arrays. Self-contained, so workers need not have this package."""
+
+    def link(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def firsts(*columns):
+            return np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+
+        def rings(table: pa.Table, group: np.ndarray) -> pa.Table:
+            n = len(group)
+            ax, ay, bx, by, edge = (table.column(c).to_numpy() for c in ("ax", "ay", "bx", "by", "edge"))
+            corners = [np.concatenate(pair) for pair in ((group, group), (ax, bx), (ay, by))]
+            order = np.lexsort(corners[::-1])
+            corner = np.empty(2 * n, dtype=np.int64)
+            corner[order] = np.cumsum(firsts(*(c[order] for c in corners)))
+            starts, ends = corner[:n], corner[n:]
+            by_start = np.argsort(starts, kind="stable")
+            lo, hi = (np.searchsorted(starts[by_start], ends, side) for side in ("left", "right"))
+            arrives = np.repeat(np.arange(n), hi - lo)
+            leaves = by_start[np.arange(len(arrives)) + np.repeat(hi - np.cumsum(hi - lo), hi - lo)]
+            back = np.arctan2((ay - by)[arrives], (ax - bx)[arrives])
+            turn = np.mod(back - np.arctan2((by - ay)[leaves], (bx - ax)[leaves]), 2 * np.pi)
+            turn[turn < 1e-12] = 2 * np.pi
+            best = np.lexsort((turn, arrives))
+            best = best[firsts(arrives[best])] if len(best) else best
+            to, ring, ahead = np.full(n + 1, n), np.arange(n + 1), np.zeros(n + 1, dtype=np.int64)  # n: leads nowhere
+            to[arrives[best]] = leaves[best]
+            reach = 1
+            while reach < 2 * int(np.bincount(group).max()):
+                nearer = ring[to] < ring
+                ring, ahead = np.where(nearer, ring[to], ring), np.where(nearer, ahead[to] + reach, ahead)
+                to, reach = to[to], 2 * reach
+            closed, ring, ahead = to[:n] < n, ring[:n], ahead[:n]
+            size = np.bincount(ring, minlength=n)[ring]
+            placed = table.drop_columns("edge").append_column("ring", pa.array(edge[ring])).append_column("place", pa.array((size - ahead) % size))
+            return placed.filter(pa.array(closed))
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if table.num_rows == 0:
+                continue
+            group = table.column(key).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+            whole = int(np.searchsorted(group, group[-1]))  # the last key may go on
+            if whole:
+                yield from rings(table.slice(0, whole), group[:whole]).to_batches()
+            held = table.slice(whole)
+        if held is not None and held.num_rows:
+            yield from rings(held, np.zeros(held.num_rows, dtype=np.int64)).to_batches()
+
+    return link
+
+
+# Cells of a block this wide are together in one task when the edges between them go.
+BLOCK_CELLS = 32
+
+
 def cell_boundary(cells: DataFrame, key: str = "id") -> DataFrame:
     """Edges (`key, ax, ay, bx, by`, in thirds of the axes) between the cells of a set and all others."""
     q, r = axial_of(F.col("cell"))
@@ -83,12 +164,15 @@ def cell_boundary(cells: DataFrame, key: str = "id") -> DataFrame:
     edges = F.array(*[
         F.struct(a.alias("ax"), b.alias("ay"), c.alias("bx"), d.alias("by")) for (a, b), (c, d) in zip(corners, [*corners[1:], corners[0]])
     ])
-    each = cells.select(key, "cell").distinct().select(key, F.explode(edges).alias("e"))
-    ends = _corner("e.ax", "e.ay"), _corner("e.bx", "e.by")
+    block = [F.floor(v / BLOCK_CELLS).alias(n) for n, v in (("bq", q), ("br", r))]
+    # Edges between cells of a block go without a shuffle; those between blocks after it.
+    near = dealt(cells.select(key, "cell", *block), key, "bq", "br").distinct()
+    each = near.select(key, "bq", "br", F.explode(edges).alias("e"))
+    ends = {"least": F.least(*(tips := (_corner("e.ax", "e.ay"), _corner("e.bx", "e.by")))), "most": F.greatest(*tips)}
+    alone = each.withColumns(ends)
     # An edge between two cells of the set is there once in each direction.
-    alone = each.groupBy(key, F.least(*ends).alias("least"), F.greatest(*ends).alias("most")).agg(
-        F.count("*").alias("n"), F.first("e").alias("e")
-    ).where("n = 1")
+    for places in (("bq", "br"), ()):
+        alone = alone.groupBy(key, *places, "least", "most").agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1")
     return alone.select(key, "e.*")
 
 

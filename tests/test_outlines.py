@@ -67,6 +67,32 @@ def test_outline_of_random_cells_has_their_area(spark):
     assert no_cells.count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 30, 1 << 16])
+def test_keys_linked_in_a_task_and_by_doubling_are_alike(spark, monkeypatch, most):
+    """Sets over many blocks, rings that touch in a corner, keys that batches cut; written rounds only for large keys."""
+    monkeypatch.setattr(outlines, "MOST_EDGES", most)
+    monkeypatch.setattr(outlines, "BLOCK_CELLS", 3)
+    written, write = [], outlines.measured
+    monkeypatch.setattr(outlines, "measured", lambda df, name: written.append(name) or write(df, name))
+    r = random.Random(8)
+    rows = {(f"d{k}", r.randrange(-5, 15), r.randrange(-5, 15)) for k in range(6) for _ in range(4 << k)}
+    cells = spark.createDataFrame([*sorted(rows), (None, 0, 0)], "id string, q int, r int").select("id", id_of_axial(F.col("q"), F.col("r")).alias("cell"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = by_ring(outlines.cell_outline(cells, 4))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    n, total = defaultdict(int), defaultdict(float)
+    for i, *_ in rows:
+        n[i] += 1
+    for (i, _), points in got.items():
+        total[i] += area(points) / cell_area_km2(4)
+        step = [(a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 for a, b in zip(points, [*points[1:], points[0]])]
+        assert len(points) >= 6 and max(step) < 1.01 * min(step)
+    assert {i: round(v, 6) for i, v in total.items()} == dict(n)
+    assert ("rings" in written) == (most < 100)
+
+
 def test_seams_shared_edges_and_holes(spark):
     rows = [
         ("over", "w", [ring(0, 0, 6, 4)]), ("over", "e", [ring(5.8, 0, 12, 4)]),
