@@ -74,7 +74,8 @@ def fold_from_partials(
     """
     spark = cube.sparkSession
     wanted = days_of(first, last)
-    missing = [d for d in wanted if d not in held_days(spark, path)]
+    known = held_days(spark, path)
+    missing = [d for d in wanted if d not in known]
     if missing:
         # A stretch of days at a time, so a stored cube is pruned to the days that are read.
         for lo, hi in _stretches(missing):

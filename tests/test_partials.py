@@ -39,6 +39,15 @@ def test_held_days_are_not_read_again(spark, sf, tmp_path):
     assert rows(partials.fold_from_partials(nothing, lookup, path, "2026-06-28", "2026-07-02")) == fresh(spark, sf, "2026-06-28", "2026-07-02")
 
 
+def test_notes_are_read_once_a_question(spark, sf, tmp_path, monkeypatch):
+    cube, lookup, path, asked = D.pixel_hours(spark, sf), C.pixels(spark, sf), f"{tmp_path}/p", []
+    partials.fold_from_partials(cube, lookup, path, "2026-06-29", "2026-06-30")
+    held = partials.held_days
+    monkeypatch.setattr(partials, "held_days", lambda *at: asked.append(at) or held(*at))
+    partials.fold_from_partials(cube, lookup, path, "2026-06-29", "2026-07-05")
+    assert len(asked) == 1
+
+
 def test_a_day_that_was_cut_off_is_folded_again(spark, sf, tmp_path):
     cube, lookup, path = D.pixel_hours(spark, sf), C.pixels(spark, sf), f"{tmp_path}/p"
     half = partials.partial_means(windowing.stitch(cube, "2026-06-30", "2026-06-30", 3), lookup)
