@@ -426,6 +426,58 @@ def test_hours_that_come_in_the_wrong_order_are_held_back(spark):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
 
 
+def test_what_is_held_is_added_to_and_read_only_when_due():
+    """The processor alone, its state counted: three batches of hours, then one that lets all but its own go."""
+    import pandas as pd
+
+    class Kept:
+        def __init__(self):
+            self.value, self.read, self.added = None, 0, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.read += 1
+            return iter(self.value) if isinstance(self.value, list) else self.value
+
+        def update(self, value):
+            self.value = value
+
+        def put(self, rows):
+            self.value, self.added = list(rows), self.added + len(rows)
+
+        def appendList(self, rows):
+            self.put([*(self.value or []), *rows])
+            self.added -= len(self.value) - len(rows)
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.state, self.held = Kept(), Kept()
+
+        def getValueState(self, *_):
+            return self.state
+
+        def getListState(self, *_):
+            return self.held
+
+    t0 = pd.Timestamp("2026-06-29")
+    batch = lambda hours: pd.DataFrame({"t": [t0 + pd.Timedelta(hours=h) for h in hours], "hi": 40.0, "ws": 0.0, "mm": 0.0})
+    handle, processor = Handle(), streams._processor(12.0, 27.0, 0.5, 0.3, hold_hours=48.0)
+    processor.init(handle)
+    for hours in ([3, 4], [0, 1, 1], [2, 5]):
+        assert list(processor.handleInputRows((7,), iter([batch(hours)]), None)) == []
+    assert handle.held.read == 0 and handle.held.added == 7
+    (out,) = processor.handleInputRows((7,), iter([batch([200])]), None)
+    assert list(out["t"]) == [t0 + pd.Timedelta(hours=h) for h in range(6)] and list(out["late"]) == [0] * 6
+    assert handle.held.read == 1 and len(handle.held.value) == 1
+    (none,) = processor.handleInputRows((7,), iter([batch([5])]), None)
+    assert list(none["late"]) == [1] and none["t"].isna().all()
+
+
 def test_stream_landing_lands_nothing_twice(spark):
     base = work_dir(spark, "land")
     frame = spark.range(20).select((F.col("id") % 4).cast("int").alias("run"), F.col("id").alias("v"))
