@@ -487,3 +487,20 @@ def test_stream_landing_lands_nothing_twice(spark):
             source = streams.read_files(spark, f"{base}/in", frame.schema)
             streams.stream_land(source, f"{base}/out", f"{base}/checkpoint")
         assert spark.read.parquet(f"{base}/out").count() == 20 * n
+
+
+def test_stream_landing_of_a_cube_of_many_blocks_has_few_files(spark):
+    """Files that come in hold a day and not a day and block, so what lands grows with the runs and not with blocks."""
+    base = work_dir(spark, "land-blocks")
+    readings = spark.range(6000).selectExpr(
+        "int(id % 28) AS run", "timestampadd(HOUR, 6 * int(id % 28), TIMESTAMP_NTZ'2026-06-29 00:00:00') AS init_ts",
+        "int(id % 7) AS lead_h", "int(id % 20) AS yi", "int(id div 20 % 10) AS xi",
+        *[f"double(id) AS {v}" for v in S.CUBE_VARIABLES], "int(id % 20) AS yb", "int(id div 20 % 10) AS xb",
+    )
+    assert readings.select("yb", "xb").distinct().count() > S.MOST_BLOCK_FOLDERS
+    archive.write_cube(readings, f"{base}/in")
+    for _ in range(2):
+        streams.stream_land(streams.read_files(spark, f"{base}/in", S.CUBE), f"{base}/out", f"{base}/checkpoint")
+    landed = spark.read.parquet(f"{base}/out")
+    assert len(landed.inputFiles()) <= 4 * (7 + 8)  # the four runs of a day, from a file a day and a few cut in two
+    assert landed.select(readings.columns).exceptAll(readings).isEmpty() and landed.count() == 6000
